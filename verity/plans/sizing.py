@@ -1,0 +1,23 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after its row count is measured below a bound;
+otherwise it is left to a shuffle join (sort-merge, with AQE able to
+re-plan and split skewed partitions at runtime).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Return ``broadcast(df)`` when it has at most ``max_rows`` rows.
+
+    Counting costs one pass over ``df``; callers use this for sides that are
+    lists or lookups (ids, thresholds, categories), whose count is cheap.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
