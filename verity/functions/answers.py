@@ -217,19 +217,24 @@ GENERAL_PATTERNS = [
 ]
 
 
-def extract_general(c: Column) -> Column:
-    """struct(kind, num, num_set, text). Last match of the first pattern
-    with non-empty content; boxed content parsed as int / float / set / str."""
+def general_pick(c: Column) -> Column:
+    """T12 step 1: struct(k, v) for the last match of the first pattern with
+    non-empty content (k = 'boxed' or 'text'); null when nothing matches."""
     cands = []
     for p, kind in GENERAL_PATTERNS:
         content = nonempty(py_strip(last_match(c, "(?i)" + p)))
         cands.append(F.when(content.isNotNull(), F.struct(F.lit(kind).alias("k"), content.alias("v"))))
-    pick = F.coalesce(*cands)
+    return F.coalesce(*cands)
+
+
+def parse_general(pick: Column) -> Column:
+    """T12 step 2: struct(kind, num, num_set, text); boxed content parsed as
+    int / float / set of ints / string, other patterns stay strings."""
     v = pick["v"]
     is_boxed = pick["k"] == "boxed"
     as_int = F.when(v.rlike(r"^[0-9]+\z"), v.try_cast("double"))
     as_float = v.try_cast("double")
-    set_body = F.when(v.startswith("{") & v.endswith("}") & v.contains(","), F.expr("1")).isNotNull()
+    is_set = v.startswith("{") & v.endswith("}") & v.contains(",")
     inner = F.regexp_replace(F.regexp_replace(v, r"^\{", ""), r"\}\z", "")
     set_vals = F.transform(F.filter(F.transform(F.split(inner, ","), lambda s: py_strip(s)),
                                     lambda s: s.rlike(r"^[0-9]+\z")), lambda s: s.cast("int"))
@@ -237,7 +242,7 @@ def extract_general(c: Column) -> Column:
              .when(~is_boxed, F.lit("str"))
              .when(as_int.isNotNull(), F.lit("int"))
              .when(as_float.isNotNull(), F.when(as_float == F.floor(as_float), F.lit("int")).otherwise(F.lit("float")))
-             .when(set_body, F.lit("set"))
+             .when(is_set, F.lit("set"))
              .otherwise(F.lit("str")))
     num = F.when(kind == "int", F.coalesce(as_int, F.floor(as_float).cast("double"))).when(kind == "float", as_float)
     return F.struct(kind.alias("kind"), num.alias("num"),
@@ -245,6 +250,13 @@ def extract_general(c: Column) -> Column:
                     F.when(pick.isNotNull(), v).alias("text"))
 
 
+def with_general_answer(df, text: str, out: str = "general"):
+    """T12 on a table: pick, then parse, as two projections so the seven
+    pattern scans run once per row."""
+    return df.withColumn("_gpick", general_pick(F.col(text))) \
+        .withColumn(out, parse_general(F.col("_gpick"))).drop("_gpick")
+
+
 def last_sentence(c: Column) -> Column:
     """Text after the last '.', stripped; else the last 50 characters."""
     parts = F.split(py_strip(c), r"\.")
