@@ -1,3 +1,283 @@
-"""Catalog entries: web."""
+"""Catalog entries for URL, link and HTML jobs."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import web as W
+from . import sqlx as S
+from .catalog import Ctx, register
+
+BIG = 2147483647
+
+
+# ---- DuckDB twins ------------------------------------------------------------
+
+def n_url(x: str) -> str:
+    u = S.py_strip(x)
+    u = f"replace({u}, '%2527', '%27')"
+    u = f"(CASE WHEN contains({u}, ' ') THEN split_part({u}, ' ', 1) ELSE {u} END)"
+    return (f"(CASE WHEN length({u}) = 0 THEN {u} WHEN starts_with({u}, 'https://') THEN {u} "
+            f"WHEN starts_with({u}, 'http://') THEN 'https://' || substring({u}, 8) ELSE 'https://' || {u} END)")
+
+
+def strip_comment(x: str) -> str:
+    return f"(CASE WHEN regexp_matches({x}, ' \\([^)]*\\) $') THEN split_part({x}, ' ', 1) ELSE {x} END)"
+
+
+def decode(x: str) -> str:
+    for k, v in W.HTML_ENTITIES:
+        x = f"replace({x}, {S.q(k)}, {S.q(v)})"
+    return x
+
+
+def strip_tags(x: str) -> str:
+    return decode(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
+
+
+def clean_text(x: str) -> str:
+    y = S.py_strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+    return f"regexp_replace({y}, '\\[.*?\\]+', '', 'g')"
+
+
+def drop_code(x: str) -> str:
+    h = f"regexp_replace({x}, '(?is)<script[^>]*>.*?</script>', ' ', 'g')"
+    return f"regexp_replace({h}, '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
+
+
+def main_block(h: str) -> str:
+    pats = [r"(?is)<article[^>]*>(.*?)</article>", r"(?is)<main[^>]*>(.*?)</main>",
+            r'(?is)<div[^>]*role="main"[^>]*>(.*?)</div>',
+            r'(?is)<[a-z0-9]+[^>]*class="[^"]*main-content[^"]*"[^>]*>(.*?)</[a-z0-9]+>']
+    parts = [f"CASE WHEN regexp_matches({h}, {S.q(p)}) THEN regexp_extract({h}, {S.q(p)}, 1) END" for p in pats]
+    return f"coalesce({', '.join(parts)}, {h})"
+
+
+def element_texts(h: str, tags: str) -> str:
+    m = f"regexp_replace({h}, '(?i)<(?:{tags})(?:\\s[^>]*)?>', chr(1), 'g')"
+    m = f"regexp_replace({m}, '(?i)</(?:{tags})\\s*>', chr(2), 'g')"
+    return f"list_transform(list_slice(string_split({m}, chr(1)), 2, {BIG}), lambda p: {strip_tags('split_part(p, chr(2), 1)')})"
+
+
+def page_title(html: str, url: str) -> str:
+    t = S.py_strip(decode(f"regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1)"))
+    return f"coalesce(CASE WHEN length({t}) > 0 THEN {t} END, {url})"
+
+
+def article(html: str) -> str:
+    h = drop_code(html)
+    parts = element_texts(main_block(h), "h[1-6]|p")
+    return clean_text(f"CASE WHEN len({parts}) > 0 THEN array_to_string({parts}, ' ') ELSE {strip_tags(h)} END")
+
+
+_LINKS_ARR = "from_json(replace(wiki_links, '''', '\"'), '[\"VARCHAR\"]')"
+
+_EXPLODE_SQL = f"""
+    l0 AS (SELECT idx, {_LINKS_ARR} AS arr FROM v_links),
+    l1 AS (SELECT idx, generate_subscripts(arr, 1) AS pos, unnest(arr) AS raw FROM l0),
+    l2 AS (SELECT idx, pos, {strip_comment('raw')} AS raw FROM l1 WHERE raw IS NOT NULL),
+    l3 AS (SELECT idx, pos, CASE WHEN contains(raw, ', ') THEN list_filter(list_transform(string_split(raw, ', '), lambda p: {S.py_strip('p')}), lambda p: length(p) > 0)
+                                 ELSE [raw] END AS parts FROM l2),
+    l4 AS (SELECT idx, pos, generate_subscripts(parts, 1) - 1 AS sub, unnest(parts) AS part FROM l3),
+    l5 AS (SELECT idx, pos, sub, CASE WHEN sub > 0 THEN 1 ELSE 0 END AS is_tail,
+                  {n_url("CASE WHEN sub > 0 THEN " + strip_comment('part') + " ELSE part END")} AS url FROM l4),
+    links AS (SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY is_tail, pos, sub) AS doc_index, url FROM l5 WHERE length(url) > 0)"""
+
+_PAGES_SQL = f"pg AS (SELECT {n_url('url')} AS url, html FROM pages)"
+
+
+# ---- Spark queries -----------------------------------------------------------
+
+@register("b1_parse_link_lists", f"""
+    SELECT idx, CAST(coalesce(len({_LINKS_ARR}), 0) AS BIGINT) AS n_links, {_LINKS_ARR} IS NOT NULL AS parsed FROM v_links""")
+def b1(c: Ctx) -> DataFrame:
+    arr = tx.parse_link_list(F.col("wiki_links"))
+    return c.v("v_links").select("idx", F.coalesce(F.size(arr), F.lit(0)).cast("bigint").alias("n_links"),
+                                 arr.isNotNull().alias("parsed"))
+
+
+@register("b2_explode_links", f"WITH {_EXPLODE_SQL} SELECT * FROM links")
+def b2(c: Ctx) -> DataFrame:
+    return W.explode_links(c.v("v_links"))
+
+
+_URL_VARIANT_SQL = ("CASE page_id % 4 WHEN 1 THEN '  ' || replace(url, 'http://', '') || ' (mirror) ' "
+                    "WHEN 2 THEN replace(url, '?', '%2527?') ELSE url END")
+
+
+@register("b3_normalize_url", f"SELECT page_id, {n_url(_URL_VARIANT_SQL)} AS url FROM pages")
+def b3(c: Ctx) -> DataFrame:
+    p = c.t.pages
+    v = (F.when(F.col("page_id") % 4 == 1, F.concat(F.lit("  "), F.replace(F.col("url"), F.lit("http://"), F.lit("")),
+                                                     F.lit(" (mirror) ")))
+          .when(F.col("page_id") % 4 == 2, F.replace(F.col("url"), F.lit("?"), F.lit("%2527?"))).otherwise(F.col("url")))
+    return p.select("page_id", W.normalize_url(v).alias("url"))
+
+
+_URL_TEXT_SQL = "'Visit ' || url || '), or see \"' || url || '\" and ' || url || ',' || chr(10) || 'done'"
+
+
+@register("b4_extract_urls", f"""
+    SELECT page_id, unnest(list_transform(regexp_extract_all({_URL_TEXT_SQL}, 'https?://[^\\s''"]+', 0),
+                                          lambda u: regexp_replace(u, '[,''")\\]]+\\z', '', 'g'))) AS url FROM pages""")
+def b4(c: Ctx) -> DataFrame:
+    p = c.t.pages
+    text = F.concat(F.lit("Visit "), F.col("url"), F.lit('), or see "'), F.col("url"), F.lit('" and '), F.col("url"),
+                    F.lit(",\ndone"))
+    return p.select("page_id", F.explode(W.extract_urls(text)).alias("url"))
+
+
+@register("b7_domain_counts", """
+    SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS domain, count(*) AS n_pages FROM pages GROUP BY 1""")
+def b7(c: Ctx) -> DataFrame:
+    return c.t.pages.groupBy(W.url_domain(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+@register("b7_inline_content", f"""
+    SELECT page_id, replace('Read ' || url || ' now', url,
+                            url || ' [Content from ' || regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) || ': '
+                            || {page_title('html', 'url')} || ']') AS text
+    FROM pages""")
+def b7_inline(c: Ctx) -> DataFrame:
+    p = c.t.pages
+    rep = F.concat(F.col("url"), F.lit(" [Content from "), W.url_domain(F.col("url")), F.lit(": "),
+                   W.page_title(F.col("html"), F.col("url")), F.lit("]"))
+    return p.select("page_id", F.replace(F.concat(F.lit("Read "), F.col("url"), F.lit(" now")), F.col("url"), rep).alias("text"))
+
+
+@register("b9_extract_articles", f"""
+    SELECT page_id, {page_title('html', 'url')} AS title, {article('html')} AS article FROM pages""")
+def b9(c: Ctx) -> DataFrame:
+    p = c.t.pages
+    return p.select("page_id", W.page_title(F.col("html"), F.col("url")).alias("title"),
+                    W.extract_article(F.col("html")).alias("article"))
+
+
+@register("b11_paragraphs", f"""
+    SELECT page_id, {clean_text("array_to_string(" + element_texts(
+        "CASE WHEN regexp_matches(" + drop_code('html') + ", '(?is)<div[^>]*id=\"bodyContent\"[^>]*>(.*)</div>') THEN regexp_extract("
+        + drop_code('html') + ", '(?is)<div[^>]*id=\"bodyContent\"[^>]*>(.*)</div>', 1) ELSE " + drop_code('html') + " END", 'p') + ", ' ')")} AS text
+    FROM pages""")
+def b11(c: Ctx) -> DataFrame:
+    return c.t.pages.select("page_id", W.extract_paragraphs(F.col("html")).alias("text"))
+
+
+def _body_sql(x: str) -> str:
+    h = drop_code(x)
+    for t in ("nav", "header", "footer", "aside"):
+        h = f"regexp_replace({h}, '(?is)<{t}[^>]*>.*?</{t}>', ' ', 'g')"
+    spaced = f"regexp_replace({h}, '<[^>]*>', ' ', 'g')"
+    text = S.py_strip(f"regexp_replace({strip_tags(spaced)}, '\\s+', ' ', 'g')")
+    return f"regexp_replace({text}, '\\[(?:\\d+|edit)\\]', '', 'g')"
+
+
+@register("b12_body_text", f"SELECT page_id, {_body_sql('html')} AS text FROM pages")
+def b12(c: Ctx) -> DataFrame:
+    return c.t.pages.select("page_id", W.extract_body_text(F.col("html")).alias("text"))
+
+
+@register("b13_page_title", f"SELECT page_id, {page_title('html', 'url')} AS title FROM pages")
+def b13(c: Ctx) -> DataFrame:
+    return c.t.pages.select("page_id", W.page_title(F.col("html"), F.col("url")).alias("title"))
+
+
+_NOTES_SQL = "text || ' [' || (doc_id % 7) || '] tail [edit]]'"
+
+
+@register("b14_clean_text", f"SELECT doc_id, {clean_text(_NOTES_SQL)} AS text FROM documents")
+def b14(c: Ctx) -> DataFrame:
+    d = c.t.documents
+    t = F.concat(F.col("text"), F.lit(" ["), (F.col("doc_id") % 7).cast("string"), F.lit("] tail [edit]]"))
+    return d.select("doc_id", W.clean_text(t).alias("text"))
+
+
+@register("b15_truncate_chars", """
+    SELECT doc_id, CASE WHEN length(text) > 2000 THEN substring(text, 1, 2000) || '...' ELSE text END AS text FROM documents""")
+def b15(c: Ctx) -> DataFrame:
+    return c.t.documents.select("doc_id", W.truncate_chars(F.col("text"), 2000).alias("text"))
+
+
+@register("b15_truncation_report", """
+    SELECT count(*) AS n_records, CAST(sum(CASE WHEN length(text) > 2000 THEN 1 ELSE 0 END) AS BIGINT) AS n_truncated FROM documents""")
+def b15_report(c: Ctx) -> DataFrame:
+    d = c.t.documents
+    return d.agg(F.count(F.lit(1)).alias("n_records"),
+                 F.sum(F.when(F.length("text") > 2000, 1).otherwise(0)).cast("bigint").alias("n_truncated"))
+
+
+_FOUND_SQL = f"""
+    {_EXPLODE_SQL}, {_PAGES_SQL},
+    found AS (SELECT links.idx, links.doc_index, links.url, {page_title('pg.html', 'links.url')} AS title, {article('pg.html')} AS article
+              FROM links JOIN pg ON links.url = pg.url)"""
+
+
+def _found(c: Ctx) -> DataFrame:
+    found, _ = W.fetch_lookup(W.explode_links(c.v("v_links")), c.t.pages)
+    return found
+
+
+@register("a20_fetch_lookup", f"WITH {_FOUND_SQL} SELECT * FROM found")
+def a20(c: Ctx) -> DataFrame:
+    return _found(c)
+
+
+@register("a20_fetch_misses", f"""
+    WITH {_EXPLODE_SQL}, {_PAGES_SQL}
+    SELECT links.idx, links.doc_index, links.url FROM links WHERE url NOT IN (SELECT url FROM pg)""")
+def a20_misses(c: Ctx) -> DataFrame:
+    _, misses = W.fetch_lookup(W.explode_links(c.v("v_links")), c.t.pages)
+    return misses.select("idx", "doc_index", "url")
+
+
+@register("b16_context_docs", f"WITH {_FOUND_SQL} SELECT idx, doc_index, url, title FROM found")
+def b16(c: Ctx) -> DataFrame:
+    return _found(c).select("idx", "doc_index", "url", "title")
+
+
+@register("b17_generated_context", f"""
+    WITH {_FOUND_SQL}
+    SELECT idx, string_agg('--- Content from ' || url || ' ---' || chr(10) || article || chr(10), chr(10) ORDER BY doc_index) AS generated_context
+    FROM found GROUP BY idx""")
+def b17(c: Ctx) -> DataFrame:
+    return W.generated_context(_found(c), "idx", "doc_index", "url", "article")
+
+
+@register("b18_unique_results", """
+    WITH r AS (SELECT page_id % 10 AS query_id, page_id AS rank,
+                      'https://' || regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS url FROM pages)
+    SELECT query_id, url, min(rank) AS rank FROM r WHERE NOT contains(url, 'google.com') GROUP BY 1, 2""")
+def b18(c: Ctx) -> DataFrame:
+    p = c.t.pages
+    r = p.select((F.col("page_id") % 10).alias("query_id"), F.col("page_id").alias("rank"),
+                 F.concat(F.lit("https://"), W.url_domain(F.col("url"))).alias("url"))
+    return W.unique_results(r, "query_id", "rank", "url").select("query_id", "url", "rank")
+
+
+@register("b19_parse_result_blocks", f"""
+    WITH g AS (SELECT page_id % 20 AS grp,
+                      string_agg((page_id // 20 + 1) || '. **' || {page_title('html', 'url')} || '**' || chr(10) || '   URL: ' || url || chr(10), ''
+                                 ORDER BY page_id) AS text FROM pages GROUP BY 1),
+    m AS (SELECT grp, regexp_extract_all(text, '(?m)(\\d+)\\.\\s*\\*\\*(.+?)\\*\\*\\s*\\n\\s*URL:\\s*(.+?)\\n', 1) AS nums,
+                 regexp_extract_all(text, '(?m)(\\d+)\\.\\s*\\*\\*(.+?)\\*\\*\\s*\\n\\s*URL:\\s*(.+?)\\n', 2) AS titles,
+                 regexp_extract_all(text, '(?m)(\\d+)\\.\\s*\\*\\*(.+?)\\*\\*\\s*\\n\\s*URL:\\s*(.+?)\\n', 3) AS urls FROM g)
+    SELECT grp, unnest(nums) AS number, {S.py_strip('unnest(titles)')} AS title, {S.py_strip('unnest(urls)')} AS url FROM m""")
+def b19(c: Ctx) -> DataFrame:
+    p = c.t.pages
+    line = F.concat((F.floor(F.col("page_id") / 20) + 1).cast("bigint").cast("string"), F.lit(". **"),
+                    W.page_title(F.col("html"), F.col("url")), F.lit("**\n   URL: "), F.col("url"), F.lit("\n"))
+    g = p.groupBy((F.col("page_id") % 20).alias("grp")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", line.alias("l")))), lambda x: x["l"]), "")
+         .alias("text"))
+    parsed = g.select("grp", F.explode(W.parse_result_blocks(F.col("text"))).alias("r"))
+    return parsed.select("grp", F.col("r.number").alias("number"), F.col("r.title").alias("title"), F.col("r.url").alias("url"))
+
+
+@register("f15_page_token_rollup", f"""
+    WITH {_FOUND_SQL}
+    SELECT idx, url, CAST(sum(floor(length(article) / 4)) AS BIGINT) AS tokens, count(*) AS n_pages
+    FROM found GROUP BY ROLLUP (idx, url)""")
+def f15(c: Ctx) -> DataFrame:
+    f = _found(c).withColumn("_t", tx.chars_div4(F.col("article")))
+    return f.rollup("idx", "url").agg(F.sum("_t").cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("n_pages"))
