@@ -281,3 +281,42 @@ def b19(c: Ctx) -> DataFrame:
 def f15(c: Ctx) -> DataFrame:
     f = _found(c).withColumn("_t", tx.chars_div4(F.col("article")))
     return f.rollup("idx", "url").agg(F.sum("_t").cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("n_pages"))
+
+
+_SQ_TEXT = ("CASE turn % 4 WHEN 0 THEN 'User: search for: ' || substr(text, 1, 40) || chr(10) || 'thanks' "
+            "WHEN 1 THEN 'look up \"' || substr(text, 1, 25) || '\"?' WHEN 2 THEN 'research ?' ELSE text END")
+
+
+def _strip_quotes_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[''\"]+|[''\"]+\\z', '', 'g')"
+
+
+def _search_sql() -> str:
+    t = "t"
+    found = "list_concat(" + ", ".join(f"regexp_extract_all({t}, {S.q('(?i)' + p)}, 1)" for p in W.SEARCH_PATTERNS) + ")"
+    found = f"list_filter(list_transform({found}, lambda m: {_strip_quotes_sql(S.py_strip('m'))}), lambda m: length(m) > 0)"
+    low = S.py_strip(f"lower({t})")
+    empty = " OR ".join(
+        f"(starts_with({low}, {S.q(sp)}) AND length({_strip_quotes_sql(S.py_strip(f'replace({low}, {S.q(sp)}, {S.EMPTY})'))}) < 2)"
+        for sp in W.SEARCH_PREFIXES)
+    plain = _strip_quotes_sql(S.py_strip(f"replace({t}, '?', '')"))
+    n_words = f"len(list_filter(regexp_split_to_array({plain}, '\\s+'), lambda w: length(w) > 0))"
+    cleaned = _strip_quotes_sql(S.py_strip(f"regexp_replace(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}_\\s.]', ' ', 'g'), '\\s+', ' ', 'g')"))
+    cut = f"CASE WHEN length({cleaned}) > 100 THEN regexp_replace(substring({cleaned}, 1, 100), ' [^ ]*\\z', '') ELSE {cleaned} END"
+    return (f"CASE WHEN len({found}) > 0 THEN {found} WHEN {empty} THEN [] "
+            f"WHEN length({plain}) > 0 AND {n_words} > 2 THEN [{plain}] WHEN length({cut}) > 2 THEN [{cut}] ELSE [] END")
+
+
+@register("b20_search_queries", f"""
+    WITH c AS (SELECT conv_id, turn, {S.py_strip("regexp_replace(" + _SQ_TEXT + ", " + S.q(W.prefix_pattern()) + ", '')")} AS t
+               FROM conversations WHERE role = 'user'),
+    q AS (SELECT conv_id, turn, {_search_sql()} AS queries FROM c)
+    SELECT conv_id, turn, generate_subscripts(queries, 1) - 1 AS query_pos, unnest(queries) AS query FROM q""")
+def b20(c: Ctx) -> DataFrame:
+    conv = c.t.conversations.where(F.col("role") == "user")
+    n = F.col("turn") % 4
+    text = (F.when(n == 0, F.concat(F.lit("User: search for: "), F.substring("text", 1, 40), F.lit("\nthanks")))
+             .when(n == 1, F.concat(F.lit('look up "'), F.substring("text", 1, 25), F.lit('"?')))
+             .when(n == 2, F.lit("research ?")).otherwise(F.col("text")))
+    q = conv.select("conv_id", "turn", W.search_queries(text).alias("queries"))
+    return q.select("conv_id", "turn", F.posexplode("queries").alias("query_pos", "query"))
