@@ -265,6 +265,43 @@ def last_sentence(c: Column) -> Column:
         .otherwise(F.substring(py_strip(c), -50, 50))
 
 
+# --- multiple choice (T15) ---------------------------------------------------
+
+_W = r"(?:\*{1,2}|_{1,2})"   # markdown wrapper: * ** _ __
+_NB = r"(?:^|[^A-Za-z0-9])"   # "not preceded by a letter/digit" (consuming form)
+_NA = r"(?:[^A-Za-z0-9]|$)"   # "not followed by a letter/digit" (consuming form)
+
+# Multiple-choice declaration patterns in priority order, as
+# (flags, pattern). Look-arounds are written in consuming form (same first
+# match and letter) so the patterns also run on RE2.
+MCQ_PATTERNS = [
+    ("(?i)", _W + r"Answers?\s*[:\-–]?" + _W + r"\s*([ABCD])\b"),
+    ("(?im)", r"^\s*" + _W + r"?Answer:?" + _W + r"?\s*:?\s*" + _W + r"?([ABCD])" + _W + r"?\s*"),
+    ("(?i)", r"\bAnswers?\b\s*[:\-–]?\s*\(\s*([ABCD])\s*\)"),
+    ("(?i)", r"\bAnswers?\b\s*[:\-–]?\s*([ABCD])\b"),
+    ("(?i)", r"\b(?:Option|Choice)\b\s*[:\-–]?\s*([ABCD])\b"),
+    ("(?m)", r"\\boxed\{[^}]*?([ABCD])[^}]*\}"),
+    ("(?m)", r"\\boxed\{[^}]*?\\textbf\{[^}]*?([ABCD])[^}]*\}[^}]*\}"),
+    ("(?m)", r"\\boxed\{[^}]*?\\text\{[^}]*?([ABCD])[^}]*\}[^}]*\}"),
+    ("", _NB + r"[\(\[]\s*([ABCD])\s*[\)\]]" + _NA),
+    ("", _NB + _W + r"([ABCD])" + _W + _NA),
+    ("", r"\\textbf\{[^}]*?([ABCD])[^}]*\}"),
+    ("", _NB + _W + r"\s*([ABCD])\)[^*_\n]+?" + _W + _NA),
+    ("(?m)", r"^\s*" + _W + r"?([ABCD])" + _W + r"?\s*[\.\)\-–:]?\s*.*$"),
+]
+
+
+def mcq_letter(text: Column, last_n: int = 100) -> Column:
+    """The letter of the first pattern (priority order) that matches the
+    last ``last_n`` characters, upper-cased; else the first character after
+    a leading '**'."""
+    t = F.substring(text, -last_n, last_n)
+    picks = [F.upper(nonempty(F.regexp_extract(t, (fl.replace("m", "md") if "m" in fl else fl) + p, 1)))
+             for fl, p in MCQ_PATTERNS]
+    fallback = F.substring(F.regexp_replace(t, r"^\*\*", ""), 1, 1)
+    return F.coalesce(*picks, fallback)
+
+
 # --- code blocks (T17) -------------------------------------------------------
 
 def python_blocks(c: Column) -> Column:
