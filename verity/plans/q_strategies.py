@@ -9,7 +9,9 @@ from ..operators import strategies as ST
 from .catalog import Ctx, register
 
 AS_OF = "2024-02-01 00:00:00"
-_AS_OF_COL = F.lit(AS_OF).cast("timestamp")
+
+def _as_of():
+    return F.lit(AS_OF).cast("timestamp")
 
 _LEDGER_SQL = """
     a AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY ts, event_id) AS i,
@@ -89,8 +91,10 @@ def h12(c: Ctx) -> DataFrame:
 
 
 _EXAMPLE_SQL = "CASE WHEN event_id % 5 = 0 THEN '  ' ELSE 'reasoning ' || (event_id % 50) END"
-_EXAMPLE = F.when(F.col("event_id") % 5 == 0, F.lit("  ")).otherwise(
-    F.concat(F.lit("reasoning "), (F.col("event_id") % 50).cast("string")))
+
+def _example():
+    return F.when(F.col("event_id") % 5 == 0, F.lit("  ")).otherwise(
+        F.concat(F.lit("reasoning "), (F.col("event_id") % 50).cast("string")))
 
 
 @register("h13_last_examples", f"""
@@ -100,7 +104,7 @@ _EXAMPLE = F.when(F.col("event_id") % 5 == 0, F.lit("  ")).otherwise(
       FROM (SELECT strategy_id, event_id, ts, {_EXAMPLE_SQL} AS example FROM v_attempts) WHERE length(trim(example)) > 0)
     WHERE recency_rank <= 5""")
 def h13(c: Ctx) -> DataFrame:
-    a = c.v("v_attempts").withColumn("example", _EXAMPLE)
+    a = c.v("v_attempts").withColumn("example", _example())
     return ST.last_examples(a, "strategy_id", "example", ["ts", "event_id"], 5) \
         .select("strategy_id", "event_id", "example", "recency_rank")
 
@@ -109,7 +113,7 @@ def h13(c: Ctx) -> DataFrame:
     SELECT strategy_id, example, min(event_id) AS first_seen
     FROM (SELECT strategy_id, event_id, {_EXAMPLE_SQL} AS example FROM v_attempts) GROUP BY 1, 2""")
 def h13_distinct(c: Ctx) -> DataFrame:
-    a = c.v("v_attempts").withColumn("example", _EXAMPLE)
+    a = c.v("v_attempts").withColumn("example", _example())
     return ST.distinct_examples(a, "strategy_id", "example", "event_id")
 
 
@@ -125,7 +129,7 @@ def h17(c: Ctx) -> DataFrame:
     SELECT * FROM (SELECT *, {_SCORE_SQL} AS score FROM led) s
     QUALIFY row_number() OVER (PARTITION BY problem_type ORDER BY score DESC, strategy_id) <= 10""")
 def h19(c: Ctx) -> DataFrame:
-    return ST.cap_per_type(_ledger(c), _AS_OF_COL, 10)
+    return ST.cap_per_type(_ledger(c), _as_of(), 10)
 
 
 @register("h20_select_for_inference", f"""
@@ -134,7 +138,7 @@ def h19(c: Ctx) -> DataFrame:
     WHERE problem_type = 'type_2' AND success_rate >= 0.4 AND total_attempts >= 5
     QUALIFY row_number() OVER (ORDER BY {_SCORE_SQL} DESC, strategy_id) <= 3""")
 def h20(c: Ctx) -> DataFrame:
-    return ST.select_for_inference(_ledger(c), F.lit("type_2"), _AS_OF_COL)
+    return ST.select_for_inference(_ledger(c), F.lit("type_2"), _as_of())
 
 
 @register("h20_select_for_inference_lenient", f"""
@@ -143,7 +147,7 @@ def h20(c: Ctx) -> DataFrame:
     WHERE problem_type = 'type_2' AND success_rate >= 0.2 AND total_attempts >= 5
     QUALIFY row_number() OVER (ORDER BY {_SCORE_SQL} DESC, strategy_id) <= 3""")
 def h20_lenient(c: Ctx) -> DataFrame:
-    return ST.select_for_inference(_ledger(c), F.lit("type_2"), _AS_OF_COL, min_rate=0.2)
+    return ST.select_for_inference(_ledger(c), F.lit("type_2"), _as_of(), min_rate=0.2)
 
 
 _REPLY_SQL = ("CASE WHEN completion_id % 3 = 0 THEN '<think>maybe YES</think> no' "
