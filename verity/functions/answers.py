@@ -265,6 +265,74 @@ def last_sentence(c: Column) -> Column:
         .otherwise(F.substring(py_strip(c), -50, 50))
 
 
+# --- answer mode (T14) -------------------------------------------------------
+
+# Indicators, markers and patterns of the answer-mode cleaner.
+CODE_INDICATORS = ["```", "def ", "import ", "class ", "return ", "for ", "while "]
+MATH_INDICATORS = ["\\boxed", "\\frac", "\\sum", "\\int", "$$", "$\\"]
+PROOF_INDICATORS = ["proof", "QED", "proven", "demonstrate", "show that", "prove that"]
+CONCLUSION_MARKERS = ["In conclusion", "Therefore", "Thus", "Hence", "Finally", "The answer is", "The final answer"]
+MATH_FINAL_PATTERNS = [
+    r"[Ff]inal answer[:\s]+(.+?)(?:\n|$)",
+    r"[Tt]he answer is[:\s]+(.+?)(?:\n|$)",
+    r"[Tt]herefore[,\s]+(.+?)(?:\n|$)",
+]
+CODE_BLOCK_RE = r"(?s)```(?:python|cpp|java|javascript|go|rust)?\n(.*?)\n```"
+CODE_SECTION_RE = r"(?i)\n#+\s+(?:Final Solution|Solution|Implementation|Code)\s*\n"
+
+
+def _any(text: Column, words: list[str], lower: bool = False) -> Column:
+    t = F.lower(text) if lower else text
+    out = None
+    for w in words:
+        c = t.contains(w.lower() if lower else w)
+        out = c if out is None else (out | c)
+    return out
+
+
+def answer_mode(text: Column) -> Column:
+    """T14: 'code', 'math' or 'generic' from indicator substrings."""
+    return F.when(_any(text, CODE_INDICATORS), "code").when(_any(text, MATH_INDICATORS), "math").otherwise("generic")
+
+
+def _paragraphs(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n\n"), py_strip), lambda p: F.length(p) > 0)
+
+
+def _last(arr: Column) -> Column:
+    return F.try_element_at(arr, F.lit(-1))
+
+
+def clean_answer(text: Column, mode: Column | None = None) -> Column:
+    """The final answer by mode. code: last fenced block (re-fenced as
+    python), else text after the last solution heading, else after the last
+    '###'; math: last boxed value, else the last final-answer phrase, else
+    the last paragraph; generic: text after the last conclusion marker (first
+    paragraph, if longer than 20 characters), else the last three paragraphs
+    of a proof, else the last paragraph."""
+    m = answer_mode(text) if mode is None else mode
+    blocks = F.regexp_extract_all(text, F.lit(CODE_BLOCK_RE), 1)
+    sections = F.split(text, CODE_SECTION_RE)
+    hashes = F.split(text, "###")
+    code = (F.when(F.size(blocks) > 0, F.concat(F.lit("```python\n"), py_strip(_last(blocks)), F.lit("\n```")))
+             .when(F.size(sections) > 1, py_strip(_last(sections)))
+             .when(F.size(hashes) > 1, py_strip(_last(hashes))).otherwise(text))
+    boxed = _last(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^}]+)\}"), 1))
+    finals = [py_strip(_last(F.regexp_extract_all(text, F.lit("(?d)" + p), 1))) for p in MATH_FINAL_PATTERNS]
+    paras = _paragraphs(text)
+    math = F.coalesce(F.concat(F.lit("The final answer is $\\boxed{"), boxed, F.lit("}$")), *finals, _last(paras), text)
+    concl = []
+    for mk in CONCLUSION_MARKERS:
+        first = py_strip(F.split_part(py_strip(F.substring_index(text, mk, -1)), F.lit("\n\n"), F.lit(1)))
+        concl.append(F.when(text.contains(mk) & (F.length(first) > 20), first))
+    sentences = F.filter(F.transform(F.split(text, r"\."), py_strip), lambda s: F.length(s) > 0)
+    proof = _any(text, PROOF_INDICATORS, lower=True)
+    generic = F.coalesce(*concl, F.when(proof & (F.size(paras) >= 3), F.array_join(F.slice(paras, -3, 3), "\n\n"))
+                         .when(proof & (F.size(paras) > 0), text),
+                         _last(paras), F.concat(_last(sentences), F.lit(".")), text)
+    return F.when(m == "code", code).when(m == "math", math).otherwise(generic)
+
+
 # --- multiple choice (T15) ---------------------------------------------------
 
 _W = r"(?:\*{1,2}|_{1,2})"   # markdown wrapper: * ** _ __
