@@ -372,3 +372,32 @@ _TAGS = ["Final answer:", "Answer:"]
     FROM v_completions""")
 def d27(c: Ctx) -> DataFrame:
     return c.v("v_completions").select("completion_id", RT.after_answer_tag(F.col("text"), _TAGS).alias("answer"))
+
+
+_BLOCK_SQL_D4 = ("'<<<BEGIN DOC [' || doc_index || ']>>>' || chr(10) || 'Source: Wikipedia | URL: ' || url || chr(10) || "
+                 "'Title: ' || title || chr(10) || article || chr(10) || '<<<END DOC [' || doc_index || ']>>>' || chr(10)")
+_D4_SQL = f"""
+    ctx AS (SELECT idx, string_agg({_BLOCK_SQL_D4}, chr(10) ORDER BY doc_index) AS context FROM v_contexts GROUP BY idx),
+    lk AS (SELECT v.idx, v.url AS link, instr(c.context, v.url) AS p FROM v_contexts v JOIN ctx c USING (idx) WHERE instr(c.context, v.url) > 0),
+    g AS (SELECT idx, list_sort(list({{'p': p, 'l': link}})) AS L FROM lk GROUP BY idx),
+    r AS (SELECT ctx.idx, ctx.context, coalesce(g.L, []) AS L FROM ctx LEFT JOIN g USING (idx)),
+    parts AS (SELECT idx, CASE WHEN len(L) = 0 THEN [{{'t': context, 'link': NULL::VARCHAR}}]
+                  ELSE list_concat(
+                    CASE WHEN L[1].p > 1 AND length({S.py_strip('substring(context, 1, L[1].p - 1)')}) > 0
+                         THEN [{{'t': {S.py_strip('substring(context, 1, L[1].p - 1)')}, 'link': NULL::VARCHAR}}] ELSE [] END,
+                    list_transform(range(1, len(L) + 1),
+                                   lambda i: {{'t': substring(context, L[i].p, coalesce(L[i + 1].p, length(context) + 1) - L[i].p), 'link': L[i].l}}))
+                  END AS parts FROM r),
+    segs AS (SELECT idx, generate_subscripts(parts, 1) AS o, unnest(parts) AS s FROM parts),
+    chunks AS (SELECT idx, o, s.link AS link, {chunk_sql('s.t', 2048)} AS ch FROM segs),
+    flat AS (SELECT idx, o, link, generate_subscripts(ch, 1) AS j, unnest(ch) AS text FROM chunks)"""
+
+
+@register("d4_link_segments", f"""
+    WITH {_D4_SQL}
+    SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY o, j) - 1 AS seg_order, link, text FROM flat""")
+def d4(c: Ctx) -> DataFrame:
+    from ..operators import joins as J
+    ctx = J.build_context(c.v("v_contexts"), "idx")
+    links = c.v("v_contexts").select("idx", F.col("url").alias("link"))
+    return CX.link_segments(ctx, links, "idx", "context", "link", 2048)
