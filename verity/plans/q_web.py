@@ -320,3 +320,8 @@ def b20(c: Ctx) -> DataFrame:
              .when(n == 2, F.lit("research ?")).otherwise(F.col("text")))
     q = conv.select("conv_id", "turn", W.search_queries(text).alias("queries"))
     return q.select("conv_id", "turn", F.posexplode("queries").alias("query_pos", "query"))
+
+
+@register("b8_extract_articles_dom")
+def b8(c: Ctx) -> DataFrame:
+    return W.extract_articles_dom(c.t.pages)
