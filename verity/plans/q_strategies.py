@@ -67,14 +67,20 @@ def h10_types(c: Ctx) -> DataFrame:
 
 @register("h8_effective_strategies", f"""
     WITH {_LEDGER_SQL}
-    SELECT * FROM led WHERE problem_type IN ('type_1', 'unknown') ORDER BY confidence DESC, strategy_id LIMIT 2""")
+    , same AS (SELECT * FROM led WHERE problem_type IN ('type_1', 'unknown')),
+    good AS (SELECT * FROM same WHERE confidence >= 0.6)
+    SELECT * FROM good
+    UNION ALL SELECT * FROM (SELECT * FROM same ORDER BY confidence DESC, strategy_id LIMIT 2) WHERE NOT EXISTS (SELECT 1 FROM good)""")
 def h8(c: Ctx) -> DataFrame:
     return ST.effective_strategies(_ledger(c), "type_1", 0.6, 2)
 
 
 @register("h8_effective_strategies_qualified", f"""
     WITH {_LEDGER_SQL}
-    SELECT * FROM led WHERE problem_type IN ('type_2', 'unknown') AND confidence >= 0.25""")
+    , same AS (SELECT * FROM led WHERE problem_type IN ('type_2', 'unknown')),
+    good AS (SELECT * FROM same WHERE confidence >= 0.25)
+    SELECT * FROM good
+    UNION ALL SELECT * FROM (SELECT * FROM same ORDER BY confidence DESC, strategy_id LIMIT 2) WHERE NOT EXISTS (SELECT 1 FROM good)""")
 def h8_q(c: Ctx) -> DataFrame:
     return ST.effective_strategies(_ledger(c), "type_2", 0.25, 2)
 
