@@ -191,19 +191,65 @@ def _reduced(c: Ctx) -> DataFrame:
     return reduce_context(r, "idx", "prompt", "ctx", _D13_LIMIT)
 
 
-def reduce_context(df: DataFrame, key: str, question: str, context: str, limit: int, chunk_bytes: int = 2048) -> DataFrame:
+def reduce_context(df: DataFrame, key: str, question: str, context: str, limit: int | str,
+                   chunk_bytes: int = 2048) -> DataFrame:
     """Pass-through when the context fits; else chunk, score against the
-    question, select within the byte budget and reassemble."""
-    fits = df.where(F.octet_length(context) <= limit).select(key, F.col(context).alias("context"))
-    big = df.where(F.octet_length(context) > limit)
+    question, select within the byte budget and reassemble. ``limit`` is a
+    number of bytes or the name of a per-row limit column."""
+    lim = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    fits = df.where(F.octet_length(context) <= lim).select(key, F.col(context).alias("context"))
+    big = df.where(F.octet_length(context) > lim)
     segs = big.select(key, F.posexplode(CX.chunk_text(F.col(context), chunk_bytes)).alias("seg", "t"))
     qs = big.join(segs.select(key).distinct(), key, "left_semi").select(key, question)
     sc = CX.tfidf_scores(qs, segs, key, "seg", question, "t").join(segs, [key, "seg"])
+    if isinstance(limit, str):
+        sc = sc.join(big.select(key, limit), key)
     sel = CX.select_segments(sc, key, "seg", "t", limit).select(key, "context")
-    empty = big.join(segs.select(key).distinct(), key, "left_anti").select(key, CX.truncate_bytes(F.col(context), limit).alias("context"))
+    empty = big.join(segs.select(key).distinct(), key, "left_anti").select(key, CX.truncate_bytes(F.col(context), lim).alias("context"))
     return fits.unionByName(sel).unionByName(empty)
 
 
+TRIM_KB = 8
+
+
+def trim_budgets(c: Ctx, limit_kb: int = TRIM_KB) -> DataFrame:
+    """D14 budgets: record budget int(kb * 1024 * 0.75 * 2.5) bytes shared by
+    its articles in proportion to their sizes."""
+    from pyspark.sql import Window
+    budget = int(limit_kb * 1024 * 0.75 * 2.5)
+    a = c.v("v_contexts").select("idx", "doc_index", "article").withColumn("original_bytes", F.octet_length("article"))
+    a = a.withColumn("_total", F.sum("original_bytes").over(Window.partitionBy("idx")))
+    return a.withColumn("article_limit", F.floor(F.col("original_bytes") / F.col("_total") * budget).cast("bigint")).drop("_total")
+
+
+@register("d14_trim_budgets", f"""
+    SELECT idx, doc_index, CAST(strlen(article) AS BIGINT) AS original_bytes,
+           CAST(floor(strlen(article) / sum(strlen(article)) OVER (PARTITION BY idx) * {int(TRIM_KB * 1024 * 0.75 * 2.5)}) AS BIGINT) AS article_limit
+    FROM v_contexts""")
+def d14_budgets(c: Ctx) -> DataFrame:
+    return trim_budgets(c).select("idx", "doc_index", "original_bytes", "article_limit")
+
+
+@register("d14_trim_records")
+def d14(c: Ctx) -> DataFrame:
+    """Every article reduced (D13) to its share of the record budget."""
+    b = trim_budgets(c).join(c.v("v_questions"), "idx") \
+        .withColumn("_k", F.concat_ws(":", F.col("idx").cast("string"), F.col("doc_index").cast("string")))
+    red = reduce_context(b.select("_k", "prompt", "article", "article_limit"), "_k", "prompt", "article", "article_limit")
+    out = b.select("_k", "idx", "doc_index", "original_bytes", "article_limit").join(red, "_k").drop("_k")
+    return out.withColumn("reduced_bytes", F.octet_length("context").cast("bigint"))
+
+
+@register("d15_trim_record_statistics")
+def d15_records(c: Ctx) -> DataFrame:
+    r = d14(c)
+    return r.agg(F.count_distinct("idx").alias("records"),
+                 F.sum(F.when(F.col("reduced_bytes") < F.col("original_bytes"), 1).otherwise(0)).cast("bigint").alias("trimmed_items"),
+                 F.sum("original_bytes").cast("bigint").alias("original_bytes"),
+                 F.sum("reduced_bytes").cast("bigint").alias("reduced_bytes"),
+                 F.sum(F.when(F.col("reduced_bytes") > F.col("article_limit"), 1).otherwise(0)).cast("bigint").alias("over_limit"))
+
+
 @register("d13_reduce_context", f"WITH {_D13_SQL} SELECT idx, context, CAST(strlen(context) AS BIGINT) AS n_bytes FROM reduced")
 def d13(c: Ctx) -> DataFrame:
     return _reduced(c).select("idx", "context", F.octet_length("context").cast("bigint").alias("n_bytes"))
