@@ -120,6 +120,56 @@ def sub_questions(text: Column) -> Column:
     return F.transform(lines, lambda s: F.regexp_replace(s, r"^\d+\.", ""))
 
 
+def chunk_info_block(i: Column, text: Column) -> Column:
+    """'Information of Chunk i:\\n<text>\\n' (0-based i)."""
+    return F.concat(F.lit("Information of Chunk "), i.cast("string"), F.lit(":\n"), text, F.lit("\n"))
+
+
+def map_prompts(chunks: DataFrame, key: str, pos: str, chunk: str, question: Column, template: str) -> DataFrame:
+    """D24 map stage: one prompt row per chunk (``template`` with
+    {question} and {context}); completions come back keyed by (key, pos)."""
+    parts = template.split("{context}")
+    q_parts = [p.split("{question}") for p in parts]
+
+    def render(frag_list):
+        out = []
+        for j, f in enumerate(frag_list):
+            if j:
+                out.append(question)
+            out.append(F.lit(f))
+        return out
+
+    pieces = render(q_parts[0]) + [F.col(chunk)] + (render(q_parts[1]) if len(q_parts) > 1 else [])
+    return chunks.select(key, pos, F.concat(*pieces).alias("prompt"))
+
+
+def reduce_input(results: DataFrame, key: str, pos: str, text: str) -> DataFrame:
+    """D24 reduce stage input: the kept map results of a question, renumbered
+    0.. in order, as 'Information of Chunk i' blocks."""
+    g = results.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(pos, text))).alias("_l"))
+    blocks = F.transform("_l", lambda x, i: chunk_info_block(i, x[text]))
+    return g.select(key, F.size("_l").alias("n_chunks"), F.array_join(blocks, "").alias("context"))
+
+
+def collapse_plan(reduce_in: DataFrame, key: str, budget: int) -> DataFrame:
+    """Tokens of the formatted chunk list (characters // 4) against the
+    budget (window - reduce prompt - output); collapse is needed above it."""
+    tok = F.floor(F.length("context") / 4).cast("bigint")
+    return reduce_in.select(key, "n_chunks", tok.alias("num_tokens"), F.lit(budget).cast("bigint").alias("token_budget"),
+                            ((tok > budget) & (F.col("n_chunks") > 1)).alias("needs_collapse"))
+
+
+def collapse_round(results: DataFrame, key: str, pos: str, text: str, merge_idx: Column) -> DataFrame:
+    """One collapse pass: chunks ``merge_idx`` and ``merge_idx + 1`` are
+    merged (joined by a blank line), all others pass through; positions
+    are renumbered. Grouping key = position with the pair folded together."""
+    r = results.withColumn("_m", merge_idx)
+    grp = F.when(F.col(pos) <= F.col("_m"), F.col(pos)).when(F.col(pos) == F.col("_m") + 1, F.col("_m")) \
+        .otherwise(F.col(pos) - 1)
+    g = r.groupBy(key, grp.alias("new_pos")).agg(F.sort_array(F.collect_list(F.struct(pos, text))).alias("_l"))
+    return g.select(key, "new_pos", F.array_join(F.transform("_l", lambda x: x[text]), "\n\n").alias(text))
+
+
 def after_answer_tag(text: Column, tags: list[str]) -> Column:
     """Text after the last occurrence of the first tag present."""
     out = text

@@ -447,3 +447,68 @@ def d4(c: Ctx) -> DataFrame:
     ctx = J.build_context(c.v("v_contexts"), "idx")
     links = c.v("v_contexts").select("idx", F.col("url").alias("link"))
     return CX.link_segments(ctx, links, "idx", "context", "link", 2048)
+
+
+# ---- D24/D25: map / collapse / reduce tables -----------------------------------
+# Map completions are outside the engine; the fixture stands in the first 80
+# characters of each chunk as its map result.
+
+MAP_TEMPLATE = "Question: {question}\nContext:\n{context}\nAnswer briefly."
+REDUCE_TEMPLATE = "Question: {question}\nNotes:\n{context}\nGive the final answer."
+WINDOW_TOKENS, OUTPUT_TOKENS = 2000, 256
+COLLAPSE_BUDGET = WINDOW_TOKENS - len(REDUCE_TEMPLATE) // 4 - OUTPUT_TOKENS
+
+_MR_SQL = """
+    ch AS (SELECT doc_id, generate_subscripts(c, 1) - 1 AS chunk_no, unnest(c) AS chunk
+           FROM (SELECT doc_id, list_transform(range(0, length(text), 1000), lambda s: substring(text, s + 1, 1000)) AS c FROM documents)),
+    res AS (SELECT doc_id, chunk_no, substring(chunk, 1, 80) AS t FROM ch
+            WHERE NOT (contains(upper(chunk), 'LICENSE') OR contains(upper(chunk), 'PASSWORD'))),
+    red AS (SELECT doc_id, count(*) AS n_chunks,
+                   string_agg('Information of Chunk ' || (rn - 1) || ':' || chr(10) || t || chr(10), '' ORDER BY chunk_no) AS context
+            FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) AS rn FROM res) GROUP BY doc_id)"""
+
+
+def _map_chunks(c: Ctx) -> DataFrame:
+    return c.t.documents.select("doc_id", F.posexplode(CX.chunk_fixed(F.col("text"), 1000)).alias("chunk_no", "chunk"))
+
+
+def _map_results(c: Ctx) -> DataFrame:
+    ch = RT.drop_irrelevant(_map_chunks(c), "chunk", _IRRELEVANT)
+    return ch.select("doc_id", "chunk_no", F.substring("chunk", 1, 80).alias("t"))
+
+
+@register("d24_map_prompts", f"""
+    WITH {_MR_SQL}
+    SELECT doc_id, chunk_no, 'Question: What does document ' || doc_id || ' say?' || chr(10) || 'Context:' || chr(10) || chunk
+                              || chr(10) || 'Answer briefly.' AS prompt FROM ch""")
+def d24_map(c: Ctx) -> DataFrame:
+    q = F.concat(F.lit("What does document "), F.col("doc_id").cast("string"), F.lit(" say?"))
+    return RT.map_prompts(_map_chunks(c), "doc_id", "chunk_no", "chunk", q, MAP_TEMPLATE)
+
+
+@register("d24_reduce_input", f"WITH {_MR_SQL} SELECT * FROM red")
+def d24_reduce(c: Ctx) -> DataFrame:
+    return RT.reduce_input(_map_results(c), "doc_id", "chunk_no", "t")
+
+
+@register("d25_collapse_plan", f"""
+    WITH {_MR_SQL}
+    SELECT doc_id, n_chunks, CAST(floor(length(context) / 4) AS BIGINT) AS num_tokens, CAST({COLLAPSE_BUDGET} AS BIGINT) AS token_budget,
+           floor(length(context) / 4) > {COLLAPSE_BUDGET} AND n_chunks > 1 AS needs_collapse FROM red""")
+def d25_plan(c: Ctx) -> DataFrame:
+    return RT.collapse_plan(RT.reduce_input(_map_results(c), "doc_id", "chunk_no", "t"), "doc_id", COLLAPSE_BUDGET)
+
+
+@register("d25_collapse_round", f"""
+    WITH {_MR_SQL},
+    r AS (SELECT res.*, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) - 1 AS p FROM res
+          WHERE doc_id IN (SELECT doc_id FROM red WHERE n_chunks > 1)),
+    g AS (SELECT doc_id, CASE WHEN p <= 0 THEN p WHEN p = 1 THEN 0 ELSE p - 1 END AS new_pos, p, t FROM r)
+    SELECT doc_id, new_pos, string_agg(t, chr(10) || chr(10) ORDER BY p) AS t FROM g GROUP BY doc_id, new_pos""")
+def d25_round(c: Ctx) -> DataFrame:
+    from pyspark.sql import Window
+    res = _map_results(c)
+    multi = res.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("doc_id")
+    r = res.join(multi, "doc_id", "left_semi") \
+        .withColumn("p", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no")) - 1)
+    return RT.collapse_round(r, "doc_id", "p", "t", F.lit(0))
