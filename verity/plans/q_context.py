@@ -449,6 +449,55 @@ def d4(c: Ctx) -> DataFrame:
     return CX.link_segments(ctx, links, "idx", "context", "link", 2048)
 
 
+# ---- D16: single-context trim with link-anchored segments -----------------------
+
+def reduce_context_links(ctx: DataFrame, links: DataFrame, questions: DataFrame, key: str, limit: int) -> DataFrame:
+    """Like D13, but segments come from link-anchored segmentation."""
+    fits = ctx.where(F.octet_length("context") <= limit).select(key, "context")
+    big = ctx.where(F.octet_length("context") > limit)
+    segs = CX.link_segments(big, links, key, "context", "link").select(key, F.col("seg_order").alias("seg"), F.col("text").alias("t"))
+    qs = questions.join(segs.select(key).distinct(), key, "left_semi")
+    sc = CX.tfidf_scores(qs, segs, key, "seg", "prompt", "t").join(segs, [key, "seg"])
+    sel = CX.select_segments(sc, key, "seg", "t", limit).select(key, "context")
+    empty = big.join(segs.select(key).distinct(), key, "left_anti").select(key, CX.truncate_bytes(F.col("context"), limit).alias("context"))
+    return fits.unionByName(sel).unionByName(empty)
+
+
+def _d16_sql(limit: int) -> str:
+    return f"""
+    WITH {_D4_SQL},
+    segs AS (SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY o, j) AS seg, text AS t FROM flat
+             WHERE idx IN (SELECT idx FROM ctx WHERE strlen(context) > {limit})),
+    docs AS (SELECT q.idx, 0 AS seg, q.prompt AS t FROM v_questions q WHERE q.idx IN (SELECT idx FROM segs)
+             UNION ALL SELECT idx, seg, t FROM segs),
+    {tfidf_ctes('docs')},
+    sc AS (SELECT s.idx, s.seg AS o, s.score, g.t FROM scores s JOIN segs g ON g.idx = s.idx AND g.seg = s.seg),
+    {select_ctes('sc', limit)},
+    reduced AS (SELECT idx, context FROM ctx WHERE strlen(context) <= {limit}
+                UNION ALL SELECT idx, context FROM selected
+                UNION ALL SELECT idx, {truncate_bytes_sql('context', str(limit))} FROM ctx
+                          WHERE strlen(context) > {limit} AND idx NOT IN (SELECT idx FROM segs))
+    SELECT idx, context, CAST(strlen(context) AS BIGINT) AS n_bytes FROM reduced"""
+
+
+def _d16(c: Ctx, limit: int) -> DataFrame:
+    from ..operators import joins as J
+    ctx = J.build_context(c.v("v_contexts"), "idx")
+    links = c.v("v_contexts").select("idx", F.col("url").alias("link"))
+    r = reduce_context_links(ctx, links, c.v("v_questions"), "idx", limit)
+    return r.select("idx", "context", F.octet_length("context").cast("bigint").alias("n_bytes"))
+
+
+@register("d16_trim_context_links_96k", _d16_sql(96 * 1024))
+def d16(c: Ctx) -> DataFrame:
+    return _d16(c, 96 * 1024)
+
+
+@register("d16_trim_context_links_16k", _d16_sql(16 * 1024))
+def d16_small(c: Ctx) -> DataFrame:
+    return _d16(c, 16 * 1024)
+
+
 # ---- D24/D25: map / collapse / reduce tables -----------------------------------
 # Map completions are outside the engine; the fixture stands in the first 80
 # characters of each chunk as its map result.

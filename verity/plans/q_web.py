@@ -325,3 +325,33 @@ def b20(c: Ctx) -> DataFrame:
 @register("b8_extract_articles_dom")
 def b8(c: Ctx) -> DataFrame:
     return W.extract_articles_dom(c.t.pages)
+
+
+_LENIENT_TEXT = ("'See ' || replace(url, 'http://', '') || '). Also (www.' || regexp_extract(url, '://([^/?#]*)', 1) "
+                 "|| '/Page_(' || page_id || ')). Ref [' || url || ']]. End'")
+
+
+def _unbalanced_sql(u: str, o: str, cl: str) -> str:
+    opens = f"(length({u}) - length(replace({u}, '{o}', '')))"
+    closes = f"(length({u}) - length(replace({u}, '{cl}', '')))"
+    run = f"(length({u}) - length(regexp_replace({u}, '\\{cl}+\\z', '')))"
+    return f"substring({u}, 1, length({u}) - greatest(0, least({run}, {closes} - {opens})))"
+
+
+@register("b5_extract_urls_lenient", f"""
+    WITH m AS (SELECT page_id, unnest(regexp_extract_all(t, {S.q(W.LENIENT_URL_RE)}, 0)) AS orig
+               FROM (SELECT page_id, {_LENIENT_TEXT} AS t FROM pages)),
+    s1 AS (SELECT page_id, orig, regexp_replace(orig, '[.,;:!?"]+\\z', '') AS u FROM m),
+    s2 AS (SELECT page_id, orig, {_unbalanced_sql('u', '(', ')')} AS u FROM s1),
+    s3 AS (SELECT page_id, orig, {_unbalanced_sql('u', '[', ']')} AS u FROM s2),
+    s4 AS (SELECT page_id, orig, ends_with(u, '.') AS dot, CASE WHEN ends_with(u, '.') THEN regexp_replace(u, '\\.+\\z', '') ELSE u END AS u FROM s3)
+    SELECT page_id, orig AS original,
+           CASE WHEN regexp_matches(u, '(?i)^https?://') THEN u ELSE 'https://' || u END || CASE WHEN dot THEN '.' ELSE '' END AS url
+    FROM s4 WHERE length(u) > 0""")
+def b5(c: Ctx) -> DataFrame:
+    p = c.t.pages
+    t = F.concat(F.lit("See "), F.replace(F.col("url"), F.lit("http://"), F.lit("")), F.lit("). Also (www."),
+                 F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit("/Page_("), F.col("page_id").cast("string"),
+                 F.lit(")). Ref ["), F.col("url"), F.lit("]]. End"))
+    e = p.select("page_id", F.explode(W.extract_urls_lenient(t)).alias("u"))
+    return e.select("page_id", F.col("u.original").alias("original"), F.col("u.url").alias("url"))
