@@ -466,17 +466,17 @@ def reduce_context_links(ctx: DataFrame, links: DataFrame, questions: DataFrame,
 def _d16_sql(limit: int) -> str:
     return f"""
     WITH {_D4_SQL},
-    segs AS (SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY o, j) AS seg, text AS t FROM flat
+    lsegs AS (SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY o, j) AS seg, text AS t FROM flat
              WHERE idx IN (SELECT idx FROM ctx WHERE strlen(context) > {limit})),
-    docs AS (SELECT q.idx, 0 AS seg, q.prompt AS t FROM v_questions q WHERE q.idx IN (SELECT idx FROM segs)
-             UNION ALL SELECT idx, seg, t FROM segs),
+    docs AS (SELECT q.idx, 0 AS seg, q.prompt AS t FROM v_questions q WHERE q.idx IN (SELECT idx FROM lsegs)
+             UNION ALL SELECT idx, seg, t FROM lsegs),
     {tfidf_ctes('docs')},
-    sc AS (SELECT s.idx, s.seg AS o, s.score, g.t FROM scores s JOIN segs g ON g.idx = s.idx AND g.seg = s.seg),
+    sc AS (SELECT s.idx, s.seg AS o, s.score, g.t FROM scores s JOIN lsegs g ON g.idx = s.idx AND g.seg = s.seg),
     {select_ctes('sc', limit)},
     reduced AS (SELECT idx, context FROM ctx WHERE strlen(context) <= {limit}
                 UNION ALL SELECT idx, context FROM selected
                 UNION ALL SELECT idx, {truncate_bytes_sql('context', str(limit))} FROM ctx
-                          WHERE strlen(context) > {limit} AND idx NOT IN (SELECT idx FROM segs))
+                          WHERE strlen(context) > {limit} AND idx NOT IN (SELECT idx FROM lsegs))
     SELECT idx, context, CAST(strlen(context) AS BIGINT) AS n_bytes FROM reduced"""
 
 
