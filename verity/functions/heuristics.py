@@ -140,6 +140,75 @@ def cleanup_placeholders(text: Column) -> Column:
     return py_strip(t)
 
 
+def strip_references(text: Column) -> Column:
+    """Remove an existing '## References' section (up to the next '##'
+    or the end), a bare 'References' list of [n] lines, and fold blank
+    lines."""
+    t = F.regexp_replace(text, r"(?s)##\s*References.*?(##|\z)", "$1")
+    t = F.regexp_replace(t, r"(?m)^References\s*\n\s*(?:\[\d+\]\s*\n)+", "")
+    return F.regexp_replace(t, r"\n\s*\n\s*\n+", "\n\n")
+
+
+def reference_line(num: Column, title: Column, url: Column, accessed: Column) -> Column:
+    """T33: '[n] title. Available at: <url> [Accessed: date]' + blank line."""
+    return F.concat(F.lit("["), num.cast("string"), F.lit("] "), F.coalesce(title, F.lit("Untitled")),
+                    F.lit(". Available at: <"), url, F.lit("> [Accessed: "), accessed, F.lit("]\n\n"))
+
+
+# Prompt templates for the batch evaluation.
+NAIVE_PROMPT = """You are a helpful and accurate assistant.
+Please answer the following question based on your knowledge.
+Question: {question}
+Answer:"""
+ORACLE_PROMPT = """Background information:\n{background_info}\n\n
+You are a helpful and accurate assistant.
+Please answer the following question based on your knowledge and the background information.
+Question: {question}
+Answer:"""
+GRADER_PROMPT = """===Task===
+I need your help in evaluating an answer provided by an LLM against a ground truth
+answer. Your task is to determine if the ground truth answer is present in the LLM's response.
+Please analyze the provided data and make a decision.
+
+===Instructions===
+1. Carefully compare the "Predicted Answer" with the "Ground Truth Answer".
+2. Consider the substance of the answers - look for equivalent information or correct answers. Do
+not focus on exact wording unless the exact wording is crucial to the meaning.
+3. Your final decision should be based on whether the meaning and the vital facts of the "Ground
+Truth Answer" are present in the "Predicted Answer:"
+
+===Input Data===
+- Question: {question}
+- Predicted Answer: {LLM_response}
+- Ground Truth Answer: {ground_truth_answer}
+
+===Output Format===
+Provide your final evaluation in the following format:
+"Explanation:" (How you made the decision?)
+"Decision:" ("TRUE" or "FALSE" )
+
+Please proceed with the evaluation. """
+
+
+def template_pieces(template: str) -> list[tuple[str, str]]:
+    """Split a {name} template into ('lit', text) / ('var', name) pieces."""
+    import re
+    out = []
+    pos = 0
+    for m in re.finditer(r"\{([A-Za-z_]+)\}", template):
+        out.append(("lit", template[pos:m.start()]))
+        out.append(("var", m.group(1)))
+        pos = m.end()
+    out.append(("lit", template[pos:]))
+    return [p for p in out if p != ("lit", "")]
+
+
+def render(template: str, values: dict[str, Column]) -> Column:
+    """Fill a template with columns (all placeholders at once, like
+    str.format)."""
+    return F.concat(*[F.lit(v) if k == "lit" else values[v] for k, v in template_pieces(template)])
+
+
 SECTION_PLACEHOLDER = r"(?i)\[[^\]]*(?:placeholder|needed|research|todo|tbd)[^\]]*\]"
 
 
