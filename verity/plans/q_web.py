@@ -322,6 +322,15 @@ def b20(c: Ctx) -> DataFrame:
     return q.select("conv_id", "turn", F.posexplode("queries").alias("query_pos", "query"))
 
 
+@register("b6_url_variants_first_hit")
+def b6(c: Ctx) -> DataFrame:
+    # Links arrive percent-encoded twice ('?' -> '%253F') for every third page.
+    p = c.t.pages
+    links = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.replace(F.col("url"), F.lit("?"), F.lit("%253F")))
+                     .otherwise(F.col("url")).alias("url")).withColumnRenamed("page_id", "link_id")
+    return W.first_variant_hit(links, p, ["link_id"])
+
+
 @register("b8_extract_articles_dom")
 def b8(c: Ctx) -> DataFrame:
     return W.extract_articles_dom(c.t.pages)
