@@ -449,6 +449,11 @@ def d4(c: Ctx) -> DataFrame:
     return CX.link_segments(ctx, links, "idx", "context", "link", 2048)
 
 
+@register("d8_chunk_granular")
+def d8(c: Ctx) -> DataFrame:
+    return CX.chunk_granular(c.t.documents, "doc_id", "text", 200)
+
+
 # ---- D16: single-context trim with link-anchored segments -----------------------
 
 def reduce_context_links(ctx: DataFrame, links: DataFrame, questions: DataFrame, key: str, limit: int) -> DataFrame:
