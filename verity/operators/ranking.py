@@ -31,3 +31,13 @@ def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank"
     out = tagged.join(F.broadcast(offsets), "_pid") \
         .withColumn(rank_col, F.col("_off") + local + 1)
     return out.drop("_pid", "_mid", "_off")
+
+
+def rank_within(df: DataFrame, key: str, order: list[str], rank_col: str = "rank") -> DataFrame:
+    """1-based position inside each ``key`` group following ``order`` (a
+    total order), without a window over the group: global rank over
+    (key, order) minus the group's first rank. A group holding a third of
+    all rows is spread over many range partitions."""
+    ranked = global_rank(df, [F.col(key)] + [F.col(o) for o in order], "_g")
+    first = ranked.groupBy(key).agg(F.min("_g").alias("_g0"))
+    return ranked.join(first, key).withColumn(rank_col, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")

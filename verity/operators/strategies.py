@@ -17,11 +17,14 @@ def ledger(attempts: DataFrame, key: str = "strategy_id", order: list[str] = ("t
     use, and the EMA confidence c <- (1 - alpha) c + alpha s (start 0.5),
     evaluated in closed form: (1-a)^n * c0 + sum_i a (1-a)^(n-i) s_i.
 
-    Position i comes from a per-strategy row_number; the closed form then
-    reduces in one aggregate."""
-    w = Window.partitionBy(key).orderBy(*order)
-    a = attempts.withColumn("_i", F.row_number().over(w)) \
-        .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    Position i comes from a range-partitioned global rank (a strategy with a
+    third of all attempts is spread over many tasks): i = rank - first rank
+    of the strategy + 1. The closed form then reduces in hash aggregates."""
+    from .ranking import global_rank
+
+    ranked = global_rank(attempts, [F.col(key)] + [F.col(o) for o in order], "_g")
+    span = ranked.groupBy(key).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"))
+    a = ranked.join(span, key).withColumn("_i", F.col("_g") - F.col("_g0") + 1)
     s = F.col("success").cast("double")
     term = F.lit(alpha) * F.pow(F.lit(1 - alpha), (F.col("_n") - F.col("_i")).cast("double")) * s
     g = a.groupBy(key).agg(
@@ -161,8 +164,9 @@ def select_for_inference(led: DataFrame, problem_type: Column, as_of: Column, le
 def refinement_queue(attempts: DataFrame, key: str, order: list[str], every: int = 10) -> DataFrame:
     """Attempts after which a strategy is due for refinement (every
     ``every``-th attempt)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    x = attempts.withColumn("attempt_no", F.row_number().over(w))
+    from .ranking import rank_within
+
+    x = rank_within(attempts, key, list(order), "attempt_no")
     return x.where(F.col("attempt_no") % every == 0)
 
 
