@@ -35,6 +35,9 @@ class Ctx:
         self.spark = spark
         self.sf_dir = sf_dir
         self.t = Tables(spark, sf_dir)
+        # Event time is defined in UTC (day labels, watermarks, NTZ -> TIMESTAMP).
+        if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def v(self, name: str) -> DataFrame:
         return SPARK_VIEWS[name](self.t)
