@@ -49,15 +49,31 @@ def entity_map(entities: DataFrame, key: str) -> DataFrame:
         "placeholder", F.format_string("<%s_%d>", F.col("entity_type"), F.row_number().over(w) - 1))
 
 
+def _row_entities(text):
+    def tag(etype):
+        return lambda s: F.struct(F.lit(etype).alias("entity_type"), s.alias("surface"))
+
+    parts = [F.transform(F.regexp_extract_all(text, F.lit(pat), 0), tag(etype)) for etype, pat in ENTITY_RULES]
+    return F.array_distinct(F.concat(*parts))
+
+
 def anonymize(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """K2: replace every detected surface by its placeholder."""
-    m = entity_map(detect_entities(docs, key, text), key)
-    pairs = m.groupBy(key).agg(F.collect_list(F.struct(
-        (-F.length("surface")).alias("nl"), F.col("surface").alias("s"), F.col("placeholder").alias("p"))).alias("_m"))
-    j = docs.select(key, text).join(pairs, key, "left")
-    ordered = F.array_sort(F.coalesce(F.col("_m"), F.array().cast(pairs.schema["_m"].dataType)))
-    out = F.aggregate(ordered, F.col(text), lambda acc, x: F.replace(acc, x["s"], x["p"]))
-    return j.select(key, out.alias("anonymized"))
+    """K2: replace every detected surface by its placeholder.
+
+    The entity map of a document is built inside its row (entities sorted
+    by type, first position, surface; the index is the position inside its
+    type's run), then applied longest surface first: a single projection,
+    no shuffle and no join back to the documents."""
+    t = F.col(text)
+    ents = F.transform(_row_entities(t), lambda e: F.struct(
+        e["entity_type"].alias("ty"), F.instr(t, e["surface"]).alias("st"), e["surface"].alias("s")))
+    d = docs.select(key, text).withColumn("_e", F.array_sort(ents))
+    types = F.transform("_e", lambda e: e["ty"])
+    indexed = F.transform("_e", lambda e, i: F.struct(
+        (-F.length(e["s"])).alias("nl"), e["s"].alias("s"),
+        F.format_string("<%s_%d>", e["ty"], i + 1 - F.array_position(types, e["ty"])).alias("p")))
+    out = F.aggregate(F.array_sort(indexed), t, lambda acc, x: F.replace(acc, x["s"], x["p"]))
+    return d.select(key, out.alias("anonymized"))
 
 
 def restore(anon: DataFrame, mapping: DataFrame, key: str, text: str = "anonymized") -> DataFrame:
