@@ -91,7 +91,7 @@ def select_ctes(scored: str, limit: int) -> str:
     joined = (f"array_to_string(list_filter(list_transform(list_sort(list_transform(list_filter(l, lambda x: list_contains(k, x.o)), "
               f"lambda x: {{'o': x.o, 't': x.t}})), lambda x: {S.py_strip('x.t')}), lambda s: length(s) > 0), chr(10) || chr(10))")
     return f"""
-    sl AS (SELECT idx, list_sort(list({{'ns': -score, 'o': CAST(o AS BIGINT), 'b': CAST(strlen(t) AS BIGINT), 't': t}})) AS l FROM {scored} GROUP BY idx),
+    sl AS (SELECT idx, list_sort(list({{'ns': -round(score, 12), 'o': CAST(o AS BIGINT), 'b': CAST(strlen(t) AS BIGINT), 't': t}})) AS l FROM {scored} GROUP BY idx),
     sk AS (SELECT idx, l, {fold} AS k FROM sl),
     sj AS (SELECT idx, l, k, {joined} AS j FROM sk),
     selected AS (SELECT idx, len(k) AS n_selected,
