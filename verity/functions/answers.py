@@ -21,9 +21,13 @@ def lit_re(p: str) -> Column:
     return F.lit(p)
 
 
+# The ASCII whitespace set (what ``\s`` matches in Java regex).
+ASCII_WHITESPACE = " \t\n\x0b\f\r"
+
+
 def py_strip(c: Column) -> Column:
-    """Python ``str.strip()`` for ASCII whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    """Python ``str.strip()`` for ASCII whitespace (``btrim``, no regex)."""
+    return F.btrim(c, F.lit(ASCII_WHITESPACE))
 
 
 def nonempty(c: Column) -> Column:
