@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import chars_div4
 from .ranking import global_rank
 
 
@@ -46,9 +47,8 @@ def resume(df: DataFrame, done: DataFrame, key: str = "idx", mode: str = "anti")
     ``max_index`` skips everything up to the largest processed key (the
     reference's resume rule)."""
     if mode == "max_index":
-        top = done.agg(F.max(key).alias("_m"))
-        return df.join(F.broadcast(top), how="cross").where(
-            F.col("_m").isNull() | (F.col(key) > F.col("_m"))).drop("_m")
+        top = done.agg(F.max(key)).first()[0]  # scalar parameter
+        return df if top is None else df.where(F.col(key) > F.lit(top))
     return df.join(done.select(key), key, "left_anti")
 
 
@@ -148,11 +148,6 @@ def skip_incomplete(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.where(cond)
 
 
-def chars_div4(c: Column) -> Column:
-    """T1 default token counter: characters // 4 (the reference fallback)."""
-    return F.floor(F.length(F.coalesce(c, F.lit(""))) / 4).cast("bigint")
-
-
 def over_budget(df: DataFrame, limit: int, cols: list[str], key: str = "idx",
                 counter=chars_div4) -> DataFrame:
     """Records whose prompt + answer + context tokens exceed

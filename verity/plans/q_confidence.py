@@ -137,7 +137,7 @@ def i10(c: Ctx) -> DataFrame:
     on = _early(c).agg(F.count(F.lit(1)).alias("online_traces"),
                        F.sum(F.col("terminated_early").cast("int")).cast("bigint").alias("early_terminations"),
                        F.sum("kept_tokens").alias("_ot"))
-    j = warm.crossJoin(on)  # two one-row aggregates
+    j = warm.withColumn("_k", F.lit(1)).join(on.withColumn("_k", F.lit(1)), "_k")  # two one-row aggregates
     return j.select((F.col("warmup_traces") + F.col("online_traces")).alias("total_traces"), "warmup_traces",
                     "online_traces", "early_terminations", (F.col("_wt") + F.col("_ot")).cast("bigint").alias("total_tokens"))
 
