@@ -128,10 +128,16 @@ def dedupe_within_horizon(events: DataFrame, keys: list[str], ts: str = "ts", ho
 
 def health_transitions(events: DataFrame, key: str, order: list[str], is_up) -> DataFrame:
     """L11 (batch): rows where a provider's up/down state changes (the first
-    observation counts as a change)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    s = events.withColumn("up", is_up).withColumn("_prev", F.lag("up").over(w))
-    return s.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("up"))).drop("_prev")
+    observation counts as a change). Providers are few, so each is a hot
+    key: positions come from the range-partitioned ``rank_within`` and the
+    previous observation is an equi join on (provider, position - 1)
+    rather than a ``lag`` over one provider's whole history in one task."""
+    from ..operators.ranking import rank_within
+
+    s = rank_within(events.withColumn("up", is_up), key, list(order), "_p")
+    prev = s.select(F.col(key), (F.col("_p") + 1).alias("_p"), F.col("up").alias("_prev"))
+    j = s.join(prev, [key, "_p"], "left")
+    return j.where(F.col("_prev").isNull() | (F.col("_prev") != F.col("up"))).drop("_prev", "_p")
 
 
 def conversations_batch(req: DataFrame, key: str = "request_id", order: tuple[str, ...] = ("ts", "event_id")) -> tuple[DataFrame, DataFrame]:
