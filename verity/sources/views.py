@@ -91,8 +91,12 @@ def v_links(t: Tables) -> DataFrame:
 
 
 def _event_pos(e: DataFrame, key: str = "user_id") -> DataFrame:
-    w = Window.partitionBy(key).orderBy("ts", "event_id")
-    return e.withColumn("rn", F.row_number().over(w))
+    """Position of each event inside its user's history (1-based), from the
+    range-partitioned global rank, so a user with a third of all events is
+    not numbered by one task."""
+    from ..operators.ranking import rank_within
+
+    return rank_within(e, key, ["ts", "event_id"], "rn")
 
 
 def v_candidates(t: Tables) -> DataFrame:
