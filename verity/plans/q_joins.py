@@ -86,7 +86,11 @@ def c7(c: Ctx) -> DataFrame:
     b AS (SELECT question_id, id, vid FROM p QUALIFY row_number() OVER (PARTITION BY question_id, id ORDER BY d DESC, vid) = 1)
     SELECT a.question_id, a.id AS candidate_id, coalesce(b.vid, a.id) AS verifier FROM a LEFT JOIN b USING (question_id, id)""")
 def c8(c: Ctx) -> DataFrame:
-    return J.farthest_other(c.v("v_candidates"), "question_id", "candidate_id", "temperature")
+    # Only the V_candidates columns C8 needs, projected straight from events
+    # (the view's per-user position is not used here).
+    agents = c.t.events.select(F.col("user_id").alias("question_id"), F.col("event_id").alias("candidate_id"),
+                               ((F.col("event_id") % 4) / 10).alias("temperature"))
+    return J.farthest_other(agents, "question_id", "candidate_id", "temperature")
 
 
 _SIG_SQL = "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 0))), ' ')"
