@@ -23,6 +23,20 @@ def test_every_oracle_has_a_query():
     assert set(SQLS) <= set(QUERIES)
 
 
+def test_catalog_imports_without_spark():
+    """The driver may ask for oracle SQL before any session exists."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); print(len(q), len(s))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-2000:]
+    n_q, n_s = map(int, out.stdout.split())
+    assert n_q == len(QUERIES) and n_s == len(SQLS)
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     rows = df.collect()
