@@ -23,6 +23,14 @@ def test_every_oracle_has_a_query():
     assert set(SQLS) <= set(QUERIES)
 
 
+def test_queries_pin_utc(spark):
+    """Day labels are UTC even when the caller's session uses another zone."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    first = QUERIES["f17_log_entries_per_day"](spark, SF_SMALL).orderBy("log_date").first()
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert str(first.log_date) == "2024-01-01"
+
+
 def test_catalog_imports_without_spark():
     """The driver may ask for oracle SQL before any session exists."""
     import os
