@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import bpe, sharding
 
 QUERIES = {
+    "op1_byte_bpe": bpe.op1_byte_bpe,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
 }
 
