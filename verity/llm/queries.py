@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, sharding
+from . import bpe, packing, sharding
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op4_concat_packing": packing.op4_concat_packing,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
 }
 
