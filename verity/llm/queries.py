@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, sharding
+from . import bpe, neardup, packing, sharding
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op4_concat_packing": packing.op4_concat_packing,
+    "op5_superminhash": neardup.op5_superminhash,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
 }
 
 ORACLES = {
+    "op5_superminhash": neardup.ORACLE,
     "op10_hash_tree_sharding": sharding.oracle(),
 }
