@@ -35,7 +35,7 @@ def test_replay_equals_greedy_library(library):
 def test_lower_merge_arising_midway_goes_first():
     """Merging 'ab' gives 'abc' a lower rank than the remaining 'ab' has."""
     ranks = {bytes([i]): i + 10 for i in range(256)} | {b"abc": 1, b"ab": 2, b"cab": 0}
-    table = bpe.merge_table(ranks)
+    table = bpe.Merges(ranks)
     got = bpe.replay([b"abcab", b"ab", b"zab"], ranks, table)
     assert got == [greedy(w, ranks) for w in (b"abcab", b"ab", b"zab")]
 
@@ -50,14 +50,16 @@ def greedy(word, ranks):
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
 
-def test_random_vocabularies_against_greedy():
+@pytest.mark.parametrize("wide", [0.1, 3, 150])
+def test_random_vocabularies_against_greedy(monkeypatch, wide):
+    monkeypatch.setattr(bpe, "WIDE", wide)
     rng = random.Random(9)
     for _ in range(60):
         tokens = {bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(rng.randint(2, 25))}
         order = rng.sample(sorted(tokens), len(tokens))
         ranks = {t: i for i, t in enumerate(order)} | {bytes([i]): i + 1000 for i in range(256)}
         words = [bytes(rng.choices(b"abc", k=rng.randint(1, 14))) for _ in range(40)]
-        assert bpe.replay(words, ranks, bpe.merge_table(ranks)) == [greedy(w, ranks) for w in words]
+        assert bpe.replay(words, ranks, bpe.Merges(ranks)) == [greedy(w, ranks) for w in words]
 
 
 def test_query_edge_cases(spark, library, tmp_path):

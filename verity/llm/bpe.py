@@ -54,36 +54,162 @@ def merge_table(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int], merges: dict[int, int]) -> list[list[int]]:
+class Merges:
+    """A vocabulary's merges, by pair and as sorted arrays."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.of = merge_table(ranks)
+        self.keys = np.array(sorted(self.of), np.int64)
+        self.ids = np.array([self.of[k] for k in self.keys.tolist()], np.int64)
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merged id of each pair, -1 if it does not merge."""
+        if not len(self.keys):
+            return np.full(len(left), -1)
+        key = left * SHIFT + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ids[at], -1)
+
+
+#: In place of the next position: the symbol has been merged into its left neighbour.
+GONE = -2
+
+#: Merges with fewer positions are replayed position by position.
+WIDE = 100
+
+
+class Corpus:
+    """Words laid out as one sequence of symbols with links to the neighbours
+    in the same word, and the inverted index from merge to positions."""
+
+    def __init__(self, words: list[bytes], merges: Merges):
+        self.merges = merges
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        n = int(ends[-1])
+        self.starts = ends - sizes
+        self.sym = merges.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        self.nxt, self.prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.nxt[ends - 1] = -1
+        self.prv[self.starts] = -1
+        self.pair = np.full(n, -1)  # merge that the pair at a position stands for
+        self.index: dict[int, list[np.ndarray]] = {}
+        self.mixed = np.zeros(n, bool)  # positions at which a lower merge arose midway
+        inner = np.flatnonzero(self.nxt >= 0)
+        self.enter(inner, merges.find(self.sym[inner], self.sym[inner + 1]))
+
+    def enter(self, at: np.ndarray, merge: np.ndarray) -> list[int]:
+        """Index the pairs at ``at``; returns the merges that were not indexed before."""
+        self.pair[at] = merge
+        order = np.argsort(merge, kind="stable")
+        at, merge = at[order], merge[order]
+        lo = int(np.searchsorted(merge, 0))
+        new = []
+        if lo < len(at):
+            at, merge = at[lo:], merge[lo:]
+            cuts = np.flatnonzero(np.diff(merge)) + 1
+            for r, spots in zip(merge[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts)):
+                if r not in self.index:
+                    self.index[r] = []
+                    new.append(r)
+                self.index[r].append(spots)
+        return new
+
+    def apply(self, r: int, i: np.ndarray) -> list[int]:
+        """Merge the pairs at ``i`` (sorted, not overlapping) into ``r``."""
+        sym, nxt, prv, pair = self.sym, self.nxt, self.prv, self.pair
+        j = nxt[i]
+        after = nxt[j]
+        # Next to another of these pairs, a lower merge may arise before that pair is merged.
+        close = np.flatnonzero(after[:-1] == i[1:])
+        if len(close):
+            between = self.merges.find(np.full(len(close), r), sym[after[close]])
+            self.mixed[i[close[(between >= 0) & (between <= r)]]] = True
+        sym[i] = r
+        pair[i] = pair[j] = -1
+        nxt[i], nxt[j] = after, GONE
+        inner = after >= 0
+        prv[after[inner]] = i[inner]
+        before = prv[i]
+        left = _distinct(np.concatenate([i[inner], before[before >= 0]]))
+        merge = self.merges.find(sym[left], sym[nxt[left]])
+        self.mixed[left[(merge >= 0) & (merge <= r)]] = True
+        return self.enter(left, merge)
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], merges: Merges) -> list[list[int]]:
     """Ids of each word, by replaying the merges over all words in rank order.
 
-    ``index`` maps a merge to the positions of its left symbols; ``heap``
-    yields the lowest merge that has positions. Positions of one merge are
-    applied from left to right, so overlapping pairs (``aaa``) merge as the
-    greedy rule has it. An entry is stale, and skipped, when its position no
-    longer starts that pair.
+    ``heap`` yields the lowest merge in the index; its positions are applied
+    from left to right, so overlapping pairs (``aaa``) merge as the greedy rule
+    has it. An entry is stale, and skipped, when its position no longer starts
+    that pair. Merges with many positions are applied as arrays; once they have
+    become narrow, the rest is applied position by position. A vocabulary may
+    let a lower merge arise midway through another; words in which arrays met
+    that are replayed anew position by position, where the lower goes first.
     """
     if not words:
         return []
-    sizes = np.array([len(w) for w in words])
-    ends = np.cumsum(sizes)
-    n = int(ends[-1])
-    first = np.array([ranks[bytes([i])] for i in range(256)])[np.frombuffer(b"".join(words), np.uint8)]
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    after[ends - 1] = -1
-    before[ends - sizes] = -1
-    keys, of_key = np.unique(first[:-1] * SHIFT + first[1:], return_inverse=True)
-    start = np.full(n, -1)
-    start[:-1] = np.array([merges.get(k, -1) for k in keys.tolist()], dtype=np.int64)[of_key] if n > 1 else []
-    start[ends - 1] = -1
-    order = np.argsort(start, kind="stable")
-    order = order[np.searchsorted(start[order], 0):]
-    found, cuts = np.unique(start[order], return_index=True)
-    index = {r: x.tolist() for r, x in zip(found.tolist(), np.split(order, cuts[1:]))} if len(found) else {}
-    sym, nxt, prv, pair = first.tolist(), after.tolist(), before.tolist(), start.tolist()
+    corpus = Corpus(words, merges)
+    index, heap = corpus.index, list(corpus.index)
+    heapq.heapify(heap)
+    width = 4.0 * WIDE
+    while heap and width > WIDE:
+        r = heapq.heappop(heap)
+        spots = np.concatenate(index.pop(r))
+        spots = _distinct(spots[corpus.pair[spots] == r])
+        if len(spots) > 1 and (corpus.nxt[spots[:-1]] == spots[1:]).any():
+            spots = _apart(spots, corpus.nxt)
+        if len(spots):
+            for q in corpus.apply(r, spots):
+                heapq.heappush(heap, q)
+        width = 0.98 * width + 0.02 * len(spots)
+    rest = {r: np.concatenate(index[r]).tolist() for r in index}
+    sym, nxt = corpus.sym.tolist(), corpus.nxt.tolist()
+    _one_by_one(rest, sym, nxt, corpus.prv.tolist(), corpus.pair.tolist(), merges.of)
+    out = _read(corpus.starts, sym, nxt)
+    if corpus.mixed.any():
+        again = np.unique(np.searchsorted(corpus.starts, np.flatnonzero(corpus.mixed), side="right") - 1).tolist()
+        for w in again:
+            fresh = Corpus([words[w]], merges)
+            sym, nxt = fresh.sym.tolist(), fresh.nxt.tolist()
+            _one_by_one({r: np.concatenate(x).tolist() for r, x in fresh.index.items()}, sym, nxt,
+                        fresh.prv.tolist(), fresh.pair.tolist(), merges.of)
+            out[w] = _read(fresh.starts, sym, nxt)[0]
+    return out
+
+
+def _read(starts: np.ndarray, sym: list[int], nxt: list[int]) -> list[list[int]]:
+    """The symbols that are left, by word."""
+    left = np.array(nxt) != GONE
+    ids = np.array(sym)[left].tolist()
+    cuts = [0, *np.cumsum(np.add.reduceat(left.astype(np.int64), starts)).tolist()]
+    return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _apart(spots: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """Of overlapping pairs, every other one from the left."""
+    kept, taken = [], -1
+    for i, j in zip(spots.tolist(), nxt[spots].tolist()):
+        if i != taken:
+            kept.append(i)
+            taken = j
+    return np.array(kept)
+
+
+def _one_by_one(index: dict[int, list[int]], sym: list[int], nxt: list[int], prv: list[int], pair: list[int],
+                of: dict[int, int]) -> None:
+    """Replay what is in ``index``, updating the lists in place."""
     heap = list(index)
     heapq.heapify(heap)
-    push, get = heapq.heappush, merges.get
+    push, get = heapq.heappush, of.get
     while heap:
         r = heapq.heappop(heap)
         spots = index.pop(r)
@@ -97,48 +223,32 @@ def replay(words: list[bytes], ranks: dict[bytes, int], merges: dict[int, int])
             sym[i] = r
             pair[i] = pair[j] = -1
             nxt[i] = a = nxt[j]
+            nxt[j] = GONE
             if a >= 0:
                 prv[a] = i
-                q = get(r * SHIFT + sym[a])
-                if q is not None:
-                    pair[i] = q
-                    if q in index:
-                        index[q].append(i)
-                    elif q == r:
-                        held.append(i)
-                    else:
-                        index[q] = [i]
-                        push(heap, q)
-                        lower = q < r
             p = prv[i]
-            if p >= 0:
-                q = get(sym[p] * SHIFT + r)
+            for left, right in ((i, a), (p, i)):
+                if left < 0 or right < 0:
+                    continue
+                q = get(sym[left] * SHIFT + sym[right])
                 if q is None:
-                    pair[p] = -1
+                    pair[left] = -1
+                    continue
+                pair[left] = q
+                if q in index:
+                    index[q].append(left)
+                elif q == r:
+                    held.append(left)
                 else:
-                    pair[p] = q
-                    if q in index:
-                        index[q].append(p)
-                    elif q == r:
-                        held.append(p)
-                    else:
-                        index[q] = [p]
-                        push(heap, q)
-                        lower = lower or q < r
+                    index[q] = [left]
+                    push(heap, q)
+                    lower = lower or q < r
             if lower:  # a lower merge has arisen: it goes first, the rest of this one waits
                 held.extend(spots[k + 1:])
                 break
         if held:
             index[r] = held
             push(heap, r)
-    out = []
-    for at in (ends - sizes).tolist():
-        ids = []
-        while at >= 0:
-            ids.append(sym[at])
-            at = nxt[at]
-        out.append(ids)
-    return out
 
 
 class Encoder:
@@ -148,13 +258,13 @@ class Encoder:
         import regex
 
         self.ranks = load_ranks(path)
-        self.merges = merge_table(self.ranks)
+        self.merges = Merges(self.ranks)
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.memo_words = memo_words
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, list[int]] = {}
 
-    def block(self, texts: list[str]) -> list[list[tuple[int, ...]]]:
+    def block(self, texts: list[str]) -> list[list[list[int]]]:
         """Per text, the ids of each of its words."""
         split, memo = self.split, self.memo
         words = [split(t) for t in texts]
@@ -163,9 +273,9 @@ class Encoder:
         parts = [i for i, w in enumerate(whole) if w not in self.ranks]
         for i, w in enumerate(whole):
             if w in self.ranks:
-                memo[fresh[i]] = (self.ranks[w],)
+                memo[fresh[i]] = [self.ranks[w]]
         for i, ids in zip(parts, replay([whole[i] for i in parts], self.ranks, self.merges)):
-            memo[fresh[i]] = tuple(ids)
+            memo[fresh[i]] = ids
         out = [[memo[w] for w in ws] for ws in words]
         if len(memo) > self.memo_words:
             memo.clear()
