@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, neardup, packing, sharding
+from . import bpe, langid, linededup, neardup, packing, quality, sharding
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op4_concat_packing": packing.op4_concat_packing,
     "op5_superminhash": neardup.op5_superminhash,
     "op7_compression_langid": langid.op7_compression_langid,
+    "op8_mcd_quality": quality.op8_mcd_quality,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
 }
