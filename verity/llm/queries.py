@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, neardup, packing, quality, sharding
+from . import bpe, langid, linededup, neardup, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_simhash": simhash.op2_simhash,
     "op4_concat_packing": packing.op4_concat_packing,
     "op5_superminhash": neardup.op5_superminhash,
     "op7_compression_langid": langid.op7_compression_langid,
