@@ -9,12 +9,14 @@
 2. Signatures are cut into bands; classes that share a band value share a
    bucket. With 32 bands of 4 a pair at similarity 0.85 misses every bucket
    with probability 5e-11 (at 0.8: 5e-8).
-3. Links are confirmed on the full sets. A few rounds compare each class with
-   one hub of its buckets (linear in the members) and merge what links; then
-   every pair of a bucket whose members are still in different components and
-   whose sizes allow the similarity is compared. Pairs inside a component need
-   no look, so a large group of near copies costs its members, not its pairs,
-   and no link between different components is lost.
+3. Links are confirmed on the full sets. An intersection cannot hold shingles
+   that nobody else has: classes with too many of their own leave first. A few
+   rounds compare each class with one hub of its buckets (linear in the
+   members) and merge what links; then every pair of a bucket is compared whose
+   members are still in different components, share enough with other components
+   and do not differ too much by a parity of their sets (all exact bounds). Pairs inside a component need no look, so a large group
+   of near copies costs its members, not its pairs, and no link between
+   different components is lost.
 4. Components come from hooking to the smallest neighbour and shortcutting
    (union-find in rounds), written to the shared folder between rounds.
 
@@ -40,6 +42,8 @@ from . import common
 BANDS, ROWS = 32, 4
 #: Rounds in which a class is compared with one hub.
 HUB_ROUNDS = 3
+#: Bits of the parity by which pairs are ruled out before their sets are read.
+PARITY_BITS = 512
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -129,9 +133,17 @@ def signed(df: DataFrame, key: str, text: str, k: int, bands: int, rows: int) ->
     return df.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """Every element flips one of PARITY_BITS bits. Two sets differ in at least
+    as many elements as their parities differ in bits."""
+    odd = np.bincount((elements % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(df: DataFrame, text: str, k: int) -> DataFrame:
-    """(set_key, shingles) of every row."""
-    schema = T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """(set_key, shingles, parity) of every row."""
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("set_key", T.BinaryType()), T.StructField("shingles", longs), T.StructField("parity", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -140,7 +152,8 @@ def shingle_sets(df: DataFrame, text: str, k: int) -> DataFrame:
             sets = [shingles(t, k) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=schema.names)
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                 pa.array([parity(s) for s in sets], pa.list_(pa.int64()))], names=schema.names)
 
     return df.select(F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -191,9 +204,24 @@ def _shared_buckets(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(mixed, "bucket")
 
 
-def _similar_sizes(a: str, b: str, num: int, den: int):
-    """Only sets of such sizes can reach the similarity."""
-    return F.expr(f"{den} * least({a}, {b}) >= {num} * greatest({a}, {b})")
+def _can_link(a: str, b: str, num: int, den: int):
+    """Whether two rows can link by their sizes and shared counts: an intersection
+    has at most as many shingles as either set shares with anybody."""
+    return F.expr(f"{num + den} * least({a}.shared, {b}.shared) >= {num} * ({a}.size + {b}.size)")
+
+
+def _shared_shingles(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(rep, shared): of each row's (rep, label) shingles, those that a row of another label has too."""
+    each = rows.select("rep", "label").join(sets, "rep").select("rep", "label", F.explode("shingles").alias("x"))
+    mixed = each.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("x")
+    return each.join(mixed, "x").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(rep, own): the shingles that no other set has, from one aggregate."""
+    each = sets.select("rep", F.explode("shingles").alias("x"))
+    return each.groupBy("x").agg(F.min("rep").alias("rep"), F.max("rep").alias("hi")).where("rep = hi") \
+        .groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
 
 
 def _link(df: DataFrame, key: str, text: str, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -204,7 +232,11 @@ def _link(df: DataFrame, key: str, text: str, classes: DataFrame, k: int, num: i
     wanted = classes.select("set_key", "rep").join(buckets.select("rep").distinct(), "rep", "left_semi")
     texts = df.select(F.col(key).alias("rep"), F.col(text).alias("_text")).join(wanted.select("rep"), "rep", "left_semi")
     sets = common.written(shingle_sets(texts, "_text", k).join(wanted, "set_key")
-                          .groupBy("rep").agg(F.first("shingles").alias("shingles")), "sets")
+                          .groupBy("rep").agg(F.first("shingles").alias("shingles"), F.first("parity").alias("parity")), "sets")
+    # A class too much of its own can link with nobody.
+    shared = F.col("size") - F.coalesce("own", F.lit(0))
+    buckets = common.written(_shared_buckets(buckets.join(_own_shingles(sets), "rep", "left").select("rep", "size", "bucket", shared.alias("shared"))
+                                             .where(den * F.col("shared") >= num * F.col("size")), "rep"), "buckets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sa = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -223,14 +255,17 @@ def _link(df: DataFrame, key: str, text: str, classes: DataFrame, k: int, num: i
         if live.isEmpty():
             break
         if turn < HUB_ROUNDS:
-            hubs = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("p"), F.col("rep").alias("hub"),
-                                                             F.col("size").alias("hub_size"), F.col("label").alias("hub_label"))).alias("h"))
-            near = live.join(hubs.select("bucket", "h.*"), "bucket") \
-                .where((F.col("label") != F.col("hub_label")) & _similar_sizes("size", "hub_size", num, den))
-            pairs = near.groupBy("rep").agg(F.min(F.struct("p", "hub")).alias("h")) \
-                .select(F.least("rep", "h.hub").alias("a"), F.greatest("rep", "h.hub").alias("b")).distinct()
+            # Hubs are the members with the smallest share of their own shingles, which links reach best.
+            rank = F.struct((1 - F.col("shared") / F.col("size")).alias("own"), F.xxhash64("rep", F.lit(turn)).alias("h"))
+            if turn:
+                rank = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"))
+            hubs = live.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "rep", "size", "shared", "label")).alias("h")) \
+                .select("bucket", "h.*").alias("h")
+            near = live.alias("m").join(hubs, "bucket").where(F.expr("m.label <> h.label") & _can_link("m", "h", num, den))
+            pairs = near.groupBy("m.rep").agg(F.min(F.struct("h.rank", F.col("h.rep").alias("hub"))).alias("p")) \
+                .select(F.least("rep", "p.hub").alias("a"), F.greatest("rep", "p.hub").alias("b")).distinct()
         else:
-            pairs = _across(live, num, den)
+            pairs = _across(sets, live, num, den)
         found = common.written(confirmed(pairs), "links")
         if found.isEmpty():
             continue
@@ -239,17 +274,25 @@ def _link(df: DataFrame, key: str, text: str, classes: DataFrame, k: int, num: i
     return labels
 
 
-def _across(live: DataFrame, num: int, den: int) -> DataFrame:
+def _across(sets: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
     """Every pair (a, b) of a bucket whose members are in different components
-    and of similar sizes. The members outside a bucket's largest component are
-    joined with the bucket, so a large component costs its members only."""
+    and can link by what they share with other components. The members outside
+    a bucket's largest component are joined with the bucket, so a large
+    component costs its members only. Pairs whose parities show that they differ
+    in too many shingles never leave the join."""
+    shared = _shared_shingles(sets, live.select("rep", "label").distinct())
+    live = live.drop("shared").join(shared, "rep").where(den * F.col("shared") >= num * F.col("size")) \
+        .join(sets.select("rep", "parity"), "rep")
+    live = common.written(_shared_buckets(live, "label"), "across")
     largest = live.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")) \
         .groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("largest"))
     rows = live.join(largest, "bucket")
-    few = rows.where("label <> largest").select("bucket", F.col("rep").alias("r"), F.col("size").alias("s"), F.col("label").alias("l"))
-    near = rows.join(few, "bucket").where((F.expr("label = largest or label < l")) & (F.col("label") != F.col("l"))
-                                          & _similar_sizes("size", "s", num, den))
-    return near.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")).distinct()
+    apart = " + ".join(f"bit_count(m.parity[{i}] ^ f.parity[{i}])" for i in range(PARITY_BITS // 64))
+    few = rows.where("label <> largest")
+    near = rows.alias("m").join(few.alias("f"), "bucket").where(
+        F.expr("(m.label = m.largest or m.label < f.label) and m.label <> f.label") & _can_link("m", "f", num, den)
+        & F.expr(f"{num + den} * ({apart}) <= {den - num} * (m.size + f.size)"))
+    return near.select(F.least("m.rep", "f.rep").alias("a"), F.greatest("m.rep", "f.rep").alias("b")).distinct()
 
 
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

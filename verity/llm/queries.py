@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, linededup, neardup, packing, quality, sharding, simhash
+from . import bpe, chat, langid, linededup, neardup, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_simhash": simhash.op2_simhash,
     "op4_concat_packing": packing.op4_concat_packing,
     "op5_superminhash": neardup.op5_superminhash,
+    "op6_prefix_tree_chat": chat.op6_prefix_tree_chat,
     "op7_compression_langid": langid.op7_compression_langid,
     "op8_mcd_quality": quality.op8_mcd_quality,
     "op9_line_dedup": linededup.op9_line_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op5_superminhash": neardup.ORACLE,
+    "op6_prefix_tree_chat": chat.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
     "op10_hash_tree_sharding": sharding.oracle(),
 }
