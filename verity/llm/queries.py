@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, linededup, neardup, packing, quality, sharding, simhash
+from . import bpe, chat, extract, langid, linededup, neardup, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_simhash": simhash.op2_simhash,
+    "op3_dom_boosting": extract.op3_dom_boosting,
     "op4_concat_packing": packing.op4_concat_packing,
     "op5_superminhash": neardup.op5_superminhash,
     "op6_prefix_tree_chat": chat.op6_prefix_tree_chat,
