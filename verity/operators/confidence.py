@@ -13,7 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import global_rank
+from .ranking import rank_within
+
+#: Positions of one key that a rolling mean's task sees together.
+BLOCK = 4096
 
 LN2 = math.log(2.0)
 
@@ -182,13 +185,13 @@ def thought_switches(text: Column) -> Column:
 
 def rolling_mean_last_n(df: DataFrame, key: str, order: list[str], value: str, n: int) -> DataFrame:
     """Mean of the last ``n`` values per key in ``order``, exact and
-    skew-safe. Rows are globally ranked (range-partitioned, so a key with a
-    third of all rows spreads over many tasks); each row is copied to the
-    ``n`` positions whose window contains it and summed per target position
-    with a hash aggregate. The fan-out is the constant ``n``."""
-    ranked = global_rank(df.select(key, *order, value), [F.col(key)] + [F.col(o) for o in order], "_g")
-    fan = ranked.select(key, F.col(value).alias("_v"),
-                        F.explode(F.sequence(F.col("_g"), F.col("_g") + (n - 1))).alias("_t"))
-    sums = fan.groupBy(key, "_t").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_k"))
-    out = ranked.join(sums, (ranked[key] == sums[key]) & (ranked["_g"] == sums["_t"])).drop(sums[key])
-    return out.select(key, *order, value, (F.col("_s") / F.col("_k")).alias("rolling_mean"))
+    skew-safe. Positions come from time buckets; the rows of a key are then cut
+    into blocks of ``BLOCK`` positions, the last ``n - 1`` rows of a block are
+    copied into the next, and a frame inside the block does the rest."""
+    ranked = rank_within(df.select(key, *order, value), key, list(order), "_p")
+    block = F.floor((F.col("_p") - 1) / BLOCK)
+    own = ranked.withColumn("_block", block).withColumn("_copy", F.lit(False))
+    copies = own.where((F.col("_p") - 1) % BLOCK >= BLOCK - (n - 1)).withColumn("_block", F.col("_block") + 1).withColumn("_copy", F.lit(True))
+    last = Window.partitionBy(key, "_block").orderBy("_p").rowsBetween(-(n - 1), 0)
+    out = own.unionByName(copies).withColumn("rolling_mean", F.avg(value).over(last))
+    return out.where(~F.col("_copy")).select(key, *order, value, "rolling_mean")

@@ -7,8 +7,6 @@ broadcast only when it is a bounded id list).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +45,8 @@ def resume(df: DataFrame, done: DataFrame, key: str = "idx", mode: str = "anti")
     ``max_index`` skips everything up to the largest processed key (the
     reference's resume rule)."""
     if mode == "max_index":
-        top = done.agg(F.max(key)).first()[0]  # scalar parameter
-        return df if top is None else df.where(F.col(key) > F.lit(top))
+        top = done.agg(F.max(key).alias("_top"))  # one row
+        return df.join(F.broadcast(top)).where(F.col("_top").isNull() | (F.col(key) > F.col("_top"))).drop("_top")
     return df.join(done.select(key), key, "left_anti")
 
 
@@ -60,15 +58,15 @@ def portable_hash(key: Column, seed: int) -> Column:
 
 def sample_percent(df: DataFrame, percent: float, seed: int = 42, key: str = "idx") -> DataFrame:
     """A10: exactly max(1, ceil(N * p / 100)) rows without replacement,
-    ordered by key. Membership is the n smallest hashes; the rank is
-    computed with a range-partitioned global rank, not one task."""
+    ordered by key. Membership is the n smallest hashes; ranks come from
+    buckets of the hash (its high bits), not from one task."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in (0, 100]")
-    n_total = df.count()
-    n = max(1, math.ceil(n_total * percent / 100.0))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
     h = df.withColumn("_h", portable_hash(F.col(key), seed))
-    ranked = global_rank(h, [F.col("_h"), F.col(key)], "_r")
-    return ranked.where(F.col("_r") <= n).drop("_h", "_r")
+    ranked = global_rank(h, ["_h", key], "_r", F.shiftright("_h", 18))
+    n = F.greatest(F.lit(1), F.ceil(F.col("_total") * F.lit(percent) / 100.0))
+    return ranked.join(F.broadcast(total)).where(F.col("_r") <= n).drop("_h", "_r", "_total")
 
 
 def normalize_samples(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,9 +115,7 @@ def normalize_samples(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_bad_records(df: DataFrame, bad_ids: DataFrame, key: str = "idx") -> DataFrame:
     """Remove listed ids (the reference pops while iterating and can
     skip a neighbour; this filters every listed id)."""
-    from ..plans.sizing import broadcast_if_small
-
-    return df.join(broadcast_if_small(bad_ids.select(key).distinct()), key, "left_anti")
+    return df.join(bad_ids.select(key), key, "left_anti")
 
 
 def filter_output_tokens(df: DataFrame, col: str, limit: int = 4000) -> DataFrame:

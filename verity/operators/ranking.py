@@ -1,44 +1,60 @@
-"""Exact global ranking without a single-partition window.
-
-``row_number() OVER (ORDER BY ...)`` with no partition key moves every row
-into one task. ``global_rank`` instead range-partitions on the order key
-(one shuffle, sampled bounds), numbers rows inside each partition, and adds
-the row count of all earlier partitions. The per-partition count table has
-one row per partition, so broadcasting it is bounded by the partition
-count, not by the data.
+"""Exact ranks without a window over all rows or over a hot group.
+
+A row's bucket is computed from its own order column, so every plan, retry and
+recomputation agrees on it: rows are counted per (group, bucket), a running sum
+over that small table gives what lies before each bucket, and ``row_number``
+numbers the rows inside one. A group with a third of all rows is spread over
+its buckets. Partition ids and sampled range bounds play no part.
+
+The bucket must rise with the first order column: by default the hour of a
+timestamp, the day of a date, and ``BUCKET_WIDTH`` consecutive values of a
+number; strings and others need a bucket of the caller's. Nulls come first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Consecutive values of a whole-number order column that share a bucket.
+BUCKET_WIDTH = 4096
+
+
+def default_bucket(df: DataFrame, column: str) -> Column:
+    """A coarse, rising function of an order column."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("hour", F.col(column))
+    if isinstance(kind, T.DateType):
+        return F.col(column)
+    if isinstance(kind, T.IntegralType):
+        return F.floor(F.col(column) / F.lit(BUCKET_WIDTH))
+    raise TypeError(f"no default bucket for {column}: {kind.simpleString()}")
+
+
+def _numbered(df: DataFrame, groups: list[str], order: list[str], bucket: Column, rank_col: str) -> DataFrame:
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_b"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
+    out = rows.withColumn("_in", F.row_number().over(inside)).join(offsets, on)
+    return out.withColumn(rank_col, F.col("_off") + F.col("_in")) \
+        .drop("_bucket", "_b", "_off", "_in", *[f"_g{i}" for i in range(len(groups))])
+
+
+def global_rank(df: DataFrame, order: list[str], rank_col: str = "rank", bucket: Column | None = None) -> DataFrame:
+    """Add a 1-based ``rank_col`` following ``order`` (a total order: a unique
+    key last). The running sum has one row per bucket of the whole table."""
+    return _numbered(df, [], order, default_bucket(df, order[0]) if bucket is None else bucket, rank_col)
 
 
-def global_rank(df: DataFrame, order: list[Column | str], rank_col: str = "rank") -> DataFrame:
-    """Add a 1-based ``rank_col`` following ``order`` (which must be a total
-    order: include a unique key last)."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    tagged = ranged.withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_mid", F.monotonically_increasing_id())
-    # ``order`` is a total order, so the range bounds (sampled with fixed
-    # seeds from the same input), the local sort and the ids are the same on
-    # every recomputation: a retried task or lost executor reproduces the same
-    # ranks from lineage, and no checkpoint is needed.
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = tagged.join(F.broadcast(offsets), "_pid") \
-        .withColumn(rank_col, F.col("_off") + local + 1)
-    return out.drop("_pid", "_mid", "_off")
-
-
-def rank_within(df: DataFrame, key: str, order: list[str], rank_col: str = "rank") -> DataFrame:
-    """1-based position inside each ``key`` group following ``order`` (a
-    total order), without a window over the group: global rank over
-    (key, order) minus the group's first rank. A group holding a third of
-    all rows is spread over many range partitions."""
-    ranked = global_rank(df, [F.col(key)] + [F.col(o) for o in order], "_g")
-    first = ranked.groupBy(key).agg(F.min("_g").alias("_g0"))
-    return ranked.join(first, key).withColumn(rank_col, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+def rank_within(df: DataFrame, key: str, order: list[str], rank_col: str = "rank", bucket: Column | None = None) -> DataFrame:
+    """Add the 1-based position inside each ``key`` group following ``order``
+    (a total order)."""
+    return _numbered(df, [key], list(order), default_bucket(df, order[0]) if bucket is None else bucket, rank_col)

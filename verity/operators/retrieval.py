@@ -1,11 +1,11 @@
-"""Retrieval over bounded memories and prompt/answer text helpers
+"""Retrieval over memories and prompt/answer text helpers
 (SURVEY 2.D: D17-D27, H14).
 
 ``retrieve`` scores queries against the items of the memory they belong to
 with tf-idf fitted on the items only (2+ character lower-case word runs,
 smoothed idf, L2-normalised count vectors). It joins on (memory, term), so
-a query only meets items that share a term with it; memories are bounded
-(``bounded_memory``), which bounds every query's candidate set.
+a query only meets items that share a term with it. ``bounded_memory`` (D18)
+keeps a memory's latest items where a caller wants that.
 """
 
 from __future__ import annotations
@@ -26,31 +26,32 @@ def bounded_memory(items: DataFrame, key: str, order: str, max_size: int = 100)
 def retrieve(items: DataFrame, queries: DataFrame, mem: str, item_id: str, item_text: str,
              query_id: str, query_text: str, n: int = 10) -> DataFrame:
     """Top ``n`` items per query by cosine similarity (ties: later item
-    first). Query terms unknown to the memory are ignored."""
-    it = items.select(F.col(mem), F.col(item_id).alias("_i"),
-                      F.explode(F.regexp_extract_all(F.lower(item_text), F.lit(SK_TERM_RE), 0)).alias("term"))
-    tf = it.groupBy(mem, "_i", "term").agg(F.count(F.lit(1)).alias("_c"))
+    first). Query terms unknown to the memory are ignored. Only pairs that
+    share a term are scored; items that share none score 0 and can fill a list
+    only from the memory's ``n`` latest, which are added as such."""
+    terms = lambda d, key, text: d.select(
+        F.col(mem), F.col(key).alias("_id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(SK_TERM_RE), 0)).alias("term")) \
+        .groupBy(mem, "_id", "term").agg(F.count(F.lit(1)).alias("_c"))
+    tf = terms(items, item_id, item_text)
     n_items = items.groupBy(mem).agg(F.count(F.lit(1)).alias("_n"))
-    df = tf.groupBy(mem, "term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = df.join(n_items, mem).select(mem, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
-    iw = tf.join(idf, [mem, "term"]).withColumn("_w", F.col("_c") * F.col("_idf"))
-    inorm = iw.groupBy(mem, "_i").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_in"))
-    iw = iw.join(inorm, [mem, "_i"]).select(mem, "_i", "term", (F.col("_w") / F.col("_in")).alias("_iw"))
-    qt = queries.select(F.col(mem), F.col(query_id).alias("_q"),
-                        F.explode(F.regexp_extract_all(F.lower(query_text), F.lit(SK_TERM_RE), 0)).alias("term"))
-    qtf = qt.groupBy(mem, "_q", "term").agg(F.count(F.lit(1)).alias("_c"))
-    qw = qtf.join(idf, [mem, "term"]).withColumn("_w", F.col("_c") * F.col("_idf"))
-    qnorm = qw.groupBy(mem, "_q").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_qn"))
-    qw = qw.join(qnorm, [mem, "_q"]).select(mem, "_q", "term", (F.col("_w") / F.col("_qn")).alias("_qw"))
-    dots = qw.join(iw, [mem, "term"]).groupBy(mem, "_q", "_i").agg(F.sum(F.col("_qw") * F.col("_iw")).alias("score"))
-    # Items sharing no term score 0; they can still fill a top-n list.
-    allq = queries.select(F.col(mem), F.col(query_id).alias("_q"))
-    cand = allq.join(items.select(F.col(mem), F.col(item_id).alias("_i")), mem) \
-        .join(dots, [mem, "_q", "_i"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    idf = tf.groupBy(mem, "term").agg(F.count(F.lit(1)).alias("_df")).join(n_items, mem) \
+        .select(mem, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
+    weighted = lambda d: d.join(idf, [mem, "term"]).select(mem, "_id", "term", (F.col("_c") * F.col("_idf")).alias("_w"))
+    iw, qw = weighted(tf), weighted(terms(queries, query_id, query_text))
+    norm = lambda d, key: d.groupBy(mem, "_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias(f"{key}n")).withColumnRenamed("_id", key)
+    dots = qw.select(mem, "term", F.col("_id").alias("_q"), F.col("_w").alias("_qw")) \
+        .join(iw.select(mem, "term", F.col("_id").alias("_i"), F.col("_w").alias("_iw")), [mem, "term"]) \
+        .groupBy(mem, "_q", "_i").agg(F.sum(F.col("_qw") * F.col("_iw")).alias("_dot"))
+    scored = dots.join(norm(qw, "_q"), [mem, "_q"]).join(norm(iw, "_i"), [mem, "_i"]) \
+        .select(mem, "_q", "_i", (F.col("_dot") / (F.col("_qn") * F.col("_in"))).alias("score"))
+    latest = items.select(F.col(mem), F.col(item_id).alias("_i")) \
+        .withColumn("_r", F.row_number().over(Window.partitionBy(mem).orderBy(F.col("_i").desc()))).where(F.col("_r") <= n).drop("_r")
+    unrelated = queries.select(F.col(mem), F.col(query_id).alias("_q")).join(latest, mem) \
+        .join(scored, [mem, "_q", "_i"], "left_anti").withColumn("score", F.lit(0.0))
     # Rank on the score rounded to 12 digits: identical items (exact copies)
     # tie exactly, whatever order their float sums were added in.
     w = Window.partitionBy("_q").orderBy(F.round("score", 12).desc(), F.col("_i").desc())
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    top = scored.unionByName(unrelated).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return top.select(F.col("_q").alias(query_id), "rank", F.col("_i").alias(item_id), F.round("score", 9).alias("score"))
 
 

@@ -17,14 +17,13 @@ def ledger(attempts: DataFrame, key: str = "strategy_id", order: list[str] = ("t
     use, and the EMA confidence c <- (1 - alpha) c + alpha s (start 0.5),
     evaluated in closed form: (1-a)^n * c0 + sum_i a (1-a)^(n-i) s_i.
 
-    Position i comes from a range-partitioned global rank (a strategy with a
-    third of all attempts is spread over many tasks): i = rank - first rank
-    of the strategy + 1. The closed form then reduces in hash aggregates."""
-    from .ranking import global_rank
-
-    ranked = global_rank(attempts, [F.col(key)] + [F.col(o) for o in order], "_g")
-    span = ranked.groupBy(key).agg(F.min("_g").alias("_g0"), F.count(F.lit(1)).alias("_n"))
-    a = ranked.join(span, key).withColumn("_i", F.col("_g") - F.col("_g0") + 1)
+    Position i comes from time buckets (a strategy with a third of all
+    attempts is spread over many tasks). The closed form then reduces in hash
+    aggregates."""
+    from .ranking import rank_within
+
+    ranked = rank_within(attempts, key, list(order), "_i")
+    a = ranked.join(attempts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), key)
     s = F.col("success").cast("double")
     term = F.lit(alpha) * F.pow(F.lit(1 - alpha), (F.col("_n") - F.col("_i")).cast("double")) * s
     g = a.groupBy(key).agg(

@@ -20,13 +20,13 @@ def verification_scores(v: DataFrame, key: str = "solution_id") -> DataFrame:
     g = v.groupBy(key).agg(F.count(F.lit(1)).alias("n_verifications"), F.sum(ok).cast("bigint").alias("n_correct"),
                            F.avg("confidence").alias("avg_confidence"))
     return g.withColumn("verification_score", F.round(F.col("n_correct") / F.col("n_verifications"), 6)) \
-        .withColumn("avg_confidence", F.round("avg_confidence", 9))
+        .withColumn("avg_confidence", F.round(F.round("avg_confidence", 12), 9))
 
 
 def assessment_summary(v: DataFrame) -> DataFrame:
     """H1: counts and mean confidence per assessment."""
     return v.groupBy("assessment").agg(F.count(F.lit(1)).alias("n"),
-                                       F.round(F.avg("confidence"), 9).alias("avg_confidence"))
+                                       F.round(F.round(F.avg("confidence"), 12), 9).alias("avg_confidence"))
 
 
 def verified_by_streak(v: DataFrame, key: str = "solution_id", attempt: str = "attempt",

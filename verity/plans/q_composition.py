@@ -244,7 +244,7 @@ def f20(c: Ctx) -> DataFrame:
 
 @register("g16_word_overlap_match", """
     WITH w AS (SELECT idx, list_distinct(list_filter(regexp_split_to_array(lower(prompt), '\\s+'), lambda x: length(x) > 0)) AS a,
-                      list_distinct(list_filter(regexp_split_to_array(lower(substr(model_answer, 1, 100)), '\\s+'), lambda x: length(x) > 0)) AS b
+                      list_distinct(list_filter(regexp_split_to_array(lower(model_answer), '\\s+'), lambda x: length(x) > 0)) AS b
                FROM v_results)
     SELECT idx, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0), 9) AS jaccard,
            coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0) > 0.7 AS is_match
@@ -252,21 +252,21 @@ def f20(c: Ctx) -> DataFrame:
 def g16(c: Ctx) -> DataFrame:
     r = c.v("v_results")
     a = tx.split_words(F.lower("prompt"))
-    b = tx.split_words(F.lower(F.substring("model_answer", 1, 100)))
+    b = tx.split_words(F.lower("model_answer"))
     j = F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
     return r.select("idx", F.round(j, 9).alias("jaccard"), (j > 0.7).alias("is_match"))
 
 
 @register("h26_prompt_statistics", """
     WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations),
-    u AS (SELECT array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 40)), '\\s+'), lambda w: length(w) > 0))), ' ') AS signature,
+    u AS (SELECT array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 0))), ' ') AS signature,
                  CASE WHEN next_role = 'assistant' THEN 1.0 ELSE 0.0 END AS success FROM t WHERE role = 'user')
     SELECT signature, count(*) AS uses, round(avg(success), 9) AS success_rate FROM u GROUP BY 1""")
 def h26(c: Ctx) -> DataFrame:
     t = c.t.conversations
     w = Window.partitionBy("conv_id").orderBy("turn")
     u = t.withColumn("next_role", F.lead("role").over(w)).where(F.col("role") == "user")
-    u = u.select(J.prompt_signature(F.substring("text", 1, 40)).alias("signature"),
+    u = u.select(J.prompt_signature(F.col("text")).alias("signature"),
                  F.when(F.col("next_role") == "assistant", 1.0).otherwise(0.0).alias("success"))
     return u.groupBy("signature").agg(F.count(F.lit(1)).alias("uses"), F.round(F.avg("success"), 9).alias("success_rate"))
 

@@ -269,7 +269,7 @@ def d15(c: Ctx) -> DataFrame:
 
 
 _D17_SQL = """
-    items AS (SELECT source AS mem, doc_id AS i, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 100),
+    items AS (SELECT source AS mem, doc_id AS i, text FROM documents),
     queries AS (SELECT 'src' || (item_id % (SELECT count(DISTINCT source) FROM documents)) AS mem, item_id AS q, text FROM benchmark),
     it AS (SELECT mem, i, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}', 0)) AS term FROM items),
     tf AS (SELECT mem, i, term, count(*) AS c FROM it GROUP BY ALL),
@@ -299,9 +299,11 @@ def _memory(c: Ctx, size: int) -> DataFrame:
     SELECT q AS item_id, rank, i AS doc_id, round(score, 9) AS score
     FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 12) DESC, i DESC) AS rank FROM cand) WHERE rank <= 10""")
 def d17(c: Ctx) -> DataFrame:
-    n_src = c.t.documents.select("source").distinct().count()  # scalar parameter
-    q = c.t.benchmark.select(F.concat(F.lit("src"), (F.col("item_id") % n_src).cast("string")).alias("mem"), "item_id", "text")
-    return RT.retrieve(_memory(c, 100), q, "mem", "doc_id", "text", "item_id", "text", 10)
+    n_src = c.t.documents.agg(F.count_distinct("source").alias("n"))  # one row
+    q = c.t.benchmark.join(F.broadcast(n_src)) \
+        .select(F.concat(F.lit("src"), (F.col("item_id") % F.col("n")).cast("string")).alias("mem"), "item_id", "text")
+    items = c.t.documents.select(F.col("source").alias("mem"), "doc_id", "text")
+    return RT.retrieve(items, q, "mem", "doc_id", "text", "item_id", "text", 10)
 
 
 @register("d18_bounded_memory", """
@@ -355,12 +357,12 @@ _D21_NOTE = "CASE completion_id % 3 WHEN 0 THEN 'YES#' || text WHEN 1 THEN 'NO#s
 
 @register("d21_margin_notes", f"""
     SELECT question_id, count(*) AS n_notes, string_agg(substring(n, strpos(n, '#') + 1), chr(10) ORDER BY completion_id) AS combined_notes
-    FROM (SELECT question_id, completion_id, {_D21_NOTE} AS n FROM v_completions) WHERE starts_with(n, 'YES#') GROUP BY 1""")
+    FROM (SELECT completion_id // 16 AS question_id, completion_id, {_D21_NOTE} AS n FROM v_completions) WHERE starts_with(n, 'YES#') GROUP BY 1""")
 def d21(c: Ctx) -> DataFrame:
     comp = c.v("v_completions")
     n = F.col("completion_id") % 3
     note = F.when(n == 0, F.concat(F.lit("YES#"), F.col("text"))).when(n == 1, F.lit("NO#skip")).otherwise(F.lit("N/A"))
-    return RT.margin_notes(comp.select("question_id", "completion_id", note.alias("note")), "question_id", "completion_id", "note")
+    return RT.margin_notes(comp.select(F.expr("completion_id div 16").alias("question_id"), "completion_id", note.alias("note")), "question_id", "completion_id", "note")
 
 
 _IRRELEVANT = ["license", "password"]
@@ -378,7 +380,7 @@ def d22(c: Ctx) -> DataFrame:
 
 @register("d23_neighbour_summaries", """
     WITH ch AS (SELECT doc_id, generate_subscripts(c, 1) - 1 AS chunk_no, unnest(c) AS chunk
-                FROM (SELECT doc_id, list_transform(range(0, length(text), 1000), lambda s: substring(text, s + 1, 300)) AS c FROM documents)),
+                FROM (SELECT doc_id, list_transform(range(0, length(text), 1000), lambda s: substring(text, s + 1, 1000)) AS c FROM documents)),
     n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM ch)
     SELECT doc_id, chunk_no,
            coalesce(array_to_string(list(CASE WHEN chunk_no < n - 1 THEN chunk END) OVER (PARTITION BY doc_id ORDER BY chunk_no
@@ -388,12 +390,12 @@ def d23(c: Ctx) -> DataFrame:
     d = c.t.documents
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(1000))
     ch = d.where(F.length("text") > 0).select(
-        "doc_id", F.posexplode(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, 300))).alias("chunk_no", "chunk"))
+        "doc_id", F.posexplode(F.transform(starts, lambda s: F.substring(F.col("text"), s + 1, 1000))).alias("chunk_no", "chunk"))
     return RT.neighbour_summaries(ch, "doc_id", "chunk_no", "chunk", 5)
 
 
-_D26_TEXT = ("'Plan:' || chr(10) || '<SUB-QUESTIONS>' || chr(10) || '1. ' || substr(prompt, 1, 30) || chr(10) || chr(10) || "
-             "'2.' || substr(prompt, 31, 30) || chr(10) || 'Why ' || idx || '?' || chr(10) || '</SUB-QUESTIONS>'")
+_D26_TEXT = ("'Plan:' || chr(10) || '<SUB-QUESTIONS>' || chr(10) || '1. ' || prompt || chr(10) || chr(10) || "
+             "'2.What of ' || prompt || chr(10) || 'Why ' || idx || '?' || chr(10) || '</SUB-QUESTIONS>'")
 
 
 @register("d26_sub_questions", f"""
@@ -403,7 +405,7 @@ _D26_TEXT = ("'Plan:' || chr(10) || '<SUB-QUESTIONS>' || chr(10) || '1. ' || sub
       FROM (SELECT idx, {_D26_TEXT} AS t FROM v_questions))""")
 def d26(c: Ctx) -> DataFrame:
     q = c.v("v_questions")
-    t = F.concat(F.lit("Plan:\n<SUB-QUESTIONS>\n1. "), F.substring("prompt", 1, 30), F.lit("\n\n2."), F.substring("prompt", 31, 30),
+    t = F.concat(F.lit("Plan:\n<SUB-QUESTIONS>\n1. "), F.col("prompt"), F.lit("\n\n2.What of "), F.col("prompt"),
                  F.lit("\nWhy "), F.col("idx").cast("string"), F.lit("?\n</SUB-QUESTIONS>"))
     return q.select("idx", F.posexplode(RT.sub_questions(t)).alias("q_pos", "question"))
 
@@ -504,8 +506,7 @@ def d16_small(c: Ctx) -> DataFrame:
 
 
 # ---- D24/D25: map / collapse / reduce tables -----------------------------------
-# Map completions are outside the engine; the fixture stands in the first 80
-# characters of each chunk as its map result.
+# Map completions are outside the engine; each chunk stands in for its map result.
 
 MAP_TEMPLATE = "Question: {question}\nContext:\n{context}\nAnswer briefly."
 REDUCE_TEMPLATE = "Question: {question}\nNotes:\n{context}\nGive the final answer."
@@ -515,7 +516,7 @@ COLLAPSE_BUDGET = WINDOW_TOKENS - len(REDUCE_TEMPLATE) // 4 - OUTPUT_TOKENS
 _MR_SQL = """
     ch AS (SELECT doc_id, generate_subscripts(c, 1) - 1 AS chunk_no, unnest(c) AS chunk
            FROM (SELECT doc_id, list_transform(range(0, length(text), 1000), lambda s: substring(text, s + 1, 1000)) AS c FROM documents)),
-    res AS (SELECT doc_id, chunk_no, substring(chunk, 1, 80) AS t FROM ch
+    res AS (SELECT doc_id, chunk_no, chunk AS t FROM ch
             WHERE NOT (contains(upper(chunk), 'LICENSE') OR contains(upper(chunk), 'PASSWORD'))),
     red AS (SELECT doc_id, count(*) AS n_chunks,
                    string_agg('Information of Chunk ' || (rn - 1) || ':' || chr(10) || t || chr(10), '' ORDER BY chunk_no) AS context
@@ -528,7 +529,7 @@ def _map_chunks(c: Ctx) -> DataFrame:
 
 def _map_results(c: Ctx) -> DataFrame:
     ch = RT.drop_irrelevant(_map_chunks(c), "chunk", _IRRELEVANT)
-    return ch.select("doc_id", "chunk_no", F.substring("chunk", 1, 80).alias("t"))
+    return ch.select("doc_id", "chunk_no", F.col("chunk").alias("t"))
 
 
 @register("d24_map_prompts", f"""

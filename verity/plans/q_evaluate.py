@@ -219,7 +219,7 @@ def f12(c: Ctx) -> DataFrame:
 
 
 @register("f13_label_distribution", """
-    WITH s AS (SELECT l.toxic = 1 AS gt, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE substr(d.text, 1, 200) END AS context
+    WITH s AS (SELECT l.toxic = 1 AS gt, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE d.text END AS context
                FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
     m AS (SELECT count(*) AS n_total, count(gt) AS gt_labelled, CAST(coalesce(sum(CASE WHEN gt THEN 1 ELSE 0 END), 0) AS BIGINT) AS gt_true,
                  CAST(coalesce(sum(CASE WHEN length(context) > 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS with_context FROM s)
@@ -231,7 +231,7 @@ def f12(c: Ctx) -> DataFrame:
 def f13(c: Ctx) -> DataFrame:
     d = c.t.documents.select("doc_id", "text").join(c.t.labels.select("doc_id", "toxic"), "doc_id", "left")
     s = d.select((F.col("toxic") == 1).alias("gt"),
-                 F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.substring("text", 1, 200)).alias("context"))
+                 F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("context"))
     return ev.label_distribution(s, "gt", "context")
 
 

@@ -226,7 +226,7 @@ def h25(c: Ctx) -> DataFrame:
 @register("t23_classify_problem_type", """
     WITH r AS (SELECT doc_id, lower(trim(CASE WHEN doc_id % 3 = 0 THEN 'Word_Problem'
                                            WHEN doc_id % 3 = 1 THEN 'I think this is a coding_problem or planning_task'
-                                           ELSE substr(text, 1, 20) END)) AS t FROM documents)
+                                           ELSE text END)) AS t FROM documents)
     SELECT doc_id, CASE WHEN t IN ('arithmetic_calculation', 'algebraic_equation', 'statistical_analysis', 'logical_reasoning',
                                    'word_problem', 'coding_problem', 'algorithm_design', 'creative_writing', 'text_summarization',
                                    'information_retrieval', 'planning_task', 'decision_making', 'knowledge_question',
@@ -253,5 +253,5 @@ def t23(c: Ctx) -> DataFrame:
     d = c.t.documents
     reply = (F.when(F.col("doc_id") % 3 == 0, F.lit("Word_Problem"))
               .when(F.col("doc_id") % 3 == 1, F.lit("I think this is a coding_problem or planning_task"))
-              .otherwise(F.substring("text", 1, 20)))
+              .otherwise(F.col("text")))
     return d.select("doc_id", ST.classify_problem_type(reply).alias("problem_type"))

@@ -11,7 +11,7 @@ from .catalog import Ctx, register
 
 @register("h1_verification_scores", """
     SELECT solution_id, count(*) AS n_verifications, CAST(sum(CASE WHEN assessment = 'CORRECT' THEN 1 ELSE 0 END) AS BIGINT) AS n_correct,
-           round(avg(confidence), 9) AS avg_confidence,
+           round(round(avg(confidence), 12), 9) AS avg_confidence,
            round(sum(CASE WHEN assessment = 'CORRECT' THEN 1 ELSE 0 END) / count(*), 6) AS verification_score
     FROM v_verifications GROUP BY 1""")
 def h1(c: Ctx) -> DataFrame:
@@ -19,7 +19,7 @@ def h1(c: Ctx) -> DataFrame:
 
 
 @register("h1_assessment_summary", """
-    SELECT assessment, count(*) AS n, round(avg(confidence), 9) AS avg_confidence FROM v_verifications GROUP BY 1""")
+    SELECT assessment, count(*) AS n, round(round(avg(confidence), 12), 9) AS avg_confidence FROM v_verifications GROUP BY 1""")
 def h1_summary(c: Ctx) -> DataFrame:
     return VF.assessment_summary(c.v("v_verifications"))
 

@@ -256,8 +256,8 @@ def b18(c: Ctx) -> DataFrame:
 
 
 @register("b19_parse_result_blocks", f"""
-    WITH g AS (SELECT page_id % 20 AS grp,
-                      string_agg((page_id // 20 + 1) || '. **' || {page_title('html', 'url')} || '**' || chr(10) || '   URL: ' || url || chr(10), ''
+    WITH g AS (SELECT page_id // 20 AS grp,
+                      string_agg((page_id % 20 + 1) || '. **' || {page_title('html', 'url')} || '**' || chr(10) || '   URL: ' || url || chr(10), ''
                                  ORDER BY page_id) AS text FROM pages GROUP BY 1),
     m AS (SELECT grp, regexp_extract_all(text, '(?m)(\\d+)\\.\\s*\\*\\*(.+?)\\*\\*\\s*\\n\\s*URL:\\s*(.+?)\\n', 1) AS nums,
                  regexp_extract_all(text, '(?m)(\\d+)\\.\\s*\\*\\*(.+?)\\*\\*\\s*\\n\\s*URL:\\s*(.+?)\\n', 2) AS titles,
@@ -265,9 +265,9 @@ def b18(c: Ctx) -> DataFrame:
     SELECT grp, unnest(nums) AS number, {S.py_strip('unnest(titles)')} AS title, {S.py_strip('unnest(urls)')} AS url FROM m""")
 def b19(c: Ctx) -> DataFrame:
     p = c.t.pages
-    line = F.concat((F.floor(F.col("page_id") / 20) + 1).cast("bigint").cast("string"), F.lit(". **"),
+    line = F.concat((F.col("page_id") % 20 + 1).cast("string"), F.lit(". **"),
                     W.page_title(F.col("html"), F.col("url")), F.lit("**\n   URL: "), F.col("url"), F.lit("\n"))
-    g = p.groupBy((F.col("page_id") % 20).alias("grp")).agg(
+    g = p.groupBy(F.expr("page_id div 20").alias("grp")).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", line.alias("l")))), lambda x: x["l"]), "")
          .alias("text"))
     parsed = g.select("grp", F.explode(W.parse_result_blocks(F.col("text"))).alias("r"))
@@ -283,8 +283,8 @@ def f15(c: Ctx) -> DataFrame:
     return f.rollup("idx", "url").agg(F.sum("_t").cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("n_pages"))
 
 
-_SQ_TEXT = ("CASE turn % 4 WHEN 0 THEN 'User: search for: ' || substr(text, 1, 40) || chr(10) || 'thanks' "
-            "WHEN 1 THEN 'look up \"' || substr(text, 1, 25) || '\"?' WHEN 2 THEN 'research ?' ELSE text END")
+_SQ_TEXT = ("CASE turn % 4 WHEN 0 THEN 'User: search for: ' || text || chr(10) || 'thanks' "
+            "WHEN 1 THEN 'look up \"' || text || '\"?' WHEN 2 THEN 'research ?' ELSE text END")
 
 
 def _strip_quotes_sql(x: str) -> str:
@@ -315,8 +315,8 @@ def _search_sql() -> str:
 def b20(c: Ctx) -> DataFrame:
     conv = c.t.conversations.where(F.col("role") == "user")
     n = F.col("turn") % 4
-    text = (F.when(n == 0, F.concat(F.lit("User: search for: "), F.substring("text", 1, 40), F.lit("\nthanks")))
-             .when(n == 1, F.concat(F.lit('look up "'), F.substring("text", 1, 25), F.lit('"?')))
+    text = (F.when(n == 0, F.concat(F.lit("User: search for: "), F.col("text"), F.lit("\nthanks")))
+             .when(n == 1, F.concat(F.lit('look up "'), F.col("text"), F.lit('"?')))
              .when(n == 2, F.lit("research ?")).otherwise(F.col("text")))
     q = conv.select("conv_id", "turn", W.search_queries(text).alias("queries"))
     return q.select("conv_id", "turn", F.posexplode("queries").alias("query_pos", "query"))

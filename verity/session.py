@@ -22,7 +22,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcasts happen only behind explicit size checks (see verity.plans.sizing);
+    # Spark broadcasts a side only when its measured bytes are below this;
     # keep the automatic threshold modest so Catalyst never broadcasts a side
     # that grows with the data.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
@@ -53,8 +53,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local tests)
-    do we create one of our own.
+    A cluster must name a folder there that the driver and all executors
+    share; only a local master, where there is one machine, gets a folder of
+    its own when it is unset.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -68,6 +69,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="verity-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     if sc is not None:

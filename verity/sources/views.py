@@ -36,9 +36,12 @@ def _lang_types(col):
     return expr
 
 
-def _n_questions(t: Tables) -> int:
-    # Scalar parameter: the benchmark row count (one aggregate, one number).
-    return t.benchmark.count()
+#: Documents (pages) of one record: a record's size does not grow with the corpus.
+RECORD_ROWS = 8
+
+
+def _record(column: str):
+    return F.expr(f"{column} div {RECORD_ROWS}")
 
 
 def v_results(t: Tables) -> DataFrame:
@@ -47,7 +50,7 @@ def v_results(t: Tables) -> DataFrame:
     j = d.join(lab, "doc_id", "left")
     return j.select(
         F.col("doc_id").alias("idx"),
-        F.substring("text", 1, 80).alias("prompt"),
+        F.col("text").alias("prompt"),
         F.col("source").alias("answer"),
         F.col("text").alias("model_answer"),
         F.col("n_chars").alias("q_in_tokens"),
@@ -55,18 +58,21 @@ def v_results(t: Tables) -> DataFrame:
         F.when(F.col("quality") == 1, "TRUE").when(F.col("quality") == 0, "FALSE")
          .otherwise("").alias("grader_decision"),
         (F.coalesce(F.col("toxic"), F.lit(0)) == 1).alias("is_hallucination"),
-        F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.substring("text", 1, 200)).alias("context"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("context"),
         _lang_types(F.col("lang")).alias("reasoning_types"),
     )
 
 
 def v_questions(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("idx"), F.col("text").alias("prompt"))
+    """One question per record, taken from ``benchmark`` in turn."""
+    n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))  # one row
+    records = t.documents.select(_record("doc_id").alias("idx")).distinct().join(F.broadcast(n)) \
+        .withColumn("item_id", F.col("idx") % F.col("n"))
+    return records.join(t.benchmark, "item_id").select("idx", F.col("text").alias("prompt"))
 
 
 def v_contexts(t: Tables) -> DataFrame:
-    n = _n_questions(t)
-    d = t.documents.select("doc_id", "text").withColumn("idx", F.col("doc_id") % n)
+    d = t.documents.select("doc_id", "text").withColumn("idx", _record("doc_id"))
     w = Window.partitionBy("idx").orderBy("doc_id")
     return d.select(
         "idx",
@@ -78,8 +84,7 @@ def v_contexts(t: Tables) -> DataFrame:
 
 
 def v_links(t: Tables) -> DataFrame:
-    n = _n_questions(t)
-    p = t.pages.select("page_id", "url").withColumn("idx", F.col("page_id") % n)
+    p = t.pages.select("page_id", "url").withColumn("idx", _record("page_id"))
     w = Window.partitionBy("idx").orderBy("page_id")
     p = p.withColumn("rn", F.row_number().over(w)).withColumn("next_url", F.lead("url").over(w))
     merged = (F.col("idx") % 7 == 0) & (F.col("rn") == 1) & F.col("next_url").isNotNull()
@@ -91,9 +96,8 @@ def v_links(t: Tables) -> DataFrame:
 
 
 def _event_pos(e: DataFrame, key: str = "user_id") -> DataFrame:
-    """Position of each event inside its user's history (1-based), from the
-    range-partitioned global rank, so a user with a third of all events is
-    not numbered by one task."""
+    """Position of each event inside its user's history (1-based), from time
+    buckets, so a user with a third of all events is not numbered by one task."""
     from ..operators.ranking import rank_within
 
     return rank_within(e, key, ["ts", "event_id"], "rn")
@@ -172,8 +176,7 @@ def v_attempts(t: Tables) -> DataFrame:
 
 
 def v_strategies(t: Tables) -> DataFrame:
-    d = t.documents.where(F.col("n_chars") < 2000)
-    return d.select(F.col("doc_id").alias("strategy_id"), F.col("source").alias("problem_type"),
+    return t.documents.select(F.col("doc_id").alias("strategy_id"), F.col("source").alias("problem_type"),
                     F.col("text").alias("strategy_text"))
 
 
@@ -261,27 +264,30 @@ _REPORT_SQL = (
 
 VIEW_SQL = {
     "v_results": f"""
-        SELECT d.doc_id AS idx, substr(d.text, 1, 80) AS prompt, d.source AS answer, d.text AS model_answer,
+        SELECT d.doc_id AS idx, d.text AS prompt, d.source AS answer, d.text AS model_answer,
                d.n_chars AS q_in_tokens, CAST(floor(d.n_chars / 4) AS BIGINT) AS q_out_tokens,
                CASE WHEN l.quality = 1 THEN 'TRUE' WHEN l.quality = 0 THEN 'FALSE' ELSE '' END AS grader_decision,
                coalesce(l.toxic, 0) = 1 AS is_hallucination,
-               CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE substr(d.text, 1, 200) END AS context,
+               CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE d.text END AS context,
                {_LANG_CASE} AS reasoning_types
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "v_questions": "SELECT item_id AS idx, text AS prompt FROM benchmark",
-    "v_contexts": """
-        SELECT doc_id % (SELECT count(*) FROM benchmark) AS idx,
-               CAST(row_number() OVER (PARTITION BY doc_id % (SELECT count(*) FROM benchmark) ORDER BY doc_id) AS BIGINT) AS doc_index,
+    "v_questions": f"""
+        SELECT r.idx, b.text AS prompt
+        FROM (SELECT DISTINCT doc_id // {RECORD_ROWS} AS idx FROM documents) r
+        JOIN benchmark b ON b.item_id = r.idx % (SELECT count(*) FROM benchmark)""",
+    "v_contexts": f"""
+        SELECT doc_id // {RECORD_ROWS} AS idx,
+               CAST(row_number() OVER (PARTITION BY doc_id // {RECORD_ROWS} ORDER BY doc_id) AS BIGINT) AS doc_index,
                'https://example.org/doc/' || doc_id AS url, substr(text, 1, 30) AS title, text AS article
         FROM documents""",
-    "v_links": """
+    "v_links": f"""
         SELECT idx, '[' || string_agg('''' || elem || '''', ', ' ORDER BY page_id) || ']' AS wiki_links
         FROM (
           SELECT idx, page_id, rn,
                  CASE WHEN idx % 7 = 0 AND rn = 1 AND next_url IS NOT NULL THEN url || ', ' || next_url ELSE url END AS elem
-          FROM (SELECT page_id % (SELECT count(*) FROM benchmark) AS idx, page_id, url,
-                       row_number() OVER (PARTITION BY page_id % (SELECT count(*) FROM benchmark) ORDER BY page_id) AS rn,
-                       lead(url) OVER (PARTITION BY page_id % (SELECT count(*) FROM benchmark) ORDER BY page_id) AS next_url
+          FROM (SELECT page_id // {RECORD_ROWS} AS idx, page_id, url,
+                       row_number() OVER (PARTITION BY page_id // {RECORD_ROWS} ORDER BY page_id) AS rn,
+                       lead(url) OVER (PARTITION BY page_id // {RECORD_ROWS} ORDER BY page_id) AS next_url
                 FROM pages) p0
           WHERE NOT (idx % 7 = 0 AND rn = 2)) p1
         GROUP BY idx""",
@@ -308,7 +314,7 @@ VIEW_SQL = {
         SELECT user_id AS strategy_id, 'type_' || (user_id % 5) AS problem_type, CAST(ts AS TIMESTAMP) AS ts,
                event_id, event_type = 'purchase' AS success, value / 500 AS confidence
         FROM events""",
-    "v_strategies": "SELECT doc_id AS strategy_id, source AS problem_type, text AS strategy_text FROM documents WHERE n_chars < 2000",
+    "v_strategies": "SELECT doc_id AS strategy_id, source AS problem_type, text AS strategy_text FROM documents",
     "v_requests": """
         SELECT user_id AS request_id, event_id, CAST(ts AS TIMESTAMP) AS ts,
                CASE WHEN event_type = 'signup' THEN 'start' WHEN event_type IN ('click', 'view') THEN 'provider_call'

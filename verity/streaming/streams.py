@@ -129,8 +129,7 @@ def dedupe_within_horizon(events: DataFrame, keys: list[str], ts: str = "ts", ho
 def health_transitions(events: DataFrame, key: str, order: list[str], is_up) -> DataFrame:
     """L11 (batch): rows where a provider's up/down state changes (the first
     observation counts as a change). Providers are few, so each is a hot
-    key: positions come from the range-partitioned ``rank_within`` and the
-    previous observation is an equi join on (provider, position - 1)
+    key: positions come from ``rank_within``'s time buckets and the previous observation is an equi join on (provider, position - 1)
     rather than a ``lag`` over one provider's whole history in one task."""
     from ..operators.ranking import rank_within
 
