@@ -11,12 +11,19 @@ from verity.operators import context as CX
 from verity.operators import web as W
 
 
-def test_granular_chunks_budget_and_content():
-    t = ("Un. Deux! Trois? " * 40) + "fin sans point"
-    chunks = CX.granular_chunks(t, 20)
-    assert all((len(c) + 3) // 4 <= 20 for c in chunks)
-    assert "".join(chunks).replace(" ", "") == t.strip().replace(" ", "")
-    assert CX.granular_chunks("", 20) == []
+def test_granular_chunks_lose_nothing(spark):
+    texts = [("Un. Deux! Trois? " * 40) + "fin sans point", "x" * 500, "word " * 300 + "。" + "y" * 90, "", "  ", None, "Short.", "A. " * 21]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {}
+    for r in CX.chunk_granular(df, "id", "t", 20).orderBy("id", "chunk_no").collect():
+        got.setdefault(r.id, []).append(r.chunk)
+    for i, t in enumerate(texts):
+        chunks = got.get(i, [])
+        assert all((len(c) + 3) // 4 <= 20 for c in chunks)
+        assert "".join(chunks) == (t or "").strip()
+    for chunks in got.values():  # the last two are balanced
+        if len(chunks) > 1 and len(chunks[-1]) < 40:
+            assert len(chunks[-2]) + len(chunks[-1]) > 40
 
 
 def test_trim_records_respects_budgets(spark):
@@ -33,10 +40,21 @@ def test_lenient_url_cleanup(spark):
     assert any(u == "https://www.x.org/a" for _, u in got)
 
 
-def test_url_variants_order_and_dedupe():
-    v = W._variants("https://a.org/it%2527s?q=1")
-    assert v[0] == "https://a.org/it%2527s?q=1" and v[1] == "https://a.org/it%27s?q=1" and v[2] == "https://a.org/it's?q=1"
-    assert len(v) == len(set(v))
+def test_url_variants_order_and_dedupe(spark):
+    urls = ["https://a.org/it%2527s?q=1", "http://x.org/a+b%zz?c=%C3%A9 d#e", "no scheme (x)"]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = [r.v for r in df.select(W.url_variants(F.col("u")).alias("v")).collect()]
+    assert got[0][:3] == ["https://a.org/it%2527s?q=1", "https://a.org/it%27s?q=1", "https://a.org/it's?q=1"]
+    assert got[1] == [urls[1], "http://x.org/a+b%zz?c=é d#e", "http://x.org/a%2Bb%25zz?c=%C3%A9%20d#e"]
+    assert got[2] == [urls[2], "no%20scheme%20(x)"]
+
+
+def test_article_blocks_and_tables(spark):
+    pages = ["<main><h1>T</h1><p>a &amp; b<p>c<table><tr><th>K<th>V</tr><tr><td> 1</td><td>2 </td></tr></table></main><p>out</p>",
+             '<div role="main">bare</div><p>whole</p>', "<p>no block</p>"]
+    df = spark.createDataFrame([(p,) for p in pages], "h string")
+    got = [r.t for r in df.select(W.extract_article_blocks(F.col("h")).alias("t")).collect()]
+    assert got == ["T a & b c K | V K | V 1 | 2", "whole", "no block"]
 
 
 def test_answer_modes(spark):

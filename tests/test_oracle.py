@@ -8,9 +8,10 @@ import pytest
 import __spark_entry__ as entry
 from check_oracle import compare
 from tests.conftest import SF_SMALL
+from verity.plans import catalog
 
-QUERIES = entry.queries()
-SQLS = entry.oracle_sql()
+QUERIES = catalog.queries()
+SQLS = catalog.oracle_sql()
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
@@ -42,7 +43,7 @@ def test_catalog_imports_without_spark():
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
     n_q, n_s = map(int, out.stdout.split())
-    assert n_q == len(QUERIES) and n_s == len(SQLS)
+    assert n_q == len(entry.queries()) and n_s == len(entry.oracle_sql())
 
 
 def test_entry_runs(spark):

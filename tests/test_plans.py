@@ -8,13 +8,12 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
+from verity.plans import catalog
 
-# Operators that run Python workers by design (README: stateful streams,
-# DOM extraction, URL variants, granular chunking).
-PYTHON_WORKERS = {"b6_url_variants_first_hit", "b8_extract_articles_dom", "d8_chunk_granular"}
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 
-NATIVE = sorted(k for k in entry.queries() if k not in PYTHON_WORKERS and not k.endswith("_stream")
+# Python workers run in the stateful streams only.
+NATIVE = sorted(k for k in catalog.queries() if not k.endswith("_stream")
                 and not k.startswith("l4_") and not k.startswith("a1_") and not k.startswith("a2_")
                 and not k.startswith("a3_") and not k.startswith("a19_"))
 

@@ -451,7 +451,32 @@ def d4(c: Ctx) -> DataFrame:
     return CX.link_segments(ctx, links, "idx", "context", "link", 2048)
 
 
-@register("d8_chunk_granular")
+def _granular_sql(budget: int) -> str:
+    most = 4 * budget
+    tok = lambda x: f"CAST(ceil(({x}) / 4) AS BIGINT)"
+    slices = f"list_transform(range(0, length(w), {most}), lambda i: least({most}, length(w) - i))"
+    words = f"flatten(list_transform(regexp_extract_all(s, {S.q(CX.WORD_RE)}, 0), lambda w: {slices}))"
+    atoms = (f"flatten(list_transform(regexp_extract_all(t, {S.q(CX.SENTENCE_RE)}, 0), "
+             f"lambda s: CASE WHEN length(s) <= {most} THEN [length(s)] ELSE {words} END))")
+    over = f"(a.chars > 0 AND {tok('a.chars')} + {tok('n')} > {budget})"
+    step = (f"{{'starts': CASE WHEN {over} THEN list_append(a.starts, a.at) ELSE a.starts END, 'at': a.at + n, "
+            f"'chars': CASE WHEN {over} THEN n ELSE a.chars + n END, 'before': CASE WHEN {over} THEN a.inside ELSE a.before END, "
+            f"'inside': CASE WHEN {over} THEN [a.at] ELSE list_append(a.inside, a.at) END}}")
+    init = "{'starts': [0::BIGINT], 'at': 0::BIGINT, 'chars': 0::BIGINT, 'before': []::BIGINT[], 'inside': []::BIGINT[]}"
+    return f"""
+    WITH d AS (SELECT doc_id, {S.py_strip("coalesce(text, '')")} AS t FROM documents),
+    p AS (SELECT doc_id, t, list_reduce({atoms}, lambda a, n: {step}, {init}) AS f FROM d WHERE length(t) > 0),
+    q AS (SELECT doc_id, t, f.starts AS st, f.at AS fin, list_concat(f.before, f.inside) AS bounds FROM p),
+    r AS (SELECT doc_id, t, fin, CASE WHEN len(st) > 1 AND {tok('fin - st[-1]')} < {budget // 2}
+            THEN list_append(list_slice(st, 1, len(st) - 1), list_min(list_transform(
+              list_filter(bounds, lambda b: b > st[-2] AND {tok('b - st[-2]')} <= {budget} AND {tok('fin - b')} <= {budget}),
+              lambda b: {{'d': abs(2 * b - st[-2] - fin), 'b': b}})).b)
+            ELSE st END AS s FROM q),
+    x AS (SELECT doc_id, t, fin, s, generate_subscripts(s, 1) AS i FROM r)
+    SELECT doc_id, i - 1 AS chunk_no, substring(t, s[i] + 1, coalesce(s[i + 1], fin) - s[i]) AS chunk FROM x"""
+
+
+@register("d8_chunk_granular", _granular_sql(200))
 def d8(c: Ctx) -> DataFrame:
     return CX.chunk_granular(c.t.documents, "doc_id", "text", 200)
 

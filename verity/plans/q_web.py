@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -322,7 +322,34 @@ def b20(c: Ctx) -> DataFrame:
     return q.select("conv_id", "turn", F.posexplode("queries").alias("query_pos", "query"))
 
 
-@register("b6_url_variants_first_hit")
+def _decoded_sql(x: str) -> str:
+    return f"url_decode({x})"
+
+
+def _encoded_sql(x: str, safe: str) -> str:
+    out = f"url_encode({x})"
+    for ch in safe:
+        out = f"replace({out}, '%{ord(ch):02X}', '{ch}')"
+    return out
+
+
+def _variants_sql(u: str) -> str:
+    part = lambda i: f"regexp_extract({u}, {S.q(W.URL_PARTS_RE)}, {i})"
+    path = _encoded_sql(_decoded_sql(part(3)), W.PATH_SAFE)
+    query = _encoded_sql(_decoded_sql(f"substring({part(4)}, 2)"), W.QUERY_SAFE)
+    anew = (f"{part(1)} || {part(2)} || {path} || CASE WHEN length({part(4)}) > 1 THEN '?' || {query} ELSE '' END "
+            f"|| CASE WHEN length({part(5)}) > 1 THEN {part(5)} ELSE '' END")
+    return f"[{u}, {_decoded_sql(u)}, {_decoded_sql(_decoded_sql(u))}, {anew}]"
+
+
+@register("b6_url_variants_first_hit", f"""
+    WITH l AS (SELECT page_id AS link_id, CASE WHEN page_id % 3 = 0 THEN replace(url, '?', '%253F') ELSE url END AS url FROM pages),
+    v AS (SELECT link_id, url, {_variants_sql('url')} AS vs FROM l),
+    e AS (SELECT link_id, unnest(vs) AS variant, generate_subscripts(vs, 1) AS i FROM v),
+    g AS (SELECT link_id, variant, row_number() OVER (PARTITION BY link_id ORDER BY min(i)) - 1 AS variant_no FROM e GROUP BY 1, 2),
+    h AS (SELECT link_id, variant_no, variant, page_id FROM g JOIN pages ON pages.url = g.variant
+          QUALIFY row_number() OVER (PARTITION BY link_id ORDER BY variant_no, variant, page_id) = 1)
+    SELECT link_id, l.url, CAST(variant_no AS INTEGER) AS variant_no, variant AS matched_url, page_id FROM l LEFT JOIN h USING (link_id)""")
 def b6(c: Ctx) -> DataFrame:
     # Links arrive percent-encoded twice ('?' -> '%253F') for every third page.
     p = c.t.pages
@@ -331,9 +358,55 @@ def b6(c: Ctx) -> DataFrame:
     return W.first_variant_hit(links, p, ["link_id"])
 
 
-@register("b8_extract_articles_dom")
+# Pages mark their main block in four ways, and every third has a table.
+_TABLE = "<table><tr><th>Key</th><th>Value</th></tr><tr><td>url</td><td> %s </td></tr></table>"
+_MAIN_TAGS = {1: ('<main class="x">', "</main>"), 2: ('<div role="main">', "</div>"), 3: ('<section class="wide main-content">', "</section>")}
+
+
+def _b8_html_sql() -> str:
+    h = "CASE WHEN page_id % 3 = 0 THEN replace(html, '</article>', '" + _TABLE.replace("%s", "' || url || '") + "</article>') ELSE html END"
+    for k, (a, b) in _MAIN_TAGS.items():
+        h = f"CASE WHEN page_id % 4 = {k} THEN replace(replace({h}, '<article>', {S.q(a)}), '</article>', {S.q(b)}) ELSE {h} END"
+    return h
+
+
+def _b8_html() -> Column:
+    pre, post = _TABLE.split("%s")
+    h = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</article>"), F.concat(F.lit(pre), F.col("url"), F.lit(post + "</article>")))) \
+        .otherwise(F.col("html"))
+    for k, (a, b) in _MAIN_TAGS.items():
+        h = F.when(F.col("page_id") % 4 == k, F.replace(F.replace(h, F.lit("<article>"), F.lit(a)), F.lit("</article>"), F.lit(b))).otherwise(h)
+    return h
+
+
+_CELL_END = r"split_part(regexp_replace(c, '(?i)</t[dhr]\s*>', chr(6), 'g'), chr(6), 1)"
+
+
+def _table_sql(x: str) -> str:
+    cells = lambda y, tag: (f"list_transform(list_slice(string_split(regexp_replace({y}, '(?i)<{tag}(?:\\s[^>]*)?>', chr(5), 'g'), chr(5)), 2, {BIG}), "
+                            f"lambda c: {S.py_strip(strip_tags(_CELL_END))})")
+    rows = f"list_slice(string_split(regexp_replace({x}, '(?i)<tr(?:\\s[^>]*)?>', chr(4), 'g'), chr(4)), 2, {BIG})"
+    lines = f"list_concat([array_to_string({cells(x, 'th')}, ' | ')], list_transform({rows}, lambda r: array_to_string({cells('r', 't[dh]')}, ' | ')))"
+    return f"array_to_string(list_filter({lines}, lambda z: length(z) > 0), ' ')"
+
+
+def _block_texts_sql(h: str) -> str:
+    m = f"regexp_replace({h}, '(?i)<table(?:\\s[^>]*)?>', chr(1) || chr(3), 'g')"
+    m = f"regexp_replace({m}, '(?i)<(?:h[1-6]|p)(?:\\s[^>]*)?>', chr(1), 'g')"
+    m = f"regexp_replace({m}, '(?i)</(?:h[1-6]|p|table)\\s*>', chr(2), 'g')"
+    pieces = f"list_transform(list_slice(string_split({m}, chr(1)), 2, {BIG}), lambda p: split_part(p, chr(2), 1))"
+    return f"list_transform({pieces}, lambda p: CASE WHEN left(p, 1) = chr(3) THEN {_table_sql('p')} ELSE {strip_tags('p')} END)"
+
+
+@register("b8_extract_articles_dom", f"""
+    WITH s AS (SELECT page_id, url, {_b8_html_sql()} AS html FROM pages),
+    d AS (SELECT page_id, url, html, {drop_code('html')} AS h FROM s),
+    b AS (SELECT page_id, url, html, {_block_texts_sql(main_block('h'))} AS own, {_block_texts_sql('h')} AS whole FROM d)
+    SELECT page_id, {page_title('html', 'url')} AS title,
+           {clean_text("array_to_string(CASE WHEN len(own) > 0 THEN own ELSE whole END, ' ')")} AS article FROM b""")
 def b8(c: Ctx) -> DataFrame:
-    return W.extract_articles_dom(c.t.pages)
+    p = c.t.pages.select("page_id", "url", _b8_html().alias("html"))
+    return p.select("page_id", W.page_title(F.col("html"), F.col("url")).alias("title"), W.extract_article_blocks(F.col("html")).alias("article"))
 
 
 _LENIENT_TEXT = ("'See ' || replace(url, 'http://', '') || '). Also (www.' || regexp_extract(url, '://([^/?#]*)', 1) "
