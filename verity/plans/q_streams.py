@@ -16,6 +16,10 @@ from ..streaming import streams as ST
 from .catalog import Ctx, register
 
 
+#: The streams' watermark at the end of the table: rows after it still wait.
+_END = "(SELECT date_trunc('milliseconds', max(CAST(ts AS TIMESTAMP))) - INTERVAL 1 HOUR FROM events)"
+
+
 def _requests(events: DataFrame) -> DataFrame:
     """V_requests as a pure projection (valid on a stream)."""
     kind = (F.when(F.col("event_type") == "signup", "start")
@@ -57,7 +61,7 @@ def l1_rej(c: Ctx) -> DataFrame:
 
 
 @register("l1_conversations_stream", f"""
-    WITH {_CONV_SQL}
+    WITH {_CONV_SQL.replace('FROM v_requests', f'FROM v_requests WHERE ts <= {_END}')}
     SELECT request_id, conv_no, start_ts, n_calls, end_kind, end_ts, duration_ms FROM convd WHERE end_kind IS NOT NULL""")
 def l1_stream(c: Ctx) -> DataFrame:
     s = ST.conversations_stream(_requests(ST.event_stream(c.spark, c.sf_dir)))
@@ -89,22 +93,35 @@ def l3(c: Ctx) -> DataFrame:
     return ST.session_expiry(e, "user_id")
 
 
-@register("l3_session_expiry_stream")
+@register("l3_session_expiry_stream", f"WITH {_SESS_SQL} SELECT * FROM sess WHERE session_end <= {_END}")
 def l3_stream(c: Ctx) -> DataFrame:
     # Sessions still open when the stream ends stay in state (append mode
     # emits a session only after the watermark passes its end).
     return ST.run_to_table(ST.session_expiry(ST.event_stream(c.spark, c.sf_dir), "user_id"), "l3")
 
 
-@register("l4_batch_packing_stream")
+_PACK_SQL = f"""
+    WITH RECURSIVE e AS (SELECT model || ':' || approach AS group_key, ts, row_number() OVER (PARTITION BY model, approach ORDER BY ts, event_id) AS rn
+                         FROM v_requests WHERE ts <= {_END}),
+    f AS (SELECT a.group_key, a.rn, any_value(a.ts) AS first_ts, count(*) AS size, max(b.ts) AS last_ts,
+                 (SELECT max(rn) FROM e x WHERE x.group_key = a.group_key) AS n
+          FROM e a JOIN e b ON a.group_key = b.group_key AND b.rn BETWEEN a.rn AND a.rn + 3 AND b.ts < a.ts + INTERVAL 1 HOUR GROUP BY a.group_key, a.rn),
+    k AS (SELECT *, CAST(0 AS BIGINT) AS batch_no FROM f WHERE rn = 1
+          UNION ALL SELECT f.*, k.batch_no + 1 FROM k JOIN f ON f.group_key = k.group_key AND f.rn = k.rn + k.size),
+    p AS (SELECT group_key, batch_no, first_ts, size, CAST(epoch_us(last_ts) - epoch_us(first_ts) AS DOUBLE) / 1000 AS wait_ms FROM k
+          WHERE size = 4 OR rn + size <= n OR first_ts + INTERVAL 1 HOUR <= {_END})"""
+
+
+@register("l4_batch_packing_stream", f"{_PACK_SQL} SELECT * FROM p")
 def l4(c: Ctx) -> DataFrame:
-    s = ST.batch_packing_stream(_requests(ST.event_stream(c.spark, c.sf_dir)), "group_key", 4, 3_600_000.0)
+    s = ST.batch_packing_stream(_requests(ST.event_stream(c.spark, c.sf_dir)), "group_key", 4, "1 hour")
     return ST.run_to_table(s, "l4")
 
 
-@register("l4_batch_packing_stats")
+@register("l4_batch_packing_stats", f"""{_PACK_SQL}
+    SELECT group_key, count(*) AS n_batches, round(avg(size), 9) AS mean_size, round(avg(wait_ms), 6) AS mean_wait_ms FROM p GROUP BY 1""")
 def l4_stats(c: Ctx) -> DataFrame:
-    s = ST.batch_packing_stream(_requests(ST.event_stream(c.spark, c.sf_dir)), "group_key", 4, 3_600_000.0)
+    s = ST.batch_packing_stream(_requests(ST.event_stream(c.spark, c.sf_dir)), "group_key", 4, "1 hour")
     return ST.batch_packing_stats(ST.run_to_table(s, "l4s"))
 
 
@@ -117,7 +134,7 @@ def _i9_sql(warmup: int, threshold: float) -> str:
     return f"""
     WITH t AS (SELECT question_id, pos, answer,
                       count(*) OVER (PARTITION BY question_id, answer ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
-                      row_number() OVER (PARTITION BY question_id ORDER BY pos) AS t FROM v_candidates),
+                      row_number() OVER (PARTITION BY question_id ORDER BY pos) AS t FROM v_candidates WHERE ts <= {_END}),
     m AS (SELECT *, max(c) OVER (PARTITION BY question_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM t)
     SELECT question_id, CAST(coalesce(min(CASE WHEN t > {warmup} AND top / t >= {threshold} THEN t END), count(*)) AS BIGINT) AS traces_used,
            min(CASE WHEN t > {warmup} AND top / t >= {threshold} THEN t END) IS NOT NULL AS consensus_reached
@@ -126,41 +143,51 @@ def _i9_sql(warmup: int, threshold: float) -> str:
 
 @register("l6_online_consensus_stream", _i9_sql(3, 0.5))
 def l6(c: Ctx) -> DataFrame:
-    e = ST.event_stream(c.spark, c.sf_dir).select(F.col("user_id").alias("question_id"), "event_id",
+    e = ST.event_stream(c.spark, c.sf_dir).select(F.col("user_id").alias("question_id"), "event_id", "ts",
                                                   F.col("event_type").alias("answer"))
-    return ST.run_updates(ST.online_consensus_stream(e, 3, 0.5), "l6", ["question_id"])
+    out = ST.run_to_table(ST.online_consensus_stream(e, 3, 0.5), "l6")
+    return ST.latest(out, ["question_id"], "traces_used")
 
 
-@register("l7_online_trace_stream", """
-    WITH g AS (SELECT trace_id, pos, avg(token_confidence) OVER (PARTITION BY trace_id ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS g
-               FROM v_trace_tokens),
+@register("l7_online_trace_stream", f"""
+    WITH v AS (SELECT user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value AS token_confidence
+               FROM events WHERE CAST(ts AS TIMESTAMP) <= {_END}),
+    g AS (SELECT trace_id, pos, avg(token_confidence) OVER (PARTITION BY trace_id ORDER BY pos ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS g
+               FROM v),
     st AS (SELECT trace_id, min(pos) AS stop_pos FROM g WHERE pos >= 20 AND pos >= 15 AND g < 200.0 GROUP BY 1),
-    nt AS (SELECT trace_id, count(*) AS n FROM v_trace_tokens GROUP BY 1)
+    nt AS (SELECT trace_id, count(*) AS n FROM v GROUP BY 1)
     SELECT nt.trace_id, st.stop_pos, CAST(coalesce(st.stop_pos, nt.n) AS BIGINT) AS num_tokens, st.stop_pos IS NOT NULL AS terminated_early
     FROM nt LEFT JOIN st USING (trace_id)""")
 def l7(c: Ctx) -> DataFrame:
-    e = ST.event_stream(c.spark, c.sf_dir).select(F.col("user_id").alias("trace_id"), "event_id",
+    e = ST.event_stream(c.spark, c.sf_dir).select(F.col("user_id").alias("trace_id"), "event_id", "ts",
                                                   F.col("value").alias("token_confidence"))
-    return ST.run_updates(ST.online_trace_stream(e, 16, 20, 200.0), "l7", ["trace_id"])
+    out = ST.run_to_table(ST.online_trace_stream(e, 16, 20, 200.0), "l7")
+    return ST.latest(out, ["trace_id"], "num_tokens")
 
 
-@register("l8_ema_ledger_stream", """
+@register("l8_ema_ledger_stream", f"""
     WITH a AS (SELECT *, row_number() OVER (PARTITION BY strategy_id ORDER BY ts, event_id) AS i,
-                      count(*) OVER (PARTITION BY strategy_id) AS n FROM v_attempts)
+                      count(*) OVER (PARTITION BY strategy_id) AS n FROM v_attempts WHERE ts <= {_END})
     SELECT strategy_id, count(*) AS attempts, CAST(sum(CAST(success AS INTEGER)) AS BIGINT) AS successes,
            round(sum(0.1 * pow(0.9, n - i) * CAST(success AS DOUBLE)) + pow(0.9, max(n)) * 0.5, 9) AS confidence
     FROM a GROUP BY 1""")
 def l8(c: Ctx) -> DataFrame:
     e = ST.event_stream(c.spark, c.sf_dir).select(F.col("user_id").alias("strategy_id"), "event_id", "ts",
                                                   (F.col("event_type") == "purchase").alias("success"))
-    out = ST.run_updates(ST.ema_ledger_stream(e), "l8", ["strategy_id"])
+    out = ST.latest(ST.run_to_table(ST.ema_ledger_stream(e), "l8"), ["strategy_id"], "attempts")
     return out.withColumn("confidence", F.round("confidence", 9))
 
 
-@register("l9_dedupe_within_watermark_stream")
+@register("l9_dedupe_within_watermark_stream", f"""
+    WITH RECURSIVE e AS (SELECT user_id || ':' || event_type AS signature, event_id, CAST(ts AS TIMESTAMP) AS ts FROM events
+                         WHERE CAST(ts AS TIMESTAMP) <= {_END}),
+    k AS (SELECT signature, min(ts) AS ts FROM e GROUP BY 1
+          UNION ALL SELECT k.signature, min(e.ts) FROM k JOIN e ON e.signature = k.signature AND e.ts > k.ts + INTERVAL 1 DAY GROUP BY k.signature, k.ts)
+    SELECT signature, min(event_id) AS event_id, ts FROM k JOIN e USING (signature, ts) GROUP BY signature, ts""")
 def l9(c: Ctx) -> DataFrame:
-    s = ST.dedupe_within_horizon(ST.event_stream(c.spark, c.sf_dir), ["user_id", "event_type"], "ts", "1 day")
-    return ST.run_to_table(s, "l9")
+    e = ST.event_stream(c.spark, c.sf_dir)
+    r = e.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("signature"), "event_id", "ts")
+    return ST.run_to_table(ST.dedupe_within_horizon(r, "1 day"), "l9")
 
 
 _WIN_SQL = """
@@ -175,7 +202,7 @@ def l10(c: Ctx) -> DataFrame:
     return ST.windowed_counts(c.t.events.withColumn("ts", F.col("ts").cast("timestamp")))
 
 
-@register("l10_windowed_counts_stream")
+@register("l10_windowed_counts_stream", f"SELECT * FROM ({_WIN_SQL}) WHERE window_end <= {_END}")
 def l10_stream(c: Ctx) -> DataFrame:
     return ST.run_to_table(ST.windowed_counts(ST.event_stream(c.spark, c.sf_dir)), "l10")
 
@@ -197,6 +224,6 @@ def l11(c: Ctx) -> DataFrame:
     return ST.health_transitions(h, "provider", ["ts", "event_id"], F.col("up")).select("provider", "event_id", "ts", "up")
 
 
-@register("l11_health_transitions_stream", _HEALTH_SQL)
+@register("l11_health_transitions_stream", _HEALTH_SQL.replace("FROM events)", f"FROM events WHERE CAST(ts AS TIMESTAMP) <= {_END})"))
 def l11_stream(c: Ctx) -> DataFrame:
     return ST.run_to_table(ST.health_transitions_stream(_health(ST.event_stream(c.spark, c.sf_dir))), "l11")

@@ -2,8 +2,11 @@
 
 Every operator here is written once against the DataFrame API and runs on
 a streaming DataFrame (``readStream``) or, as its batch twin, on a static
-one. Stateful operators keep O(1) state per key (``applyInPandasWithState``),
-so a hot key costs one small state row, not a buffered group.
+one. Stateful operators (``applyInPandasWithState``) handle each key's rows in
+event-time order behind a watermark; a key's state is its own few fields and
+the rows that may still be overtaken, and goes when the key rests. The classes
+here run on the executors, which need the package on their path (a wheel or
+``--py-files``).
 
 Event time: ``events.ts`` is TIMESTAMP_NTZ, which ``withWatermark``
 rejects, so sources cast it to TIMESTAMP (session time zone UTC).
@@ -58,6 +61,13 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", fmt: str =
     return reader.load(f"{run}/data")
 
 
+def latest(out: DataFrame, keys: list[str], rising: str) -> DataFrame:
+    """Of an append-only table of a key's successive rows, the one with the
+    largest ``rising`` value."""
+    rest = [c for c in out.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), rising).alias("_l")).select(*keys, "_l.*")
+
+
 def run_updates(stream: DataFrame, name: str, key: list[str]) -> DataFrame:
     """Run an update-mode stream to completion; every micro-batch's updates
     are appended with their batch id (``foreachBatch``), and the latest
@@ -115,12 +125,6 @@ def session_expiry(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 m
                     "n_events", "first_ts", "last_ts")
 
 
-def dedupe_within_horizon(events: DataFrame, keys: list[str], ts: str = "ts", horizon: str = "1 day") -> DataFrame:
-    """Response-cache reuse as de-duplication: the first request of a
-    signature within the horizon passes, repeats are served from cache."""
-    return events.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(keys)
-
-
 # ---------------------------------------------------------------------------
 # batch twins of stateful operators
 # ---------------------------------------------------------------------------
@@ -166,77 +170,164 @@ def conversations_batch(req: DataFrame, key: str = "request_id", order: tuple[st
 # stateful streaming operators
 # ---------------------------------------------------------------------------
 
+#: How late a row may come, and how long a key may rest before its state goes.
+DELAY, IDLE = "1 hour", "60 days"
+
+
+class InOrder:
+    """Keyed processing in event-time order.
+
+    Rows wait in the key's state until the watermark has passed them and are
+    then handled in (ts, event_id) order, whatever batches, files or Arrow
+    frames they came in; later rows than the delay allows are dropped by the
+    watermark. ``step(key, state, rows)`` and ``tick(key, state, watermark)``
+    (called when the watermark moves past ``due(state)``) return (state, output
+    rows). A key that rests for ``idle`` is ticked once more and forgotten.
+
+    State per key: the operator's own fields and the rows inside the delay.
+    """
+
+    def __init__(self, key: str, fields: str, out: str, payload: list[tuple[str, str]], idle: str = IDLE):
+        self.key, self.fields, self.out, self.payload = key, fields, out, payload
+        self.idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def start(self) -> tuple:
+        raise NotImplementedError
+
+    def step(self, key, state, rows) -> tuple[tuple, list[tuple]]:
+        raise NotImplementedError
+
+    def tick(self, key, state, watermark: pd.Timestamp, idle: bool) -> tuple[tuple, list[tuple]]:
+        return state, []
+
+    def due(self, state) -> pd.Timestamp | None:
+        return None
+
+    def __call__(self, key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = [c for c, _ in self.payload]
+        n = len(self.start())
+        saved = state.get if state.exists else (*self.start(), 0, [], [], *[[] for _ in names])
+        own, last, waiting = tuple(saved[:n]), saved[n], [list(x if x is not None else []) for x in saved[n + 1:]]
+        for pdf in pdfs:
+            for column, values in zip(waiting, [pdf["ts"], pdf["event_id"], *[pdf[c] for c in names]]):
+                column.extend(values.tolist())
+        now_ms = state.getCurrentWatermarkMs()
+        now = pd.Timestamp(now_ms, unit="ms")
+        rows = sorted(zip(*waiting), key=lambda r: (pd.Timestamp(r[0]), r[1]))
+        ready = [r for r in rows if pd.Timestamp(r[0]) <= now]
+        rows = rows[len(ready):]
+        out: list[tuple] = []
+        at = [int(pd.Timestamp(r[0]).value // 1_000_000) for r in ready]
+        lo = 0
+        for hi in range(1, len(ready) + 1):  # a key that has rested for too long starts anew
+            if hi < len(ready) and at[hi] < at[hi - 1] + self.idle_ms:
+                continue
+            if last and at[lo] >= last + self.idle_ms:
+                own = self.start()
+            own, made = self.step(key[0], own, ready[lo:hi])
+            out += made
+            last, lo = at[hi - 1], hi
+        resting = not rows and bool(last) and now_ms >= last + self.idle_ms
+        own, made = self.tick(key[0], own, now, resting)
+        out += made
+        if resting:
+            state.remove()
+        else:
+            columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in waiting]
+            state.update((*own, last, *columns))
+            times = [int(pd.Timestamp(rows[0][0]).value // 1_000_000) - 1] if rows else [last + self.idle_ms - 1]
+            if (due := self.due(own)) is not None:
+                times.append(int(due.value // 1_000_000) - 1)
+            state.setTimeoutTimestamp(max(min(times), now_ms + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
+
+    def run(self, rows: DataFrame, keys: list[str], delay: str = DELAY) -> DataFrame:
+        waiting = ", ".join(["last_ms long", "w_ts array<timestamp>", "w_id array<long>", *[f"w_{c} array<{t}>" for c, t in self.payload]])
+        return rows.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(
+            self, self.out, f"{self.fields}, {waiting}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def _ms(t0, t1) -> float:
     """Milliseconds between two timestamps, from whole microseconds."""
     return ((pd.Timestamp(t1) - pd.Timestamp(t0)) // pd.Timedelta(microseconds=1)) / 1000.0
 
 
-CONV_OUT = ("request_id long, conv_no long, start_ts timestamp, n_calls long, end_kind string, "
-            "end_ts timestamp, duration_ms double, rejected boolean")
-CONV_STATE = "conv_no long, active boolean, start_ts timestamp, n_calls long"
+class Conversations(InOrder):
+    """A 'start' opens a conversation, calls are counted, 'final' or 'error'
+    closes and emits it; rows without an open one are emitted as rejected."""
+
+    def __init__(self):
+        super().__init__("request_id", "conv_no long, active boolean, start_ts timestamp, n_calls long",
+                         "request_id long, conv_no long, start_ts timestamp, n_calls long, end_kind string, end_ts timestamp, duration_ms double, rejected boolean",
+                         [("kind", "string")])
 
+    def start(self):
+        return 0, False, None, 0
 
-def _conversation_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    conv_no, active, start_ts, n_calls = state.get if state.exists else (0, False, None, 0)
-    rows = []
-    for pdf in pdfs:
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-            if r.kind == "start":
-                conv_no, active, start_ts, n_calls = conv_no + 1, True, r.ts, 0
+    def step(self, key, state, rows):
+        conv_no, active, start_ts, n_calls = state
+        out = []
+        for ts, _, kind in rows:
+            if kind == "start":
+                conv_no, active, start_ts, n_calls = conv_no + 1, True, ts, 0
             elif not active:
-                rows.append((key[0], conv_no, None, None, r.kind, r.ts, None, True))
-            elif r.kind == "provider_call":
+                out.append((key, conv_no, None, None, kind, ts, None, True))
+            elif kind == "provider_call":
                 n_calls += 1
-            elif r.kind in ("final", "error"):
-                dur = _ms(start_ts, r.ts)
-                rows.append((key[0], conv_no, start_ts, n_calls, r.kind, r.ts, dur, False))
+            else:
+                out.append((key, conv_no, start_ts, n_calls, kind, ts, _ms(start_ts, ts), False))
                 active = False
-    state.update((conv_no, active, start_ts, n_calls))
-    cols = ["request_id", "conv_no", "start_ts", "n_calls", "end_kind", "end_ts", "duration_ms", "rejected"]
-    yield pd.DataFrame(rows, columns=cols)
+        return (conv_no, active, start_ts, n_calls), out
 
 
 def conversations_stream(req: DataFrame, key: str = "request_id") -> DataFrame:
-    """L1 (stream): conversation assembly with per-request state (current
-    conversation number, open flag, start time, call count). Closed
-    conversations and rejected rows are emitted as they complete."""
-    return req.groupBy(key).applyInPandasWithState(
-        _conversation_fn, CONV_OUT, CONV_STATE, "append", GroupStateTimeout.NoTimeout)
+    """L1 (stream): conversation assembly; closed conversations and rejected
+    rows are emitted as they complete."""
+    return Conversations().run(req, [key])
+
 
+class Packing(InOrder):
+    """Requests in batches that close when full, when the next request comes
+    too long after the first, or when the watermark shows that time is up."""
 
-PACK_OUT = "group_key string, batch_no long, first_ts timestamp, size long, wait_ms double"
-PACK_STATE = "batch_no long, first_ts timestamp, size long, last_ts timestamp"
+    def __init__(self, max_size: int, max_wait: str):
+        super().__init__("group_key", "batch_no long, first_ts timestamp, size long, last_ts timestamp",
+                         "group_key string, batch_no long, first_ts timestamp, size long, wait_ms double", [])
+        self.max_size, self.max_wait = max_size, pd.Timedelta(max_wait)
 
+    def start(self):
+        return 0, None, 0, None
 
-def _packing_fn(max_size: int, max_wait_ms: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch_no, first_ts, size, last_ts = state.get if state.exists else (0, None, 0, None)
+    def due(self, state):
+        return pd.Timestamp(state[1]) + self.max_wait if state[2] else None
+
+    def close(self, key, state):
+        batch_no, first, size, last = state
+        return (batch_no + 1, None, 0, None), (key, batch_no, first, size, _ms(first, last))
+
+    def step(self, key, state, rows):
         out = []
-        for pdf in pdfs:
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-                if size > 0 and _ms(first_ts, r.ts) >= max_wait_ms:
-                    out.append((key[0], batch_no, first_ts, size,
-                                _ms(first_ts, last_ts)))
-                    batch_no, size = batch_no + 1, 0
-                if size == 0:
-                    first_ts = r.ts
-                size += 1
-                last_ts = r.ts
-                if size == max_size:
-                    out.append((key[0], batch_no, first_ts, size,
-                                _ms(first_ts, last_ts)))
-                    batch_no, size = batch_no + 1, 0
-        state.update((batch_no, first_ts, size, last_ts))
-        yield pd.DataFrame(out, columns=["group_key", "batch_no", "first_ts", "size", "wait_ms"])
-    return fn
-
-
-def batch_packing_stream(req: DataFrame, key: str, max_size: int = 4, max_wait_ms: float = 3_600_000.0) -> DataFrame:
-    """L4 (stream): pack requests per ``model:approach`` into batches that
-    close at ``max_size`` requests or once a request arrives ``max_wait_ms``
-    after the batch's first one. State is the open batch only."""
-    return req.groupBy(key).applyInPandasWithState(
-        _packing_fn(max_size, max_wait_ms), PACK_OUT, PACK_STATE, "append", GroupStateTimeout.NoTimeout)
+        for ts, _ in rows:
+            if state[2] and pd.Timestamp(ts) >= self.due(state):
+                state, row = self.close(key, state)
+                out.append(row)
+            state = (state[0], state[1] if state[2] else ts, state[2] + 1, ts)
+            if state[2] == self.max_size:
+                state, row = self.close(key, state)
+                out.append(row)
+        return state, out
+
+    def tick(self, key, state, watermark, idle):
+        if state[2] and watermark >= self.due(state):
+            state, row = self.close(key, state)
+            return state, [row]
+        return state, []
+
+
+def batch_packing_stream(req: DataFrame, key: str, max_size: int = 4, max_wait: str = "1 hour") -> DataFrame:
+    """L4 (stream): pack requests per ``model:approach`` into batches of
+    ``max_size`` or ``max_wait`` after the batch's first one."""
+    return Packing(max_size, max_wait).run(req, [key])
 
 
 def batch_packing_stats(batches: DataFrame, key: str = "group_key") -> DataFrame:
@@ -246,114 +337,140 @@ def batch_packing_stats(batches: DataFrame, key: str = "group_key") -> DataFrame
                                     F.round(F.avg("wait_ms"), 6).alias("mean_wait_ms"))
 
 
-EMA_OUT = "strategy_id long, attempts long, successes long, confidence double"
-EMA_STATE = "attempts long, successes long, confidence double"
+class Ledger(InOrder):
+    """EMA ledger: attempts, successes and confidence after the rows so far."""
 
+    def __init__(self, alpha: float, first: float):
+        super().__init__("strategy_id", "attempts long, successes long, confidence double",
+                         "strategy_id long, attempts long, successes long, confidence double", [("success", "boolean")])
+        self.alpha, self.first = alpha, first
 
-def _ema_fn(alpha: float, start: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, s, c = state.get if state.exists else (0, 0, start)
-        for pdf in pdfs:
-            for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-                n += 1
-                s += int(bool(r.success))
-                c = (1 - alpha) * c + alpha * (1.0 if r.success else 0.0)
-        state.update((n, s, c))
-        yield pd.DataFrame([(key[0], n, s, c)], columns=["strategy_id", "attempts", "successes", "confidence"])
-    return fn
+    def start(self):
+        return 0, 0, self.first
+
+    def step(self, key, state, rows):
+        n, s, c = state
+        for _, _, success in rows:
+            n, s = n + 1, s + int(bool(success))
+            c = (1 - self.alpha) * c + self.alpha * (1.0 if success else 0.0)
+        return (n, s, c), [(key, n, s, c)]
 
 
 def ema_ledger_stream(attempts: DataFrame, alpha: float = 0.1, start: float = 0.5) -> DataFrame:
-    """The EMA strategy ledger as keyed state, one update row per
-    strategy per micro-batch (update mode)."""
-    return attempts.groupBy("strategy_id").applyInPandasWithState(
-        _ema_fn(alpha, start), EMA_OUT, EMA_STATE, "update", GroupStateTimeout.NoTimeout)
+    """The EMA strategy ledger; a key's row with the most attempts is its latest."""
+    return Ledger(alpha, start).run(attempts, ["strategy_id"])
 
 
-CONS_OUT = "question_id long, traces_used long, consensus_reached boolean"
-CONS_STATE = "seen long, done boolean, used long, counts string"
+class Consensus(InOrder):
+    """Traces used until an answer's share reaches the threshold after the warm-up."""
 
+    def __init__(self, warmup: int, threshold: float):
+        super().__init__("question_id", "seen long, done boolean, answers array<string>, counts array<long>",
+                         "question_id long, traces_used long, consensus_reached boolean", [("answer", "string")])
+        self.warmup, self.threshold = warmup, threshold
 
-def _consensus_fn(warmup: int, threshold: float):
-    import json
+    def start(self):
+        return 0, False, [], []
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, done, used, counts = state.get if state.exists else (0, False, 0, "{}")
-        cnt = json.loads(counts)
-        for pdf in pdfs:
-            for r in pdf.sort_values(["event_id"]).itertuples(index=False):
-                if done:
-                    break
-                seen += 1
-                cnt[r.answer] = cnt.get(r.answer, 0) + 1
-                if seen > warmup and max(cnt.values()) / seen >= threshold:
-                    done, used = True, seen
-        state.update((seen, done, used if done else seen, json.dumps(cnt)))
-        yield pd.DataFrame([(key[0], used if done else seen, done)],
-                           columns=["question_id", "traces_used", "consensus_reached"])
-    return fn
+    def step(self, key, state, rows):
+        seen, done, answers, counts = state
+        if done:
+            return state, []
+        votes = dict(zip(answers, (int(c) for c in counts)))
+        for _, _, answer in rows:
+            seen += 1
+            votes[answer] = votes.get(answer, 0) + 1
+            if seen > self.warmup and max(votes.values()) / seen >= self.threshold:
+                done = True
+                break
+        return (seen, done, list(votes), list(votes.values())), [(key, seen, done)]
 
 
 def online_consensus_stream(traces: DataFrame, warmup: int, threshold: float = 0.95) -> DataFrame:
-    """Online consensus stop as keyed state (answer -> count map; the
-    number of distinct answers bounds the state)."""
-    return traces.groupBy("question_id").applyInPandasWithState(
-        _consensus_fn(warmup, threshold), CONS_OUT, CONS_STATE, "update", GroupStateTimeout.NoTimeout)
+    """Online consensus stop; the number of distinct answers bounds the state."""
+    return Consensus(warmup, threshold).run(traces, ["question_id"])
 
 
-TRACE_OUT = "trace_id long, stop_pos long, num_tokens long, terminated_early boolean"
-TRACE_STATE = "n long, stop long, ring string"
+class Trace(InOrder):
+    """First position whose mean over the last ``window`` confidences is below
+    the threshold; the running sum moves by one token at a time."""
 
+    def __init__(self, window: int, min_length: int, threshold: float):
+        super().__init__("trace_id", "n long, stop long, ring array<double>",
+                         "trace_id long, stop_pos long, num_tokens long, terminated_early boolean", [("token_confidence", "double")])
+        self.window, self.min_length, self.threshold = window, min_length, threshold
 
-def _trace_fn(window: int, min_length: int, threshold: float):
-    import json
+    def start(self):
+        return 0, -1, []
 
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, stop, ring = state.get if state.exists else (0, -1, "[]")
-        buf = json.loads(ring)
-        for pdf in pdfs:
-            for r in pdf.sort_values(["event_id"]).itertuples(index=False):
-                if stop >= 0:
-                    break
-                buf.append(float(r.token_confidence))
-                buf = buf[-window:]
-                if n >= min_length and len(buf) == window and sum(buf) / window < threshold:
-                    stop = n
-                    break
-                n += 1
-        state.update((n, stop, json.dumps(buf)))
-        yield pd.DataFrame([(key[0], stop if stop >= 0 else None, n, stop >= 0)],
-                           columns=["trace_id", "stop_pos", "num_tokens", "terminated_early"])
-    return fn
+    def step(self, key, state, rows):
+        from collections import deque
+
+        n, stop, ring = state
+        if stop >= 0:
+            return state, []
+        held = deque((float(x) for x in ring), maxlen=self.window)
+        total = sum(held)
+        for _, _, value in rows:
+            total += float(value) - (held[0] if len(held) == self.window else 0.0)
+            held.append(float(value))
+            if n >= self.min_length and len(held) == self.window and total / self.window < self.threshold:
+                stop = n
+                break
+            n += 1
+        return (n, stop, list(held)), [(key, stop if stop >= 0 else None, n, stop >= 0)]
 
 
 def online_trace_stream(tokens: DataFrame, window: int, min_length: int, threshold: float) -> DataFrame:
-    """Online group confidence with a ring buffer of the last ``window``
-    token confidences per trace; the trace stops at the first position >=
-    ``min_length`` whose window mean is below ``threshold``."""
-    return tokens.groupBy("trace_id").applyInPandasWithState(
-        _trace_fn(window, min_length, threshold), TRACE_OUT, TRACE_STATE, "update", GroupStateTimeout.NoTimeout)
+    """Online group confidence with a ring of the last ``window`` token
+    confidences per trace."""
+    return Trace(window, min_length, threshold).run(tokens, ["trace_id"])
+
 
+class Health(InOrder):
+    """A row whenever a provider's up/down state changes."""
 
-HEALTH_OUT = "provider string, event_id long, ts timestamp, up boolean"
-HEALTH_STATE = "up boolean"
+    def __init__(self):
+        super().__init__("provider", "up boolean", "provider string, event_id long, ts timestamp, up boolean", [("up", "boolean")])
 
+    def start(self):
+        return (None,)
 
-def _health_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prev = state.get[0] if state.exists else None
-    out = []
-    for pdf in pdfs:
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-            up = bool(r.up)
-            if prev is None or up != prev:
-                out.append((key[0], r.event_id, r.ts, up))
-            prev = up
-    if prev is not None:
-        state.update((prev,))
-    yield pd.DataFrame(out, columns=["provider", "event_id", "ts", "up"])
+    def step(self, key, state, rows):
+        prev, out = state[0], []
+        for ts, event_id, up in rows:
+            if prev is None or bool(up) != prev:
+                out.append((key, event_id, ts, bool(up)))
+            prev = bool(up)
+        return (prev,), out
 
 
 def health_transitions_stream(events: DataFrame) -> DataFrame:
     """L11 (stream): emit a row whenever a provider's up/down state changes."""
-    return events.groupBy("provider").applyInPandasWithState(
-        _health_fn, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
+    return Health().run(events, ["provider"])
+
+
+class Reuse(InOrder):
+    """The first request of a signature passes, and every one that comes more
+    than the horizon after the last that passed."""
+
+    def __init__(self, horizon: str):
+        super().__init__("signature", "kept timestamp", "signature string, event_id long, ts timestamp", [])
+        self.horizon = pd.Timedelta(horizon)
+
+    def start(self):
+        return (None,)
+
+    def step(self, key, state, rows):
+        kept, out = state[0], []
+        for ts, event_id in rows:
+            if kept is None or pd.Timestamp(ts) > pd.Timestamp(kept) + self.horizon:
+                kept = ts
+                out.append((key, event_id, ts))
+        return (kept,), out
+
+
+def dedupe_within_horizon(requests: DataFrame, horizon: str = "1 day") -> DataFrame:
+    """Response-cache reuse: requests (signature, event_id, ts) that are not
+    served from a response at most ``horizon`` old."""
+    return Reuse(horizon).run(requests, ["signature"])
