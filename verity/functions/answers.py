@@ -522,3 +522,13 @@ def parse_verification(c: Column) -> Column:
     sugg = F.transform(F.filter(ls, lambda s: _contains_any(F.lower(s), SUGGESTION_WORDS)), py_strip)
     return F.struct(assess.alias("assessment"), conf.alias("confidence"), issues.alias("issues"),
                     sugg.alias("suggestions"))
+
+
+NUMBER_RE = r"-?[0-9]+(?:\.[0-9]+)?"
+
+
+def last_number(text: Column, tail: int) -> Column:
+    """The last number in the last ``tail`` characters; null without one,
+    which is an answer of its own."""
+    found = F.regexp_extract_all(F.right(text, F.lit(tail)), F.lit(NUMBER_RE), 0)
+    return F.try_element_at(found, F.lit(-1)).try_cast("double")

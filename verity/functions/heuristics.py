@@ -223,6 +223,11 @@ def report_sections(text: Column) -> Column:
         F.regexp_extract(p, r"(?s)^\s+[^#\n]+\n(.*)\z", 1).alias("body")))
 
 
+# The section of open questions, and the issue texts of the audit.
+QUESTION_SECTION_RE = r"(?s)## Research Questions for Investigation[^#]*(?:#[^#]+)*"
+ISSUE_QUESTIONS = "Report contains unanswered research questions section"
+
+
 def report_audit(text: Column) -> Column:
     """struct(issues, word_count, section_count, is_complete)."""
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0))
@@ -235,6 +240,9 @@ def report_audit(text: Column) -> Column:
         F.filter(secs, lambda s: F.regexp_count(s["body"], F.lit(SECTION_PLACEHOLDER))
                  > F.size(F.filter(F.split(s["body"], "\n"), lambda ln: F.length(py_strip(ln)) > 0)) / 3.0),
         lambda s: F.concat(F.lit("Section '"), s["title"], F.lit("' is mostly placeholders")))
+    asked = F.regexp_extract(text, QUESTION_SECTION_RE, 0)
+    marks = F.size(F.filter(F.transform(F.split(asked, "\n"), py_strip), lambda ln: ln.startswith("*") | ln.startswith("-")))
+    issues.append(F.when(marks > 3, F.lit(ISSUE_QUESTIONS)))
     opens = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))
     closes = F.length(text) - F.length(F.replace(text, F.lit("]"), F.lit("")))
     tail = [F.when(opens != closes, F.lit("Unmatched brackets detected - possible incomplete citations")),

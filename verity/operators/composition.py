@@ -159,12 +159,52 @@ def parse_vector(text: Column) -> Column:
     return F.coalesce(F.when(t.startswith("["), js), csv_ok)
 
 
-def json_from_text(text: Column, schema: str) -> Column:
-    """Parse the first JSON object found: a fenced ```json block, else
-    the outermost {...} span; null when nothing parses."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+# The structure that stands in when no JSON can be read.
+DEFAULT_STRUCTURE = (
+    '{"problem_understanding":"Analyze and understand the problem requirements",'
+    '"solution_approach":"Determine the best approach based on problem characteristics",'
+    '"step_by_step_reasoning":"Work through the problem systematically",'
+    '"verification":"Verify the solution is correct and complete",'
+    '"final_answer":"State the final answer clearly"}')
+NESTED_OBJECT_RE = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+CODE_BLOCK_RES = (r"(?s)```json\s*([^`]+)```", r"(?s)```\s*([^`]+)```", r"(?s)`([^`]+)`")
+#: Quotes, bare names, trailing and repeated commas, in this order.
+JSON_REPAIRS = ((r"([^\\])'([^']*)'(\s*[,}])", r'$1"$2"$3'), (r"([{,]\s*)([a-zA-Z_][a-zA-Z0-9_]*)\s*:", r'$1"$2":'),
+                (r",\s*([}\]])", "$1"), (r",,+", ","))
+
+
+def balanced_object(text: Column) -> Column:
+    """The text from the first opening brace to the closing one that balances it, or null."""
+    rest = F.substring(text, F.locate("{", text), F.length(text))
+    parts = F.split(rest, r"\}", -1)
+    opened = lambda p: F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("open"), F.lit(0).alias("end"))
+
+    def step(a, p):
+        left = a["open"] + opened(p) - 1
+        n = a["n"] + F.length(p) + 1
+        return F.struct(n.alias("n"), left.alias("open"), F.when((a["end"] == 0) & (left == 0), n).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step)["end"]
+    return F.when((F.locate("{", text) > 0) & (end > 0), F.substring(rest, F.lit(1), end))
+
+
+def json_from_text(text: Column) -> Column:
+    """struct(strategy, json): the first candidate that is an object with
+    at least one field: 1 the first balanced braces, 2 the first nested
+    pattern, 3 a code block, 4 the outermost braces after repairs; else 5, the
+    default structure."""
     span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.from_json(A.nonempty(fenced), schema), F.from_json(A.nonempty(span), schema))
+    for pattern, to in JSON_REPAIRS:
+        span = F.regexp_replace(span, pattern, to)
+    candidates = [(1, balanced_object(text)), (2, F.regexp_extract(text, NESTED_OBJECT_RE, 0)),
+                  *[(3, py_strip(F.regexp_extract(text, p, 1))) for p in CODE_BLOCK_RES], (4, span)]
+    # The parser stops after one value: inside brackets, what follows it shows.
+    one = lambda c: F.size(F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>")) == 1
+    whole = lambda c: c.startswith("{") & c.endswith("}") & F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & one(c)
+    found = [F.when(whole(c) & ~c.rlike(r"^\{\s*\}$"),
+                    F.struct(F.lit(k).alias("strategy"), c.alias("json"))) for k, c in candidates]
+    return F.coalesce(*found, F.struct(F.lit(5).alias("strategy"), F.lit(DEFAULT_STRUCTURE).alias("json")))
 
 
 def key_values(text: Column) -> Column:

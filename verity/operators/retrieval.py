@@ -121,6 +121,43 @@ def sub_questions(text: Column) -> Column:
     return F.transform(lines, lambda s: F.regexp_replace(s, r"^\d+\.", ""))
 
 
+def numbered_queries(text: Column, most: int = 5) -> Column:
+    """The first ``most`` lines 'n. query' or 'n. [query]', without number and brackets."""
+    lines = F.filter(F.transform(F.split(text, "\n"), py_strip), lambda s: s.rlike(r"^[0-9]+\."))
+    queries = F.transform(lines, lambda s: py_strip(F.regexp_replace(s, r"^[0-9]+\.\s*\[?(.*?)\]?$", "$1")))
+    return F.slice(F.filter(queries, lambda q: F.length(q) > 0), 1, most)
+
+
+def focused_queries(aspects: Column, query: Column, most: int = 3) -> Column:
+    """The query with each of the first ``most`` missing aspects."""
+    return F.transform(F.slice(aspects, 1, most), lambda a: F.concat(query, F.lit(" "), a))
+
+
+def collapse_all(results: DataFrame, key: str, pos: str, text: str, budget: int) -> DataFrame:
+    """While the formatted chunks of a question are above the budget and
+    more than one, the pair at a rotating index is merged (joined by a blank
+    line). A question's chunks are those of one document, so its rounds run as
+    a fold inside its row: (key, n_steps, n_chunks, num_tokens)."""
+    g = results.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(pos, F.length(text).alias("n")))).alias("_l"))
+    # Only lengths matter: a header is 23 characters and the digits of the chunk's number.
+    header = lambda i: 23 + F.length(i.cast("string"))
+    size = lambda c: F.aggregate(F.transform(c, lambda n, i: n + header(i) + 1), F.lit(0), lambda s, x: s + x)
+    tokens = lambda c: F.floor(size(c) / 4)
+    start = F.struct(F.transform("_l", lambda x: x["n"]).alias("c"), F.lit(0).alias("at"), F.lit(0).alias("steps"))
+
+    def step(acc, _):
+        n, at = F.size(acc["c"]), acc["at"]
+        merged = F.concat(F.slice(acc["c"], F.lit(1), at), F.array(acc["c"][at] + acc["c"][at + 1] + 2),
+                          F.slice(acc["c"], at + 3, F.greatest(n - at - 2, F.lit(0))))
+        more = (n > 1) & (tokens(acc["c"]) > budget)
+        return F.struct(F.when(more, merged).otherwise(acc["c"]).alias("c"),
+                        F.when(more, (at + 1) % F.greatest(n - 2, F.lit(1))).otherwise(at).alias("at"),
+                        F.when(more, acc["steps"] + 1).otherwise(acc["steps"]).alias("steps"))
+
+    done = g.select(key, F.aggregate("_l", start, lambda a, x: step(a, x)).alias("_r"))
+    return done.select(key, F.col("_r.steps").alias("n_steps"), F.size("_r.c").alias("n_chunks"), tokens(F.col("_r.c")).alias("num_tokens"))
+
+
 def chunk_info_block(i: Column, text: Column) -> Column:
     """'Information of Chunk i:\\n<text>\\n' (0-based i)."""
     return F.concat(F.lit("Information of Chunk "), i.cast("string"), F.lit(":\n"), text, F.lit("\n"))

@@ -170,9 +170,14 @@ def refinement_queue(attempts: DataFrame, key: str, order: list[str], every: int
 
 
 def gap_priority_order(gaps: DataFrame, priority: str, pos: str) -> DataFrame:
-    """HIGH, then MEDIUM, then anything else; stable on position."""
+    """HIGH, then MEDIUM, then anything else; ``search_order`` numbers the
+    gaps in that order, stable on the whole-number position."""
+    from .ranking import BUCKET_WIDTH, global_rank
+
     rank = F.when(F.upper(F.col(priority)) == "HIGH", 0).when(F.upper(F.col(priority)) == "MEDIUM", 1).otherwise(2)
-    return gaps.withColumn("priority_rank", rank)
+    ranked = gaps.withColumn("priority_rank", rank)
+    bucket = F.struct("priority_rank", F.floor(F.col(pos) / BUCKET_WIDTH).alias("b"))
+    return global_rank(ranked, ["priority_rank", pos], "search_order", bucket)
 
 
 def draft_stop(drafts: DataFrame, key: str, iteration: str, completeness: str) -> DataFrame:

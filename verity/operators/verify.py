@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .curate import portable_hash
+
 
 def verification_scores(v: DataFrame, key: str = "solution_id") -> DataFrame:
     """H1: per solution, correct / total and mean confidence."""
@@ -104,7 +106,7 @@ def aggregation_groups(solutions: DataFrame, group: str, agent: str, score: str,
     s = s.withColumn("_best_rank", F.row_number().over(best_w)) \
         .withColumn("_agent_rank", F.row_number().over(agent_w))
     div_w = Window.partitionBy(group).orderBy((F.col("_agent_rank") > 1).cast("int"), F.col(score).desc(), F.col(tiebreak))
-    rnd_w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(tiebreak), F.lit(seed)), F.col(tiebreak))
+    rnd_w = Window.partitionBy(group).orderBy(portable_hash(F.col(tiebreak), seed), F.col(tiebreak))
     s = s.withColumn("_div_rank", F.row_number().over(div_w)).withColumn("_rnd_rank", F.row_number().over(rnd_w))
     n_groups = F.least(F.floor(F.col("_n") / k), F.lit(3))
     parts = []

@@ -65,7 +65,7 @@ def weighted_vote(cands: DataFrame, key: str, pos: str, answer: Column, confiden
     best = g.groupBy(key).agg(
         _argmax(key, [F.round("score", 12), -F.col("first_pos")], {"ans": F.col("answer"), "score": F.col("score")}).alias("_w"),
         F.count(F.lit(1)).alias("num_unique_answers"))
-    return best.select(key, F.col("_w.ans").alias("answer"), F.round("_w.score", 6).alias("best_score"),
+    return best.select(key, F.col("_w.ans").alias("answer"), F.round(F.round("_w.score", 12), 6).alias("best_score"),
                        "num_unique_answers")
 
 

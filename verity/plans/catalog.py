@@ -62,7 +62,7 @@ def register(key: str, sql: str | None = None):
 
 _MODULES = (
     "curate", "evaluate", "answers", "vote", "verify", "strategies", "confidence",
-    "joins", "web", "context", "privacy", "composition", "streams", "text", "more",
+    "joins", "web", "context", "privacy", "composition", "streams", "text", "more", "similarity",
 )
 
 

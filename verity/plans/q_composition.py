@@ -4,6 +4,8 @@ H27)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,19 +157,47 @@ def t37(c: Ctx) -> DataFrame:
     return e.select("vec_id", CM.parse_vector(txt).alias("vector"))
 
 
-_JSON_TEXT = ("CASE WHEN event_id % 3 = 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' "
-              "WHEN event_id % 3 = 1 THEN 'Result ' || props || ' end' ELSE 'no json here' END")
-
-
-@register("t18_json_from_text", f"""
-    SELECT event_id, CAST(json_extract_string(coalesce(nullif(regexp_extract(t, '(?s)```(?:json)?\\s*(\\{{.*?\\}})\\s*```', 1), ''),
-                                                       nullif(regexp_extract(t, '(?s)(\\{{.*\\}})', 1), '')), '$.k') AS BIGINT) AS k
-    FROM (SELECT event_id, {_JSON_TEXT} AS t FROM events)""")
+_JSON_TEXT = (
+    "CASE event_id % 8 WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' "
+    "WHEN 1 THEN 'Result ' || props || ' and {\"k\": 0}' WHEN 2 THEN 'no json here' "
+    "WHEN 3 THEN 'x {\"a\": ' || props || ', \"b\": \"}\"} y' WHEN 4 THEN 'open { then ```json' || chr(10) || props || '```' "
+    "WHEN 5 THEN '{''k'': ''' || event_id || ''', name: ''x'',, }' WHEN 6 THEN 'see `' || props || '`' ELSE '{ } {}' END")
+
+
+def _json_sql() -> str:
+    rest = "substring(t, strpos(t, '{'))"
+    parts = f"string_split({rest}, '}}')"
+    opened = "(length(p) - length(replace(p, '{', '')))"
+    step = (f"{{'n': a.n + length(p) + 1, 'open': a.open + {opened} - 1, "
+            f"'fin': CASE WHEN a.fin = 0 AND a.open + {opened} - 1 = 0 THEN a.n + length(p) + 1 ELSE a.fin END}}")
+    end = (f"coalesce((list_reduce(list_slice({parts}, 1, len({parts}) - 1), lambda a, p: {step}, "
+           f"{{'n': 0::BIGINT, 'open': 0::BIGINT, 'fin': 0::BIGINT}})).fin, 0)")
+    span = "regexp_extract(t, '(?s)(\\{.*\\})', 1)"
+    for pattern, to in CM.JSON_REPAIRS:
+        span = f"regexp_replace({span}, {S.q(pattern)}, {S.q(re.sub(r'[$]([0-9])', chr(92) + chr(92) + r'1', to))}, 'g')"
+    cs = [(1, f"CASE WHEN strpos(t, '{{') > 0 AND {end} > 0 THEN substring({rest}, 1, {end}) END"),
+          (2, f"regexp_extract(t, {S.q(CM.NESTED_OBJECT_RE)}, 0)"),
+          *[(3, S.py_strip(f"regexp_extract(t, {S.q(p)}, 1)")) for p in CM.CODE_BLOCK_RES], (4, span)]
+    cols = ", ".join(f"{c} AS c{i}" for i, (_, c) in enumerate(cs))
+    ok = lambda c: f"(json_valid({c}) AND starts_with({c}, '{{') AND NOT regexp_matches({c}, '^\\{{\\s*\\}}$'))"
+    which = "CASE " + " ".join(f"WHEN {ok(f'c{i}')} THEN {i}" for i in range(len(cs))) + " END"
+    ks, js = ("CASE w " + " ".join(f"WHEN {i} THEN {v(i)}" for i in range(len(cs))) + f" ELSE {other} END"
+              for v, other in ((lambda i: str(cs[i][0]), "5"), (lambda i: f"c{i}", S.q(CM.DEFAULT_STRUCTURE))))
+    return f"""
+    WITH a AS (SELECT event_id, {_JSON_TEXT} AS t FROM events), b AS (SELECT event_id, {cols} FROM a), c AS (SELECT *, {which} AS w FROM b)
+    SELECT event_id, {ks} AS strategy, {js} AS json FROM c"""
+
+
+@register("t18_json_from_text", _json_sql())
 def t18(c: Ctx) -> DataFrame:
-    e = c.t.events
-    t = (F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```")))
-          .when(F.col("event_id") % 3 == 1, F.concat(F.lit("Result "), F.col("props"), F.lit(" end"))).otherwise(F.lit("no json here")))
-    return e.select("event_id", CM.json_from_text(t, "k bigint")["k"].alias("k"))
+    n, p = F.col("event_id") % 8, F.col("props")
+    t = (F.when(n == 0, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```"))).when(n == 1, F.concat(F.lit("Result "), p, F.lit(' and {"k": 0}')))
+          .when(n == 2, F.lit("no json here")).when(n == 3, F.concat(F.lit('x {"a": '), p, F.lit(', "b": "}"} y')))
+          .when(n == 4, F.concat(F.lit("open { then ```json\n"), p, F.lit("```")))
+          .when(n == 5, F.concat(F.lit("{'k': '"), F.col("event_id").cast("string"), F.lit("', name: 'x',, }")))
+          .when(n == 6, F.concat(F.lit("see `"), p, F.lit("`"))).otherwise(F.lit("{ } {}")))
+    j = CM.json_from_text(F.col("t"))
+    return c.t.events.select("event_id", t.alias("t")).select("event_id", j["strategy"].alias("strategy"), j["json"].alias("json"))
 
 
 _KV_TEXT = ("'STRATEGY: s' || strategy_id || chr(10) || 'score: ' || CASE WHEN event_id % 4 = 0 THEN 'high' ELSE CAST(event_id % 10 AS VARCHAR) || '.5' END "

@@ -410,6 +410,27 @@ def d26(c: Ctx) -> DataFrame:
     return q.select("idx", F.posexplode(RT.sub_questions(t)).alias("q_pos", "question"))
 
 
+_D26_NUMBERED = "'Queries:' || chr(10) || '1. [' || prompt || ']' || chr(10) || ' 2.  why ' || idx || chr(10) || 'x. no' || chr(10) || '3.' || chr(10) || '4. d' || chr(10) || '5. e' || chr(10) || '6. f' || chr(10) || '7. g'"
+
+
+@register("d26_numbered_queries", f"""
+    SELECT idx, generate_subscripts(qs, 1) - 1 AS q_pos, unnest(qs) AS question FROM (
+      SELECT idx, list_slice(list_filter(list_transform(list_filter(list_transform(string_split({_D26_NUMBERED}, chr(10)), lambda s: {S.py_strip('s')}),
+               lambda s: regexp_matches(s, '^[0-9]+\.')), lambda s: {S.py_strip("regexp_replace(s, '^[0-9]+\.\s*\[?(.*?)\]?$', '\\1')")}),
+               lambda q: length(q) > 0), 1, 5) AS qs FROM v_questions)""")
+def d26_numbered(c: Ctx) -> DataFrame:
+    t = F.concat(F.lit("Queries:\n1. ["), F.col("prompt"), F.lit("]\n 2.  why "), F.col("idx").cast("string"), F.lit("\nx. no\n3.\n4. d\n5. e\n6. f\n7. g"))
+    return c.v("v_questions").select("idx", F.posexplode(RT.numbered_queries(t)).alias("q_pos", "question"))
+
+
+@register("d26_focused_queries", """
+    SELECT idx, generate_subscripts(qs, 1) - 1 AS q_pos, unnest(qs) AS question FROM (
+      SELECT idx, list_transform(list_slice(string_split(prompt, ' '), 1, 3), lambda a: 'about ' || idx || ' ' || a) AS qs FROM v_questions)""")
+def d26_focused(c: Ctx) -> DataFrame:
+    q = F.concat(F.lit("about "), F.col("idx").cast("string"))
+    return c.v("v_questions").select("idx", F.posexplode(RT.focused_queries(F.split("prompt", " "), q)).alias("q_pos", "question"))
+
+
 _TAGS = ["Final answer:", "Answer:"]
 
 
@@ -592,3 +613,25 @@ def d25_round(c: Ctx) -> DataFrame:
     r = res.join(multi, "doc_id", "left_semi") \
         .withColumn("p", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no")) - 1)
     return RT.collapse_round(r, "doc_id", "p", "t", F.lit(0))
+
+
+_D25_SIZE = "list_sum(list_transform(%s, lambda n, i: n + 24 + length((i - 1)::VARCHAR)))"
+
+
+def _d25_sql(budget: int) -> str:
+    tok = lambda x: f"CAST(floor({_D25_SIZE % x} / 4) AS BIGINT)"
+    more = f"(len(a.c) > 1 AND {tok('a.c')} > {budget})"
+    merged = ("list_concat(list_slice(a.c, 1, a.at_), list_concat([a.c[a.at_ + 1] + a.c[a.at_ + 2] + 2], list_slice(a.c, a.at_ + 3, len(a.c))))")
+    fold = (f"list_reduce(l, lambda a, x: {{'c': CASE WHEN {more} THEN {merged} ELSE a.c END, "
+            f"'at_': CASE WHEN {more} THEN (a.at_ + 1) % greatest(len(a.c) - 2, 1) ELSE a.at_ END, "
+            f"'steps': CASE WHEN {more} THEN a.steps + 1 ELSE a.steps END}}, {{'c': l, 'at_': 0::BIGINT, 'steps': 0::BIGINT}})")
+    return f"""
+    WITH {_MR_SQL},
+    g AS (SELECT doc_id, list(length(t) ORDER BY chunk_no) AS l FROM res GROUP BY 1),
+    f AS (SELECT doc_id, {fold} AS f FROM g)
+    SELECT doc_id, f.steps AS n_steps, len(f.c) AS n_chunks, {tok('f.c')} AS num_tokens FROM f"""
+
+
+@register("d25_collapse_all", _d25_sql(COLLAPSE_BUDGET))
+def d25_all(c: Ctx) -> DataFrame:
+    return RT.collapse_all(_map_results(c), "doc_id", "chunk_no", "t", COLLAPSE_BUDGET)

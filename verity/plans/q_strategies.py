@@ -156,8 +156,7 @@ def h20_lenient(c: Ctx) -> DataFrame:
     return ST.select_for_inference(_ledger(c), F.lit("type_2"), _as_of(), min_rate=0.2)
 
 
-_REPLY_SQL = ("CASE WHEN completion_id % 3 = 0 THEN '<think>maybe YES</think> no' "
-              "WHEN completion_id % 3 = 1 THEN 'Answer: yes' ELSE '<think>x</think>\n YES, it helped' END")
+_REPLY_SQL = "replace(text, 'Decision: TRUE', 'Decision: yes')"
 
 
 @register("h21_effective_from_reply", f"""
@@ -165,9 +164,7 @@ _REPLY_SQL = ("CASE WHEN completion_id % 3 = 0 THEN '<think>maybe YES</think> no
                                               THEN regexp_extract(r, '(?s)^.*</think>(.*)$', 1) ELSE r END)), 'YES') AS is_effective
     FROM (SELECT completion_id, {_REPLY_SQL} AS r FROM v_completions)""")
 def h21(c: Ctx) -> DataFrame:
-    n = F.col("completion_id")
-    reply = (F.when(n % 3 == 0, F.lit("<think>maybe YES</think> no")).when(n % 3 == 1, F.lit("Answer: yes"))
-              .otherwise(F.lit("<think>x</think>\n YES, it helped")))
+    reply = F.replace("text", F.lit("Decision: TRUE"), F.lit("Decision: yes"))
     return c.v("v_completions").select("completion_id", ST.effective_from_reply(reply).alias("is_effective"))
 
 
@@ -202,9 +199,9 @@ def h23(c: Ctx) -> DataFrame:
 
 
 @register("h24_gap_priority", """
-    SELECT event_id, CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'signup' THEN 'medium' ELSE 'low' END AS priority,
-           CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'signup' THEN 1 ELSE 2 END AS priority_rank
-    FROM events""")
+    WITH g AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'signup' THEN 'medium' ELSE 'low' END AS priority,
+                      CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'signup' THEN 1 ELSE 2 END AS priority_rank FROM events)
+    SELECT *, row_number() OVER (ORDER BY priority_rank, event_id) AS search_order FROM g""")
 def h24(c: Ctx) -> DataFrame:
     e = c.t.events.select("event_id", F.when(F.col("event_type") == "error", "HIGH")
                           .when(F.col("event_type") == "signup", "medium").otherwise("low").alias("priority"))

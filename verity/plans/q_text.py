@@ -121,6 +121,10 @@ def _audit_sql(t: str) -> str:
     for p in HX.PLACEHOLDER_CITATION_PATTERNS:
         n = f"len(regexp_extract_all({t}, {S.q('(?i)' + p)}, 0))"
         cits.append(f"CASE WHEN {n} > 0 THEN 'Found ' || {n} || ' placeholder citations' END")
+    asked = f"regexp_extract({t}, {S.q(HX.QUESTION_SECTION_RE)}, 0)"
+    marks = (f"len(list_filter(list_transform(string_split({asked}, chr(10)), lambda ln: {S.py_strip('ln')}), "
+             f"lambda ln: starts_with(ln, '*') OR starts_with(ln, '-')))")
+    cits.append(f"CASE WHEN {marks} > 3 THEN {S.q(HX.ISSUE_QUESTIONS)} END")
     heavy = (f"list_transform(list_filter({secs}, lambda s: len(regexp_extract_all(s.body, {S.q(HX.SECTION_PLACEHOLDER)}, 0)) > "
              f"len(list_filter(string_split(s.body, chr(10)), lambda ln: length({S.py_strip('ln')}) > 0)) / 3.0), "
              f"lambda s: 'Section ''' || s.title || ''' is mostly placeholders')")

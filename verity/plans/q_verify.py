@@ -116,3 +116,14 @@ def h7(c: Ctx) -> DataFrame:
 def h7_div(c: Ctx) -> DataFrame:
     g = VF.aggregation_groups(c.v("v_candidates"), "question_id", "answer", "confidence", "candidate_id", 4)
     return g.where(F.col("group_kind") == "diverse")
+
+
+@register("h7_aggregation_groups_random", """
+    WITH n AS (SELECT question_id, count(*) AS n FROM v_candidates GROUP BY 1),
+    r AS (SELECT c.question_id, c.candidate_id, n.n,
+                 row_number() OVER (PARTITION BY c.question_id ORDER BY (c.candidate_id * 48271 + 7) % 2147483647, c.candidate_id) AS member_rank
+          FROM v_candidates c JOIN n USING (question_id))
+    SELECT question_id, 'random' AS group_kind, candidate_id, member_rank FROM r WHERE least(floor(n / 4), 3) > 2 AND member_rank <= 4""")
+def h7_random(c: Ctx) -> DataFrame:
+    g = VF.aggregation_groups(c.v("v_candidates"), "question_id", "answer", "confidence", "candidate_id", 4)
+    return g.where(F.col("group_kind") == "random")

@@ -95,7 +95,7 @@ _G3_SQL = f"""
 
 
 @register("g3_weighted_vote", _G3_SQL + """
-    SELECT question_id, answer, round(score, 6) AS best_score, num_unique_answers
+    SELECT question_id, answer, round(round(score, 12), 6) AS best_score, num_unique_answers
     FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS num_unique_answers FROM s)
     QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(score, 12) DESC, first_pos) = 1""")
 def g3(c: Ctx) -> DataFrame:
@@ -157,9 +157,12 @@ def g6(c: Ctx) -> DataFrame:
     return V.numeric_vote(cands, "question_id", "pos", A.extract_aime(F.col("text")) % 4, "conf", "sol")
 
 
+_G8_TEXT = "CASE WHEN completion_id % 4 = 0 THEN regexp_replace(text, '[0-9]+', '', 'g') ELSE text END"
+
+
 @register("g8_math_majority", f"""
     WITH c AS (SELECT question_id, completion_id AS pos,
-                      CASE WHEN completion_id % 4 = 0 THEN NULL ELSE CAST(completion_id % 3 AS VARCHAR) END AS ans FROM v_completions),
+                      TRY_CAST(regexp_extract_all(right({_G8_TEXT}, 100), {S.q(A.NUMBER_RE)}, 0)[-1] AS DOUBLE) AS ans FROM v_completions),
     g AS (SELECT question_id, ans, count(*) AS n, min(pos) AS first_pos FROM c GROUP BY 1, 2),
     t AS (SELECT question_id, sum(n) AS n_total FROM g GROUP BY 1),
     w AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY n DESC, first_pos) = 1)
@@ -167,8 +170,8 @@ def g6(c: Ctx) -> DataFrame:
     FROM w JOIN t USING (question_id)""")
 def g8(c: Ctx) -> DataFrame:
     comp = c.v("v_completions").withColumnRenamed("completion_id", "pos")
-    ans = F.when(F.col("pos") % 4 == 0, F.lit(None)).otherwise((F.col("pos") % 3).cast("string"))
-    return V.consensus(comp, "question_id", "pos", ans).select("question_id", "answer", "n_votes", "n_total")
+    text = F.when(F.col("pos") % 4 == 0, F.regexp_replace("text", "[0-9]+", "")).otherwise(F.col("text"))
+    return V.consensus(comp, "question_id", "pos", A.last_number(text, 100)).select("question_id", "answer", "n_votes", "n_total")
 
 
 @register("g9_rating_argmax", f"""

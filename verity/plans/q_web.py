@@ -236,6 +236,16 @@ def b16(c: Ctx) -> DataFrame:
     return _found(c).select("idx", "doc_index", "url", "title")
 
 
+@register("b16_wiki_content", f"""
+    WITH {_FOUND_SQL}
+    SELECT idx, to_json(list({{'doc_index': doc_index, 'url': url, 'title': title, 'article': article}} ORDER BY doc_index))::VARCHAR AS wiki_content
+    FROM found WHERE (idx + doc_index) % 5 <> 0 GROUP BY idx""")
+def b16_nested(c: Ctx) -> DataFrame:
+    """Every fifth fetch fails; the others keep their numbers."""
+    found = _found(c).where((F.col("idx") + F.col("doc_index")) % 5 != 0)
+    return W.wiki_content(found, "idx").select("idx", F.to_json("wiki_content").alias("wiki_content"))
+
+
 @register("b17_generated_context", f"""
     WITH {_FOUND_SQL}
     SELECT idx, string_agg('--- Content from ' || url || ' ---' || chr(10) || article || chr(10), chr(10) ORDER BY doc_index) AS generated_context

@@ -205,6 +205,7 @@ def report_text(doc_id, text):
         F.lit("\n\n## Findings\n"),
         F.when(doc_id % 4 == 0, F.concat(F.lit("Claim [1] [Placeholder for source "), ids, F.lit("]\n"))).otherwise(F.lit("")),
         F.when(doc_id % 5 == 0, F.lit("[Citation needed]\n...\n")).otherwise(F.lit("")),
+        F.when(doc_id % 6 == 0, F.lit("\n## Research Questions for Investigation\n* a?\n * b?\n- c?\n* d?\n\n## Next\n")).otherwise(F.lit("")),
         F.lit("See [2] for details.\n\n## References\n[1] Source one\n"),
     )
 
@@ -259,6 +260,7 @@ _REPORT_SQL = (
     "chr(10) || chr(10) || '## Findings' || chr(10) || "
     "CASE WHEN doc_id % 4 = 0 THEN 'Claim [1] [Placeholder for source ' || doc_id || ']' || chr(10) ELSE '' END || "
     "CASE WHEN doc_id % 5 = 0 THEN '[Citation needed]' || chr(10) || '...' || chr(10) ELSE '' END || "
+    "CASE WHEN doc_id % 6 = 0 THEN chr(10) || '## Research Questions for Investigation' || chr(10) || '* a?' || chr(10) || ' * b?' || chr(10) || '- c?' || chr(10) || '* d?' || chr(10) || chr(10) || '## Next' || chr(10) ELSE '' END || "
     "'See [2] for details.' || chr(10) || chr(10) || '## References' || chr(10) || '[1] Source one' || chr(10)"
 )
 
