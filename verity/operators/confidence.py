@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import rank_within
+from .ranking import BUCKET_WIDTH, rank_within, running, value_bucket
 
 #: Positions of one key that a rolling mean's task sees together.
 BLOCK = 4096
@@ -72,10 +72,14 @@ def top2_margin(logits: Column) -> Column:
 
 def group_confidence(tokens: DataFrame, window: int, key: str = "trace_id", pos: str = "pos",
                      value: str = "token_confidence") -> DataFrame:
-    """Sliding mean over the last ``window`` tokens, full windows only."""
-    w = Window.partitionBy(key).orderBy(pos).rowsBetween(-(window - 1), 0)
-    g = tokens.select(key, pos, value, F.avg(value).over(w).alias("group_confidence"))
-    return g.where(F.col(pos) >= window - 1)
+    """Sliding mean over the last ``window`` tokens, full windows only.
+    A trace is cut into blocks of ``BLOCK`` positions; the last ``window - 1``
+    tokens of a block are copied into the next, so a long trace is many tasks."""
+    own = tokens.select(key, pos, value).withColumn("_block", F.floor(F.col(pos) / BLOCK)).withColumn("_copy", F.lit(False))
+    copies = own.where(F.col(pos) % BLOCK >= BLOCK - (window - 1)).withColumn("_block", F.col("_block") + 1).withColumn("_copy", F.lit(True))
+    w = Window.partitionBy(key, "_block").orderBy(pos).rowsBetween(-(window - 1), 0)
+    g = own.unionByName(copies).withColumn("group_confidence", F.avg(value).over(w))
+    return g.where(~F.col("_copy") & (F.col(pos) >= window - 1)).select(key, pos, value, "group_confidence")
 
 
 def trace_statistics(tokens: DataFrame, window: int, key: str = "trace_id", pos: str = "pos",
@@ -85,8 +89,7 @@ def trace_statistics(tokens: DataFrame, window: int, key: str = "trace_id", pos:
     token and group counts; 0 where a trace has no full group."""
     groups = group_confidence(tokens, window, key, pos, value)
     per_group = groups.groupBy(key).agg(F.count(F.lit(1)).alias("num_groups"))
-    rw = Window.partitionBy(key).orderBy("group_confidence", pos)
-    ranked = groups.join(per_group, key).withColumn("_r", F.row_number().over(rw))
+    ranked = rank_within(groups.join(per_group, key), key, ["group_confidence", pos], "_r", value_bucket(F.col("group_confidence")))
     gstats = ranked.groupBy(key).agg(
         F.avg(F.when(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("num_groups") / 10)), F.col("group_confidence")))
          .alias("bottom_10_percent"),
@@ -110,13 +113,13 @@ def calibrate_threshold(stats: DataFrame, metric: str = "average_confidence") ->
                      F.percentile(metric, F.lit(0.1)).alias("threshold_high"))
 
 
-def early_termination(tokens: DataFrame, threshold: Column, window: int, min_length: int,
+def early_termination(tokens: DataFrame, threshold: DataFrame, window: int, min_length: int,
                       key: str = "trace_id", pos: str = "pos", value: str = "token_confidence") -> DataFrame:
     """I8: first 0-based position >= ``min_length`` whose group confidence is
-    below ``threshold``; that token is not kept. Per trace: stop position,
-    kept tokens, flag."""
-    g = group_confidence(tokens, window, key, pos, value)
-    stop = g.where((F.col(pos) >= min_length) & (F.col("group_confidence") < threshold)) \
+    below the threshold; that token is not kept. Per trace: stop position,
+    kept tokens, flag. ``threshold`` is a table of one row and one column."""
+    g = group_confidence(tokens, window, key, pos, value).join(F.broadcast(threshold.toDF("_threshold")))
+    stop = g.where((F.col(pos) >= min_length) & (F.col("group_confidence") < F.col("_threshold"))) \
         .groupBy(key).agg(F.min(pos).alias("stop_pos"))
     n = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("num_tokens"))
     out = n.join(stop, key, "left")
@@ -130,11 +133,9 @@ def online_consensus(traces: DataFrame, key: str, pos: str, answer: str, warmup:
     warm-up traces count but the test runs only after each later trace.
     The top count after trace t is the running max of each trace's own
     running answer count."""
-    w_ans = Window.partitionBy(key, answer).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    w_q = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    t = traces.withColumn("_c", F.count(F.lit(1)).over(w_ans)) \
-        .withColumn("_t", F.row_number().over(Window.partitionBy(key).orderBy(pos)))
-    t = t.withColumn("_top", F.max("_c").over(w_q))
+    t = rank_within(traces.select(key, pos, answer), [key, answer], [pos], "_c")
+    t = rank_within(t, key, [pos], "_t")
+    t = running(t, [key], [pos], F.col("_c"), "max", F.floor(F.col(pos) / BUCKET_WIDTH), "_top")
     hit = (F.col("_t") > warmup) & (F.col("_top") / F.col("_t") >= threshold)
     g = t.groupBy(key).agg(F.min(F.when(hit, F.col("_t"))).alias("_stop"), F.count(F.lit(1)).alias("available"))
     return g.select(key, F.coalesce("_stop", "available").cast("bigint").alias("traces_used"),

@@ -43,12 +43,11 @@ def build_context(docs: DataFrame, key: str = "idx", rule: str = "newline") -> D
 
 def augment(answers: DataFrame, contexts: DataFrame, key: str = "idx") -> DataFrame:
     """Pair every answer with its context; the two inputs must have the
-    same number of records (checked with two counts, as the reference
-    refuses mismatched files)."""
-    na, nc = answers.count(), contexts.count()
-    if na != nc:
-        raise ValueError(f"answers ({na}) and contexts ({nc}) differ in length")
-    return answers.join(contexts, key, "inner")
+    same number of records, else the job fails (the counts are part of it)."""
+    sizes = answers.agg(F.count(F.lit(1)).alias("_na")).join(F.broadcast(contexts.agg(F.count(F.lit(1)).alias("_nc"))))
+    differ = F.concat(F.lit("answers and contexts differ in length: "), F.col("_na").cast("string"), F.lit(", "), F.col("_nc").cast("string"))
+    checked = sizes.select(F.when(F.col("_na") == F.col("_nc"), F.lit(True)).otherwise(F.raise_error(differ).cast("boolean")).alias("_same"))
+    return answers.join(contexts, key, "inner").join(F.broadcast(checked)).where("_same").drop("_same")
 
 
 def augment_allow_missing(answers: DataFrame, contexts: DataFrame, key: str = "idx") -> tuple[DataFrame, DataFrame]:
@@ -92,22 +91,20 @@ def farthest_other(agents: DataFrame, key: str, agent: str, temp: str) -> DataFr
     largest temperature distance, first (lowest agent order) on ties; the
     agent itself when alone. Exact from the group's two lowest and two
     highest temperatures and their first two agents."""
+    from pyspark.sql import Window
+
     a = agents.select(F.col(key), F.col(agent).alias("_id"), F.col(temp).alias("_t"))
-    ext = a.groupBy(key).agg(F.min("_t").alias("tmin"), F.max("_t").alias("tmax"))
-    a2 = a.join(ext, key)
-    nxt = a2.groupBy(key).agg(F.min(F.when(F.col("_t") > F.col("tmin"), F.col("_t"))).alias("tmin2"),
-                              F.max(F.when(F.col("_t") < F.col("tmax"), F.col("_t"))).alias("tmax2"))
-    a3 = a2.join(nxt, key)
-
-    def first_two(tcol):
-        at = a3.where(F.col("_t") == F.col(tcol)).groupBy(key).agg(F.min("_id").alias(f"{tcol}_f"))
-        sec = a3.where(F.col("_t") == F.col(tcol)).join(at, key).where(F.col("_id") > F.col(f"{tcol}_f")) \
-            .groupBy(key).agg(F.min("_id").alias(f"{tcol}_s"))
-        return at.join(sec, key, "left")
-
-    cand = ext.join(nxt, key)
-    for t in ("tmin", "tmax", "tmin2", "tmax2"):
-        cand = cand.join(first_two(t), key, "left")
+    # The first two agents of every temperature, then the two lowest and the two
+    # highest temperatures of every group: at most four small rows a group.
+    by_temp = Window.partitionBy(key, "_t").orderBy("_id")
+    two = a.withColumn("_n", F.row_number().over(by_temp)).where(F.col("_n") <= 2) \
+        .groupBy(key, "_t").agg(F.min("_id").alias("_f"), F.max(F.when(F.col("_n") == 2, F.col("_id"))).alias("_s"))
+    low, high = Window.partitionBy(key).orderBy("_t"), Window.partitionBy(key).orderBy(F.desc("_t"))
+    ends = two.withColumn("_lo", F.row_number().over(low)).withColumn("_hi", F.row_number().over(high)).where("_lo <= 2 or _hi <= 2")
+    pick = lambda rank, n, c: F.max(F.when(F.col(rank) == n, F.col(c)))
+    cand = ends.groupBy(key).agg(*[pick(rank, n, c).alias(name + suffix) for rank, n, name in
+                                   (("_lo", 1, "tmin"), ("_lo", 2, "tmin2"), ("_hi", 1, "tmax"), ("_hi", 2, "tmax2"))
+                                   for c, suffix in (("_t", ""), ("_f", "_f"), ("_s", "_s"))])
     j = a.join(cand, key)
 
     def side(tc, t2c):

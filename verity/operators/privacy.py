@@ -100,7 +100,7 @@ def restore(anon: DataFrame, mapping: DataFrame, key: str, text: str = "anonymiz
 def entity_report(entities: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """K4: per type, distinct entities, documents containing one, and the
     share of all documents."""
-    n = docs.select(key).distinct().count()  # scalar parameter
+    n = docs.agg(F.count_distinct(key).alias("_docs"))  # one row
     g = entities.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n_entities"),
                                             F.count_distinct(key).alias("n_documents"))
-    return g.withColumn("document_share", F.round(F.col("n_documents") / F.lit(n), 9))
+    return g.join(F.broadcast(n)).withColumn("document_share", F.round(F.col("n_documents") / F.col("_docs"), 9)).drop("_docs")

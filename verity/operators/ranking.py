@@ -54,7 +54,37 @@ def global_rank(df: DataFrame, order: list[str], rank_col: str = "rank", bucket:
     return _numbered(df, [], order, default_bucket(df, order[0]) if bucket is None else bucket, rank_col)
 
 
-def rank_within(df: DataFrame, key: str, order: list[str], rank_col: str = "rank", bucket: Column | None = None) -> DataFrame:
-    """Add the 1-based position inside each ``key`` group following ``order``
-    (a total order)."""
-    return _numbered(df, [key], list(order), default_bucket(df, order[0]) if bucket is None else bucket, rank_col)
+def rank_within(df: DataFrame, key: str | list[str], order: list[str], rank_col: str = "rank", bucket: Column | None = None) -> DataFrame:
+    """Add the 1-based position inside each ``key`` group (one column or
+    several) following ``order`` (a total order)."""
+    return _numbered(df, [key] if isinstance(key, str) else key, list(order), default_bucket(df, order[0]) if bucket is None else bucket, rank_col)
+
+
+def running(df: DataFrame, groups: list[str], order: list[str], value: Column, how: str, bucket: Column, out: str,
+            inclusive: bool = True) -> DataFrame:
+    """Add ``out``: the running ``how`` ('sum', 'max') of ``value`` in each group
+    following ``order``; without ``inclusive`` the row itself is left out.
+    Inside a bucket a frame does it, before it the buckets' own totals."""
+    agg = {"sum": F.sum, "max": F.max}[how]
+    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    totals = rows.groupBy(*groups, "_bucket").agg(agg("_value").alias("_total"))
+    earlier = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_bucket").alias("_b"),
+                            agg("_total").over(earlier).alias("_carried"))
+    on = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    both = rows.withColumn("_in", agg("_value").over(inside)).join(carried, on)
+    if how == "sum":
+        result = F.when(F.col("_in").isNotNull() | F.col("_carried").isNotNull(),
+                        F.coalesce("_in", F.lit(0)) + F.coalesce("_carried", F.lit(0)))
+    else:
+        result = F.greatest("_in", "_carried")
+    return both.withColumn(out, result).drop("_bucket", "_value", "_b", "_in", "_carried", *[f"_g{i}" for i in range(len(groups))])
+
+
+def value_bucket(c: Column) -> Column:
+    """A coarse rising function of a double: its magnitude in 64 steps a doubling, with its sign."""
+    size = F.floor(F.log2(F.abs(c) + F.lit(1e-9)) * 64) + 4096
+    return F.when(c < 0, -size).otherwise(size)

@@ -70,8 +70,8 @@ def effective_strategies(led: DataFrame, problem_type: str, min_confidence: floa
     # Top-n over the typed pool (per-partition top-n, then a bounded merge);
     # consulted only when ``good`` is empty.
     fallback = same.orderBy(F.col("confidence").desc(), F.col("strategy_id")).limit(fallback_n)
-    has_good = good.limit(1).count() > 0
-    return good if has_good else fallback
+    none = good.agg(F.count(F.lit(1)).alias("_good")).where("_good = 0")  # one row or none
+    return good.unionByName(fallback.join(F.broadcast(none)).drop("_good"))
 
 
 # The valid problem types, in the reference's order; the last

@@ -100,19 +100,22 @@ def aggregation_groups(solutions: DataFrame, group: str, agent: str, score: str,
     order). Number of groups per question = min(N // k, 3); the documented
     intent for 'diverse' is built (the reference's loop never starts)."""
     n = solutions.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    s = solutions.join(n, group)
-    best_w = Window.partitionBy(group).orderBy(F.col(score).desc(), F.col(tiebreak))
-    agent_w = Window.partitionBy(group, agent).orderBy(F.col(score).desc(), F.col(tiebreak))
-    s = s.withColumn("_best_rank", F.row_number().over(best_w)) \
-        .withColumn("_agent_rank", F.row_number().over(agent_w))
-    div_w = Window.partitionBy(group).orderBy((F.col("_agent_rank") > 1).cast("int"), F.col(score).desc(), F.col(tiebreak))
-    rnd_w = Window.partitionBy(group).orderBy(portable_hash(F.col(tiebreak), seed), F.col(tiebreak))
-    s = s.withColumn("_div_rank", F.row_number().over(div_w)).withColumn("_rnd_rank", F.row_number().over(rnd_w))
+    s = solutions.select(group, agent, score, tiebreak)
+    best = [F.col(score).desc(), F.col(tiebreak)]
+
+    def top(rows: DataFrame, by: list[str], order: list[Column], most: int, out: str) -> DataFrame:
+        # Spark keeps the first ``most`` of each task before the shuffle.
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(out) <= most)
+
+    firsts = top(s, [group, agent], best, 1, "_fill").drop("_fill")
+    fill = top(s.join(firsts.select(group, tiebreak), [group, tiebreak], "left_anti"), [group], best, k, "_r").drop("_r")
+    diverse = top(top(firsts, [group], best, k, "_r").drop("_r").withColumn("_late", F.lit(0))
+                  .unionByName(fill.withColumn("_late", F.lit(1))), [group], [F.col("_late"), *best], k, "member_rank")
+    ranked = [("best", top(s, [group], best, k, "member_rank")), ("diverse", diverse),
+              ("random", top(s, [group], [portable_hash(F.col(tiebreak), seed), F.col(tiebreak)], k, "member_rank"))]
     n_groups = F.least(F.floor(F.col("_n") / k), F.lit(3))
-    parts = []
-    for i, (name, col) in enumerate([("best", "_best_rank"), ("diverse", "_div_rank"), ("random", "_rnd_rank")]):
-        parts.append(s.where((n_groups > i) & (F.col(col) <= k))
-                     .select(group, F.lit(name).alias("group_kind"), tiebreak, F.col(col).alias("member_rank")))
+    parts = [rows.join(n, group).where(n_groups > i).select(group, F.lit(name).alias("group_kind"), tiebreak, "member_rank")
+             for i, (name, rows) in enumerate(ranked)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -136,14 +136,14 @@ def pairwise_wins(cands: DataFrame, key: str, pos: str, value: str) -> DataFrame
     counted exactly without materialising pairs: candidate i wins
     2 * #{j: v_j < v_i} + #{j != i: v_j = v_i}.
 
-    The per-question ranking runs over distinct (question, value) rows, so
-    duplicate values collapse before the window."""
-    from pyspark.sql import Window
+    Counts below come from distinct (question, value) rows in buckets of the
+    value, so neither duplicates nor a hot question meet in one task."""
+    from .ranking import running, value_bucket
 
     c = cands.select(F.col(key), F.col(pos), F.col(value).alias("_v"))
     per_val = c.groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.partitionBy(key).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    below = per_val.withColumn("_below", F.coalesce(F.sum("_k").over(w), F.lit(0)))
+    below = running(per_val, [key], ["_v"], F.col("_k"), "sum", value_bucket(F.col("_v").cast("double")), "_below", inclusive=False) \
+        .withColumn("_below", F.coalesce("_below", F.lit(0)))
     scored = c.join(below, [key, "_v"]).withColumn("wins", (2 * F.col("_below") + F.col("_k") - 1).cast("bigint"))
     best = scored.groupBy(key).agg(_argmax(key, [F.col("wins"), -F.col(pos)], {"pos": F.col(pos)}).alias("_w"))
     return scored.join(best.select(key, F.col("_w.pos").alias("_best_pos")), key) \

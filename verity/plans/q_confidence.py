@@ -95,9 +95,9 @@ def i7(c: Ctx) -> DataFrame:
     return CF.calibrate_threshold(stats.where(F.col("trace_id") < WARMUP_TRACES))
 
 
-def _threshold(c: Ctx) -> float:
-    # Scalar parameter: one aggregate row.
-    return i7(c).first()["threshold_low"]
+def _threshold(c: Ctx) -> DataFrame:
+    """One row, one column."""
+    return i7(c).select("threshold_low")
 
 
 _ET_SQL = f"""
@@ -115,7 +115,7 @@ _ET_SQL = f"""
 
 def _early(c: Ctx) -> DataFrame:
     online = c.v("v_trace_tokens").where(F.col("trace_id") >= WARMUP_TRACES)
-    return CF.early_termination(online, F.lit(_threshold(c)), WINDOW, MIN_LENGTH)
+    return CF.early_termination(online, _threshold(c), WINDOW, MIN_LENGTH)
 
 
 @register("i8_early_termination", f"WITH {_ET_SQL} SELECT * FROM et")

@@ -416,7 +416,7 @@ _D26_NUMBERED = "'Queries:' || chr(10) || '1. [' || prompt || ']' || chr(10) ||
 @register("d26_numbered_queries", f"""
     SELECT idx, generate_subscripts(qs, 1) - 1 AS q_pos, unnest(qs) AS question FROM (
       SELECT idx, list_slice(list_filter(list_transform(list_filter(list_transform(string_split({_D26_NUMBERED}, chr(10)), lambda s: {S.py_strip('s')}),
-               lambda s: regexp_matches(s, '^[0-9]+\.')), lambda s: {S.py_strip("regexp_replace(s, '^[0-9]+\.\s*\[?(.*?)\]?$', '\\1')")}),
+               lambda s: regexp_matches(s, '^[0-9]+\\.')), lambda s: {S.py_strip("regexp_replace(s, '^[0-9]+\\.\\s*\\[?(.*?)\\]?$', '\\1')")}),
                lambda q: length(q) > 0), 1, 5) AS qs FROM v_questions)""")
 def d26_numbered(c: Ctx) -> DataFrame:
     t = F.concat(F.lit("Queries:\n1. ["), F.col("prompt"), F.lit("]\n 2.  why "), F.col("idx").cast("string"), F.lit("\nx. no\n3.\n4. d\n5. e\n6. f\n7. g"))
