@@ -193,19 +193,24 @@ def test_batch_packing_stream_brute_force(spark, tmp_path):
     path = str(tmp_path / "req")
     df.write.parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)
-    got = ST.run_to_table(ST.batch_packing_stream(stream, "group_key", 3, 3_600_000.0), "t-l4").collect()
+    got = ST.run_to_table(ST.batch_packing_stream(stream, "group_key", 3, "1 hour"), "t-l4").collect()
+    # Rows are handled once the watermark (an hour behind the last row) has
+    # passed them; a batch also closes when the watermark shows its time is up.
+    end, hour = rows[-1][2] - dt.timedelta(hours=1), dt.timedelta(hours=1)
     want = []
     for g in ("g0", "g1"):
         cur = []
         n = 0
-        for r in [r for r in rows if r[0] == g]:
-            if cur and (r[2] - cur[0]).total_seconds() * 1000 >= 3_600_000:
+        for r in [r for r in rows if r[0] == g and r[2] <= end]:
+            if cur and r[2] - cur[0] >= hour:
                 want.append((g, n, len(cur)))
                 n, cur = n + 1, []
             cur.append(r[2])
             if len(cur) == 3:
                 want.append((g, n, 3))
                 n, cur = n + 1, []
+        if cur and cur[0] + hour <= end:
+            want.append((g, n, len(cur)))
     assert sorted((r.group_key, r.batch_no, r.size) for r in got) == sorted(want)
 
 
