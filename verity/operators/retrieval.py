@@ -34,7 +34,8 @@ def retrieve(items: DataFrame, queries: DataFrame, mem: str, item_id: str, item_
         .groupBy(mem, "_id", "term").agg(F.count(F.lit(1)).alias("_c"))
     tf = terms(items, item_id, item_text)
     n_items = items.groupBy(mem).agg(F.count(F.lit(1)).alias("_n"))
-    idf = tf.groupBy(mem, "term").agg(F.count(F.lit(1)).alias("_df")).join(n_items, mem) \
+    # The same columns as in the other uses of ``tf``, so that its shuffle is made once.
+    idf = tf.where("_c > 0").groupBy(mem, "term").agg(F.count(F.lit(1)).alias("_df")).join(n_items, mem) \
         .select(mem, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
     weighted = lambda d: d.join(idf, [mem, "term"]).select(mem, "_id", "term", (F.col("_c") * F.col("_idf")).alias("_w"))
     iw, qw = weighted(tf), weighted(terms(queries, query_id, query_text))
