@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import py_strip
+from ..session import checkpointed
 from .context import SK_TERM_RE
 
 
@@ -32,10 +33,9 @@ def retrieve(items: DataFrame, queries: DataFrame, mem: str, item_id: str, item_
     terms = lambda d, key, text: d.select(
         F.col(mem), F.col(key).alias("_id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(SK_TERM_RE), 0)).alias("term")) \
         .groupBy(mem, "_id", "term").agg(F.count(F.lit(1)).alias("_c"))
-    tf = terms(items, item_id, item_text)
+    tf = checkpointed(terms(items, item_id, item_text))  # one pass over the texts
     n_items = items.groupBy(mem).agg(F.count(F.lit(1)).alias("_n"))
-    # The same columns as in the other uses of ``tf``, so that its shuffle is made once.
-    idf = tf.where("_c > 0").groupBy(mem, "term").agg(F.count(F.lit(1)).alias("_df")).join(n_items, mem) \
+    idf = tf.groupBy(mem, "term").agg(F.count(F.lit(1)).alias("_df")).join(n_items, mem) \
         .select(mem, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
     weighted = lambda d: d.join(idf, [mem, "term"]).select(mem, "_id", "term", (F.col("_c") * F.col("_idf")).alias("_w"))
     iw, qw = weighted(tf), weighted(terms(queries, query_id, query_text))

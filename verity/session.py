@@ -77,3 +77,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None:
         sc.setCheckpointDir(local)
     return local
+
+
+def checkpointed(df):
+    """``df`` written once to the shared checkpoint folder: several uses read
+    stored rows instead of computing them again, and lost executors cost nothing."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
