@@ -56,11 +56,10 @@ class Boosted:
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         """Log odds of class 1."""
-        out = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for feature, threshold, leaf in zip(self.feature, self.threshold, self.leaf):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                at = 2 * at + 1 + (x[rows, feature[at]] > threshold[at])
-            out += leaf[at - (2**self.depth - 1)]
-        return out
+        if not len(self.feature):
+            return np.full(len(x), self.base)
+        at = np.zeros((len(x), len(self.feature)), np.int64)  # every tree at once
+        rows, trees = np.arange(len(x))[:, None], np.arange(len(self.feature))
+        for _ in range(self.depth):
+            at = 2 * at + 1 + (x[rows, self.feature[trees, at]] > self.threshold[trees, at])
+        return self.base + self.leaf[trees, at - (2**self.depth - 1)].sum(1)

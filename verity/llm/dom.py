@@ -145,9 +145,6 @@ class Tree(HTMLParser):
         return out
 
 
-_PUNCTUATION = re.compile(r"[.,;:!?]")
-
-
 def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
     """One row per node; ``score`` has the learned log odds of tags (``<tag``) and attribute tokens."""
     n = len(tree.tag)
@@ -159,10 +156,8 @@ def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
     own_min, own_max = np.array([min(s, default=0.0) for s in each]), np.array([max(s, default=0.0) for s in each])
     chars = np.array([len(t) for t in tree.text], float)
     links = np.array(tree.links, float)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for t in tree.text], float)
+    marks = np.array([t.count(".") + t.count(",") + t.count("!") + t.count("?") + t.count(":") if t else 0 for t in tree.text], float)
     words = np.array([t.count(" ") + 1 if t else 0 for t in tree.text], float)
-    upper = np.array([sum(map(str.isupper, t[:400])) * (len(t) / max(1, len(t[:400]))) for t in tree.text], float)
-    digit = np.array([sum(map(str.isdigit, t[:400])) * (len(t) / max(1, len(t[:400]))) for t in tree.text], float)
     linky = ((links > 0.5 * chars) & run).astype(float)
     long = ((chars > 120) & (links < 0.3 * chars)).astype(float)
     counts = {name: np.array([t == name for t in tree.tag], float) for name in ("p", "li")}
@@ -176,7 +171,7 @@ def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
         p = parent[i]
         depth[i] = depth[p] + 1
         up_low[i], up_high[i] = min(up_low[p], low[p]), max(up_high[p], high[p])
-    sums = [chars, links, marks, words, upper, digit, linky, long, counts["p"], counts["li"], inputs, blocks, runs]
+    sums = [chars, links, marks, words, linky, long, counts["p"], counts["li"], inputs, blocks, runs]
     for i in range(n - 1, 0, -1):
         p = parent[i]
         for s in sums:
@@ -211,7 +206,7 @@ def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
         size, density, chars / total, chars / np.maximum(chars[above], 1), np.log1p(blocks), chars / np.maximum(blocks + runs, 1),
         marks / c, chars / np.maximum(runs, 1), depth, depth / max(1.0, depth.max()),
         siblings, alike, prev_size, prev_link, next_size, next_link, around, np.log1p(counts["p"]), linky / np.maximum(runs, 1),
-        digit / c, upper / c, np.log1p(words), c / np.maximum(words, 1), np.log1p(counts["li"]), np.log1p(inputs), np.log1p(long),
+        np.log1p(words), c / np.maximum(words, 1), np.log1p(counts["li"]), np.log1p(inputs), np.log1p(long),
         heading, heading_above, size[above], density[above],
     ]
     return np.column_stack([x.astype(np.float32) for x in columns])

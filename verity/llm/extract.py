@@ -267,9 +267,11 @@ class Extractor:
 
 
 def learn(pages: DataFrame, url: str = "url", html: str = "html") -> Extractor:
-    rows = pages.where(F.col(html).isNotNull()).select(F.xxhash64(F.col(url)).alias("h"), F.col(url).alias("u"),
-                                                       F.substring(F.col(html), 1, SAMPLE_CHARS).alias("t"))
-    sample = rows.orderBy("h", "u", "t").limit(SAMPLE_PAGES).collect()  # at most SAMPLE_PAGES x SAMPLE_CHARS characters
+    rows = pages.where(F.col(html).isNotNull()).select(F.xxhash64(F.col(url)).alias("h"), F.col(url).alias("u"), F.col(html).alias("t"))
+    # The hashes first, without the pages: SAMPLE_PAGES rows.
+    edge = rows.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h").alias("edge"))
+    sample = rows.join(F.broadcast(edge), F.col("h") <= F.col("edge")).groupBy("h", "u") \
+        .agg(F.min(F.substring("t", 1, SAMPLE_CHARS)).alias("t")).orderBy("h", "u").limit(SAMPLE_PAGES).collect()
     return Extractor.fit([r.t for r in sample])
 
 
