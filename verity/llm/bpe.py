@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -259,13 +260,17 @@ class Encoder:
 
         self.ranks = load_ranks(path)
         self.merges = Merges(self.ranks)
-        self.tokens = {i: t for t, i in self.ranks.items()}
+        size = max(self.ranks.values(), default=-1) + 1
+        self.tokens: list[bytes] = [b""] * size
+        for t, i in self.ranks.items():
+            self.tokens[i] = t
+        self.names = [str(i) for i in range(size)]
         self.split = regex.compile(pattern).findall
         self.memo_words = memo_words
         self.memo: dict[str, list[int]] = {}
 
-    def block(self, texts: list[str]) -> list[list[list[int]]]:
-        """Per text, the ids of each of its words."""
+    def block(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
         split, memo = self.split, self.memo
         words = [split(t) for t in texts]
         fresh = list(set().union(*words).difference(memo))
@@ -276,7 +281,7 @@ class Encoder:
                 memo[fresh[i]] = [self.ranks[w]]
         for i, ids in zip(parts, replay([whole[i] for i in parts], self.ranks, self.merges)):
             memo[fresh[i]] = ids
-        out = [[memo[w] for w in ws] for ws in words]
+        out = [list(chain.from_iterable(map(memo.__getitem__, ws))) for ws in words]
         if len(memo) > self.memo_words:
             memo.clear()
         return out
@@ -284,6 +289,10 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def listed(self, ids: list[int]) -> str:
+        """Decimal ids joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids))
+
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
@@ -319,7 +328,7 @@ def encode(df: DataFrame, text: str, path: str, pattern: str, out: str = "ids")
             values = [t or "" for t in texts]
             rows: list[list[int]] = []
             for a, b in _blocks(values):
-                rows.extend([i for w in ws for i in w] for ws in enc.block(values[a:b]))
+                rows.extend(enc.block(values[a:b]))
             yield pd.Series(rows, index=texts.index, dtype=object)
 
     return common.without(df, out).withColumn(out, ids(F.col(text)))
@@ -349,10 +358,9 @@ def digests(df: DataFrame, key: str, text: str, path: str, pattern: str) -> Data
             texts = [t or "" for t in b.column(1).to_pylist()]
             counts, id_hashes, byte_hashes = [], [], []
             for start, end in _blocks(texts):
-                for ws in enc.block(texts[start:end]):
-                    ids = [i for w in ws for i in w]
+                for ids in enc.block(texts[start:end]):
                     counts.append(len(ids))
-                    id_hashes.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    id_hashes.append(hashlib.sha256(enc.listed(ids).encode()).hexdigest())
                     byte_hashes.append(hashlib.sha256(enc.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()),
                                               pa.array(byte_hashes, pa.string())],
