@@ -36,7 +36,9 @@ def test_escaping_round_trips_and_hides_markers():
         assert chat.unescape_role(e) == s and "<|" not in e and "\n" not in e
 
 
-def test_read_back(spark):
+@pytest.mark.parametrize("block", [3, 1024])
+def test_read_back(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
     convs = conversations()
     got = {r.conv_id: r for r in chat.formatted(spark.createDataFrame(rows(convs), COLUMNS).repartition(4), PATH).collect()}
     assert got.keys() == convs.keys()
@@ -48,8 +50,10 @@ def test_read_back(spark):
         assert tuple(got[c])[1:] == (len(ts), sha("".join(f"{r}\n{t}\n" for r, t in ts)), len(loss), sha(loss), len(text))
 
 
-def test_tree_layout(spark):
+@pytest.mark.parametrize("block", [3, 1024])
+def test_tree_layout(spark, monkeypatch, block):
     """Shared tokens once, gapless and depth first; positions and intervals are the path's."""
+    monkeypatch.setattr(chat, "BLOCK", block)
     convs = conversations()
     nodes, leaves = chat.prefix_tree(spark.createDataFrame(rows(convs), COLUMNS), PATH)
     nodes = nodes.collect()

@@ -7,7 +7,9 @@ distinct first turn) is laid out depth first and every node's tokens appear in
 it once. Chains without a branch are one edge of the radix tree; sorting by the
 path of chain heads, then by depth, is the depth-first order, and token offsets
 are prefix sums over data-derived buckets of it, so a first turn that a third of
-all conversations share is not laid out by one task.
+all conversations share is not laid out by one task; running values along a
+conversation are carried from block to block of its turns. Only its digest, a
+hash over its turns in order, is one task, which holds one batch of them.
 
 A node carries its token ids, where its tokens start in the tree's layout, the
 position id of its first token along its path, the loss span (an assistant's
@@ -40,6 +42,8 @@ from pyspark.sql import types as T
 from . import common, packing
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Turns of one conversation that a task sees together.
+BLOCK = 1024
 #: Ids of the two markers.
 START_ID, END_ID = 60_000, 60_001
 LEARNED_ROLE = "assistant"
@@ -67,13 +71,17 @@ def _keys(turns: DataFrame) -> DataFrame:
     """(conv_id, depth, k1, k2, p1, p2, role, text): each turn's node and its parent's."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.select("conv_id", "role", "text", (F.row_number().over(place) - 1).cast("long").alias("depth"))
-    so_far = Window.partitionBy("conv_id").orderBy("depth")
-    run = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("k1", F.bit_xor(F.xxhash64("depth", "role", "text")).over(run)) \
-        .withColumn("k2", F.bit_xor(F.xxhash64(F.lit("twice"), "text", "role", "depth")).over(run))
-    return rows.withColumn("p1", F.lag("k1").over(so_far)).withColumn("p2", F.lag("k2").over(so_far))
+    rows = common.gapless_slots(rows, ["conv_id"], F.floor(F.col("turn") / BLOCK), ["turn", "role", "text"], "depth").drop("turn")
+    rows = rows.withColumn("h1", F.xxhash64("depth", "role", "text")) \
+        .withColumn("h2", F.xxhash64(F.lit("twice"), "text", "role", "depth"))
+    rows = common.running(rows, "conv_id", _block(), "depth", {"k1": ("xor", F.col("h1"), True), "k2": ("xor", F.col("h2"), True)})
+    # Taking the turn's own hashes out again names its parent.
+    parent = lambda k, h: F.when(F.col("depth") > 0, F.col(k).bitwiseXOR(F.col(h)))
+    return rows.withColumn("p1", parent("k1", "h1")).withColumn("p2", parent("k2", "h2")).drop("h1", "h2")
+
+
+def _block() -> Column:
+    return F.floor(F.col("depth") / BLOCK)
 
 
 def _tokenised(nodes: DataFrame, path: str) -> DataFrame:
@@ -122,11 +130,8 @@ def prefix_tree(turns: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     forks = nodes.where("depth > 0").groupBy(*parent).agg(F.count(F.lit(1)).alias("_siblings"))
     headed = nodes.select(*node, "p1", "p2", "n_tokens").join(forks, parent, "left") \
         .select(*node, "n_tokens", (F.coalesce("_siblings", F.lit(2)) > 1).alias("head"))
-    walk = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    placed = member.join(headed, node) \
-        .withColumn("path", F.collect_list(F.when(F.col("head"), F.col("k1"))).over(walk)) \
-        .withColumn("position", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    placed = common.running(member.join(headed, node), "conv_id", _block(), "depth", {
+        "path": ("list", F.when(F.col("head"), F.col("k1")), True), "position": ("sum", F.col("n_tokens"), False)})
     placed = placed.groupBy(*node).agg(F.first("path").alias("path"), F.first("position").alias("position"), F.first("n_tokens").alias("n_tokens")) \
         .withColumn("tree", F.col("path")[0]) \
         .withColumn("_bucket", F.coalesce(F.shiftright(F.get("path", F.lit(1)), 52), F.lit(-4096)))
@@ -139,9 +144,10 @@ def prefix_tree(turns: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     chains = laid.groupBy("tree", "path").agg(F.min("start").alias("chain"), F.max(F.col("start") + F.col("n_tokens")).alias("chain_end"))
     # Walk each path once more with the chains' layout ranges; the last is cut at the node.
     named = laid.join(chains, ["tree", "path"]).join(headed.select(*node, "head"), node)
-    along = member.join(named.drop("path"), node).withColumn(
-        "_ranges", F.collect_list(F.when(F.col("head"), F.struct("chain", "chain_end"))).over(walk))
-    along = along.withColumn("leaf", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("depth"))) == 1)
+    along = common.running(member.join(named.drop("path"), node), "conv_id", _block(), "depth", {
+        "_ranges": ("list", F.when(F.col("head"), F.struct("chain", "chain_end")), True)})
+    last = member.groupBy(F.col("conv_id").alias("_id")).agg(F.max("depth").alias("_last"))
+    along = along.join(last, F.col("conv_id").eqNullSafe(F.col("_id"))).withColumn("leaf", F.col("depth") == F.col("_last")).drop("_id", "_last")
     along = common.written(along, "along")
     ranges = F.filter(F.transform("_ranges", lambda r: F.struct(r["chain"].alias("from"), F.least(r["chain_end"], F.col("start")).alias("to"))),
                       lambda r: r["from"] < r["to"])
