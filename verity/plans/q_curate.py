@@ -162,10 +162,10 @@ _LINKS_SQL = "from_json(replace(wiki_links, '''', '\"'), '[\"VARCHAR\"]')"
 
 
 @register("a17_filter_link_count", f"""
-    SELECT idx, wiki_links FROM v_links WHERE len({_LINKS_SQL}) = 6""")
+    SELECT idx, wiki_links FROM v_links WHERE len({_LINKS_SQL}) = 7""")
 def a17(c: Ctx) -> DataFrame:
     lk = c.v("v_links")
-    return cu.filter_link_count(lk, tx.parse_link_list(F.col("wiki_links")), 6)
+    return cu.filter_link_count(lk, tx.parse_link_list(F.col("wiki_links")), 7)
 
 
 @register("a18_count_records", "SELECT count(*) AS n_records FROM v_results")

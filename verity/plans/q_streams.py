@@ -173,7 +173,7 @@ def l7(c: Ctx) -> DataFrame:
     FROM a GROUP BY 1""")
 def l8(c: Ctx) -> DataFrame:
     e = ST.event_stream(c.spark, c.sf_dir).select(F.col("user_id").alias("strategy_id"), "event_id", "ts",
-                                                  (F.col("event_type") == "purchase").alias("success"))
+                                                  F.col("event_type").isin("purchase", "click").alias("success"))
     out = ST.latest(ST.run_to_table(ST.ema_ledger_stream(e), "l8"), ["strategy_id"], "attempts")
     return out.withColumn("confidence", F.round("confidence", 9))
 

@@ -84,7 +84,9 @@ def v_contexts(t: Tables) -> DataFrame:
 
 
 def v_links(t: Tables) -> DataFrame:
-    p = t.pages.select("page_id", "url").withColumn("idx", _record("page_id"))
+    # Every tenth link is dead.
+    url = F.when(F.col("page_id") % 10 == 9, F.concat("url", F.lit("/gone"))).otherwise(F.col("url"))
+    p = t.pages.select("page_id", url.alias("url")).withColumn("idx", _record("page_id"))
     w = Window.partitionBy("idx").orderBy("page_id")
     p = p.withColumn("rn", F.row_number().over(w)).withColumn("next_url", F.lead("url").over(w))
     merged = (F.col("idx") % 7 == 0) & (F.col("rn") == 1) & F.col("next_url").isNotNull()
@@ -170,7 +172,7 @@ def v_attempts(t: Tables) -> DataFrame:
         F.concat(F.lit("type_"), (F.col("user_id") % 5).cast("string")).alias("problem_type"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id"),
-        (F.col("event_type") == "purchase").alias("success"),
+        F.col("event_type").isin("purchase", "click").alias("success"),
         (F.col("value") / 500).alias("confidence"),
     )
 
@@ -287,9 +289,9 @@ VIEW_SQL = {
         FROM (
           SELECT idx, page_id, rn,
                  CASE WHEN idx % 7 = 0 AND rn = 1 AND next_url IS NOT NULL THEN url || ', ' || next_url ELSE url END AS elem
-          FROM (SELECT page_id // {RECORD_ROWS} AS idx, page_id, url,
+          FROM (SELECT page_id // {RECORD_ROWS} AS idx, page_id, CASE WHEN page_id % 10 = 9 THEN url || '/gone' ELSE url END AS url,
                        row_number() OVER (PARTITION BY page_id // {RECORD_ROWS} ORDER BY page_id) AS rn,
-                       lead(url) OVER (PARTITION BY page_id // {RECORD_ROWS} ORDER BY page_id) AS next_url
+                       lead(CASE WHEN page_id % 10 = 9 THEN url || '/gone' ELSE url END) OVER (PARTITION BY page_id // {RECORD_ROWS} ORDER BY page_id) AS next_url
                 FROM pages) p0
           WHERE NOT (idx % 7 = 0 AND rn = 2)) p1
         GROUP BY idx""",
@@ -314,7 +316,7 @@ VIEW_SQL = {
         FROM events""",
     "v_attempts": """
         SELECT user_id AS strategy_id, 'type_' || (user_id % 5) AS problem_type, CAST(ts AS TIMESTAMP) AS ts,
-               event_id, event_type = 'purchase' AS success, value / 500 AS confidence
+               event_id, event_type IN ('purchase', 'click') AS success, value / 500 AS confidence
         FROM events""",
     "v_strategies": "SELECT doc_id AS strategy_id, source AS problem_type, text AS strategy_text FROM documents",
     "v_requests": """
