@@ -6,7 +6,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
-from check_oracle import compare
+from check_oracle import OTHER_TESTS, compare
 from tests.conftest import SF_SMALL
 from verity.plans import catalog
 
@@ -14,14 +14,6 @@ QUERIES = catalog.queries()
 SQLS = catalog.oracle_sql()
 
 
-#: Queries that SQL cannot express, and the test that checks each.
-OTHER_TESTS = {
-    "d14_trim_records": "test_operators_more.test_trim_records_respects_budgets",
-    "d15_trim_record_statistics": "test_operators_more.test_trim_records_respects_budgets",
-    "h18_merge_similar_strategies": "test_similarity.test_merge_similar_strategies",
-}
-
-
 def test_every_query_is_checked():
     assert set(QUERIES) - set(SQLS) == set(OTHER_TESTS)
     for where in OTHER_TESTS.values():
