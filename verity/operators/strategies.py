@@ -183,8 +183,12 @@ def gap_priority_order(gaps: DataFrame, priority: str, pos: str) -> DataFrame:
 def draft_stop(drafts: DataFrame, key: str, iteration: str, completeness: str) -> DataFrame:
     """First iteration where completeness > 0.9, or the improvement
     over the previous iteration is < 0.03 while completeness > 0.7."""
-    w = Window.partitionBy(key).orderBy(iteration)
-    d = drafts.withColumn("_prev", F.lag(completeness).over(w))
+    from .ranking import rank_within
+
+    # The previous draft by an equi join on positions, not a lag over a whole key.
+    d = rank_within(drafts.select(key, iteration, completeness), key, [iteration], "_p")
+    prev = d.select(key, (F.col("_p") + 1).alias("_p"), F.col(completeness).alias("_prev"))
+    d = d.join(prev, [key, "_p"], "left")
     imp = F.col(completeness) - F.col("_prev")
     stop = (F.col(completeness) > 0.9) | (F.col("_prev").isNotNull() & (imp < 0.03) & (F.col(completeness) > 0.7))
     return d.where(stop).groupBy(key).agg(F.min(iteration).alias("stop_iteration"))

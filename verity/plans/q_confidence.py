@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import confidence as CF
+from ..operators.ranking import rank_within
 from .catalog import Ctx, register
 
 WINDOW = 16        # fixture window (traces average ~67 tokens)
@@ -218,8 +219,7 @@ def i14(c: Ctx) -> DataFrame:
     FROM v_requests WHERE kind = 'provider_call'""")
 def i15(c: Ctx) -> DataFrame:
     r = c.v("v_requests").where(F.col("kind") == "provider_call")
-    w = Window.partitionBy("request_id").orderBy("ts", "event_id")
-    return r.select("request_id", "event_id", F.row_number().over(w).alias("call_number"))
+    return rank_within(r.select("request_id", "event_id", "ts"), "request_id", ["ts", "event_id"], "call_number").drop("ts")
 
 
 @register("i15_first_appearance_ids", """

@@ -147,12 +147,13 @@ def conversations_batch(req: DataFrame, key: str = "request_id", order: tuple[st
     """L1 (batch twin): a 'start' opens a conversation, 'provider_call' rows
     are numbered calls, the first 'final' or 'error' closes it. Rows with no
     open conversation are rejected. Returns (conversations, rejects)."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = req.withColumn("conv_no", F.sum(F.when(F.col("kind") == "start", 1).otherwise(0)).over(w))
+    from ..operators.ranking import running
+
+    hour = F.date_trunc("hour", order[0])
+    r = running(req, [key], list(order), F.when(F.col("kind") == "start", 1).otherwise(0), "sum", hour, "conv_no")
     term = F.col("kind").isin("final", "error")
     # Terminal rows seen in this conversation before (and including) the row.
-    wc = Window.partitionBy(key, "conv_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("_terms", F.sum(F.when(term, 1).otherwise(0)).over(wc))
+    r = running(r, [key, "conv_no"], list(order), F.when(term, 1).otherwise(0), "sum", hour, "_terms")
     r = r.withColumn("_prev_terms", F.col("_terms") - F.when(term, 1).otherwise(0))
     active = (F.col("conv_no") > 0) & (F.col("_prev_terms") == 0)
     rejects = r.where(~active).select(key, *order, "kind")
