@@ -44,6 +44,8 @@ from . import common, packing
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns of one conversation that a task sees together.
 BLOCK = 1024
+#: Stands for a null conversation id while conversations are joined.
+NO_ID = -2**63
 #: Ids of the two markers.
 START_ID, END_ID = 60_000, 60_001
 LEARNED_ROLE = "assistant"
@@ -68,22 +70,20 @@ def unescape_role(role: str) -> str:
 
 
 def _keys(turns: DataFrame) -> DataFrame:
-    """(conv_id, depth, k1, k2, p1, p2, role, text): each turn's node and its parent's."""
+    """(conv_id, block, depth, k1, k2, p1, p2, role, text): each turn's node and its parent's."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    rows = common.gapless_slots(rows, ["conv_id"], F.floor(F.col("turn") / BLOCK), ["turn", "role", "text"], "depth").drop("turn")
+    rows = rows.withColumn("conv_id", F.coalesce("conv_id", F.lit(NO_ID))) \
+        .withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(NO_ID)))
+    rows = common.running(rows, "conv_id", "block", ["turn", "role", "text"], {"depth": ("sum", F.lit(1), False)}).drop("turn")
     rows = rows.withColumn("h1", F.xxhash64("depth", "role", "text")) \
         .withColumn("h2", F.xxhash64(F.lit("twice"), "text", "role", "depth"))
-    rows = common.running(rows, "conv_id", _block(), "depth", {"k1": ("xor", F.col("h1"), True), "k2": ("xor", F.col("h2"), True)})
+    rows = common.running(rows, "conv_id", "block", ["depth"], {"k1": ("xor", F.col("h1"), True), "k2": ("xor", F.col("h2"), True)})
     # Taking the turn's own hashes out again names its parent.
     parent = lambda k, h: F.when(F.col("depth") > 0, F.col(k).bitwiseXOR(F.col(h)))
     return rows.withColumn("p1", parent("k1", "h1")).withColumn("p2", parent("k2", "h2")).drop("h1", "h2")
 
 
-def _block() -> Column:
-    return F.floor(F.col("depth") / BLOCK)
-
-
 def _tokenised(nodes: DataFrame, path: str) -> DataFrame:
     """Replace role and text by ids, n_tokens, loss_from and loss_to."""
     keep = [f for f in nodes.schema.fields if f.name not in ("role", "text")]
@@ -123,14 +123,14 @@ def prefix_tree(turns: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """
     node, parent = ["depth", "k1", "k2"], ["depth", "p1", "p2"]
     rows = _keys(turns)
-    member = common.written(rows.select("conv_id", *node), "members")
+    member = common.written(rows.select("conv_id", "block", *node), "members")
     nodes = rows.groupBy(*node).agg(*[F.first(c).alias(c) for c in ("p1", "p2", "role", "text")])
     nodes = common.written(_tokenised(nodes, path), "nodes")
     # A chain begins at the first turn and below every branch.
     forks = nodes.where("depth > 0").groupBy(*parent).agg(F.count(F.lit(1)).alias("_siblings"))
     headed = nodes.select(*node, "p1", "p2", "n_tokens").join(forks, parent, "left") \
         .select(*node, "n_tokens", (F.coalesce("_siblings", F.lit(2)) > 1).alias("head"))
-    placed = common.running(member.join(headed, node), "conv_id", _block(), "depth", {
+    placed = common.running(member.join(headed, node), "conv_id", "block", ["depth"], {
         "path": ("list", F.when(F.col("head"), F.col("k1")), True), "position": ("sum", F.col("n_tokens"), False)})
     placed = placed.groupBy(*node).agg(F.first("path").alias("path"), F.first("position").alias("position"), F.first("n_tokens").alias("n_tokens")) \
         .withColumn("tree", F.col("path")[0]) \
@@ -144,10 +144,10 @@ def prefix_tree(turns: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     chains = laid.groupBy("tree", "path").agg(F.min("start").alias("chain"), F.max(F.col("start") + F.col("n_tokens")).alias("chain_end"))
     # Walk each path once more with the chains' layout ranges; the last is cut at the node.
     named = laid.join(chains, ["tree", "path"]).join(headed.select(*node, "head"), node)
-    along = common.running(member.join(named.drop("path"), node), "conv_id", _block(), "depth", {
+    along = common.running(member.join(named.drop("path"), node), "conv_id", "block", ["depth"], {
         "_ranges": ("list", F.when(F.col("head"), F.struct("chain", "chain_end")), True)})
-    last = member.groupBy(F.col("conv_id").alias("_id")).agg(F.max("depth").alias("_last"))
-    along = along.join(last, F.col("conv_id").eqNullSafe(F.col("_id"))).withColumn("leaf", F.col("depth") == F.col("_last")).drop("_id", "_last")
+    last = member.groupBy("conv_id").agg(F.max("depth").alias("_last"))
+    along = along.join(last, "conv_id").withColumn("leaf", F.col("depth") == F.col("_last")).drop("_last")
     along = common.written(along, "along")
     ranges = F.filter(F.transform("_ranges", lambda r: F.struct(r["chain"].alias("from"), F.least(r["chain_end"], F.col("start")).alias("to"))),
                       lambda r: r["from"] < r["to"])
@@ -156,7 +156,7 @@ def prefix_tree(turns: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
         *[F.first(c).alias(c) for c in ("tree", "start", "position", "chain", "ancestors")])
     out = out.join(nodes.drop("p1", "p2"), node)
     return (out.select("tree", "start", "n_tokens", "position", "ancestors", "chain", "ids", "loss_from", "loss_to"),
-            along.where("leaf").select("conv_id", "tree", "start"))
+            along.where("leaf").select(F.nullif("conv_id", F.lit(NO_ID)).alias("conv_id"), "tree", "start"))
 
 
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -63,24 +63,23 @@ def _field(name: str):
     return lambda pair: pair[name]
 
 
-def running(df: DataFrame, group: str, block: Column, order: str, outs: dict[str, tuple[str, Column, bool]]) -> DataFrame:
+def running(df: DataFrame, group: str, block: str, order: list[str], outs: dict[str, tuple[str, Column, bool]]) -> DataFrame:
     """Add running values of each ``group`` following ``order``: name -> (how,
     value, whether the row itself counts), how one of ``sum``, ``xor`` and
-    ``list`` (of the values that are not null). ``block`` rises with ``order``
-    and comes from the row: a frame does the inside of a block, the totals of
-    the earlier blocks are carried in, and no task sees a whole group."""
-    rows = df.withColumn("_block", block).withColumns({f"_v{i}": v for i, (_, v, _) in enumerate(outs.values())})
+    ``list`` (of the values that are not null). The column ``block`` rises with
+    ``order``; neither it nor ``group`` is null. A frame does the inside of a
+    block, the totals of the earlier blocks are carried in, and no task sees a
+    whole group."""
+    rows = df.withColumns({f"_v{i}": v for i, (_, v, _) in enumerate(outs.values())})
     totals, carried, result = [], [], {}
-    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     for i, (name, (how, _, inclusive)) in enumerate(outs.items()):
         v, t, c = f"_v{i}", f"_t{i}", f"_c{i}"
-        inside = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        inside = Window.partitionBy(group, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         if how == "list":
-            pairs = F.sort_array(F.collect_list(F.when(F.col(v).isNotNull(), F.struct(order, v))))
-            totals.append(F.transform(pairs, _field(v)).alias(t))
+            totals.append(F.transform(F.sort_array(F.collect_list(F.when(F.col(v).isNotNull(), F.struct(*order, v)))), _field(v)).alias(t))
             carried.append(F.flatten(F.collect_list(t).over(earlier)).alias(c))
-            result[name] = F.concat(F.coalesce(F.col(c), F.array().cast(df.select(F.array(outs[name][1])).schema[0].dataType)),
-                                    F.collect_list(v).over(inside))
+            result[name] = F.concat(c, F.collect_list(v).over(inside))
         elif how == "xor":
             totals.append(F.bit_xor(v).alias(t))
             carried.append(F.bit_xor(t).over(earlier).alias(c))
@@ -89,6 +88,5 @@ def running(df: DataFrame, group: str, block: Column, order: str, outs: dict[str
             totals.append(F.sum(v).alias(t))
             carried.append(F.sum(t).over(earlier).alias(c))
             result[name] = F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.sum(v).over(inside), F.lit(0))
-    before = rows.groupBy(group, "_block").agg(*totals).select(F.col(group).alias("_g"), F.col("_block").alias("_b"), *carried)
-    joined = rows.join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")))
-    return joined.withColumns(result).drop("_block", "_g", "_b", *[f"_{k}{i}" for i in range(len(outs)) for k in "vc"])
+    before = rows.groupBy(group, block).agg(*totals).select(group, block, *carried)
+    return rows.join(before, [group, block]).withColumns(result).drop(*[f"_{k}{i}" for i in range(len(outs)) for k in "vc"])
