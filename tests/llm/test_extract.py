@@ -93,6 +93,23 @@ def test_blocks_references_and_white_space():
     assert len(texts("<div>" * 3000 + "deep" + "</div>" * 3000)) == 1
 
 
+@pytest.mark.parametrize("html, runs", [
+    ('<p>one <svg class="icon"/> two</p><p>three</p>', ["one two", "three"]),
+    ("<p>one <svg><title/><path d='x'/><style/></svg> two</p>", ["one two"]),
+    ("<p>one <svg><text>no</text></svg> two</p>", ["one two"]),
+    *[(f"<div><p>one <{tag}> no</p><p>two</p></div><p>three</p>", ["one", "two", "three"])
+      for tag in ("video", "audio", "object", "canvas", "noscript", "svg", "template")],
+    ("<div>one <noscript><div>no</div> no</noscript> two</div>", ["one two"]),
+    ("<div>one <video><p>no<p>no</video> two</div>", ["one two"]),
+    ("<div>one <object><div>no</div></div><p>two</p>", ["one", "two"]),
+    ("<div>one <script>'</div>'</script> two</div>", ["one two"]),
+    ("<article><p>for <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn><annotation>no</annotation></math> all</p></article>", ["for x=2 all"]),
+])
+def test_unrendered_elements_end(html, runs):
+    tree = dom.Tree(html)
+    assert [t for tag, t in zip(tree.tag, tree.text) if tag == dom.RUN] == runs
+
+
 def test_boosting_separates():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 5)).astype(np.float32)

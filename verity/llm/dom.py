@@ -2,7 +2,8 @@
 
 Inline markup is text; block elements are nodes, and each run of inline text
 in a block is a leaf below it. Scripts, styles and other unrendered elements
-leave no trace. White space in a run becomes one space.
+leave no trace; one that is never closed ends with the block around it. White
+space in a run becomes one space.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ from html.parser import HTMLParser
 import numpy as np
 
 # HTML element names by how they are laid out.
-UNRENDERED = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "math", "audio", "video"}
+UNRENDERED = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "audio", "video",
+              "annotation", "annotation-xml"}
+#: Unrendered elements whose slash ends them at once (SVG and MathML); all elements inside svg are such.
+FOREIGN = {"svg", "annotation", "annotation-xml"}
+#: Unrendered elements whose content is not markup: only their own end tag ends them.
+RAW = {"script", "style", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl",
          "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "html", "legend",
@@ -40,7 +46,7 @@ class Tree(HTMLParser):
         self.tag, self.parent, self.tokens, self.text, self.links, self.label = ["#root"], [-1], [()], [""], [0], [None]
         self.open = [0]  # indexes of open block nodes
         self.names = ["#root"]
-        self.skip: list[str] = []  # open unrendered elements
+        self.skip: list[str] = []  # open unrendered elements, and the blocks inside them
         self.anchors = 0
         self.words: list[str] = []
         self.linked = 0
@@ -70,6 +76,8 @@ class Tree(HTMLParser):
             elif self.skip == ["head"] and (tag in BLOCK or tag == "body"):  # an unclosed head
                 self.skip.clear()
             else:
+                if tag in BLOCK and not RAW.intersection(self.skip):
+                    self.skip.append(tag)
                 return
             if self.skip:
                 return
@@ -99,16 +107,17 @@ class Tree(HTMLParser):
         self.names.append(tag)
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # HTML ignores the slash
+        if tag not in FOREIGN and "svg" not in self.skip:  # HTML ignores the slash
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if self.skip:
             if tag in self.skip:
                 del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag):]
-            return
+                return
+            if tag not in BLOCK or tag not in self.names or RAW.intersection(self.skip):
+                return
+            self.skip.clear()  # never closed inside the block that ends here
         if tag == "a":
             self.anchors = max(0, self.anchors - 1)
         elif tag in ("td", "th"):
