@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, extract, langid, linededup, neardup, packing, quality, resample, sharding, simhash
+from . import bpe, chat, extract, langid, linededup, neardup, ngramjoin, packing, quality, resample, sharding, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mcd_quality": quality.op8_mcd_quality,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
+    "op11_ngram_jaccard_join": ngramjoin.op11_ngram_jaccard_join,
     "op12_importance_resampling": resample.op12_importance_resampling,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op6_prefix_tree_chat": chat.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
     "op10_hash_tree_sharding": sharding.oracle(),
+    "op11_ngram_jaccard_join": ngramjoin.oracle(),
     "op12_importance_resampling": resample.ORACLE,
 }
