@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, extract, langid, linededup, neardup, ngramjoin, packing, quality, resample, sharding, simhash
+from . import bpe, chat, extract, langid, linededup, neardup, ngramjoin, packing, prefixtrie, quality, resample, sharding, simhash
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_hash_tree_sharding": sharding.op10_hash_tree_sharding,
     "op11_ngram_jaccard_join": ngramjoin.op11_ngram_jaccard_join,
     "op12_importance_resampling": resample.op12_importance_resampling,
+    "op13_prefix_trie": prefixtrie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op10_hash_tree_sharding": sharding.oracle(),
     "op11_ngram_jaccard_join": ngramjoin.oracle(),
     "op12_importance_resampling": resample.ORACLE,
+    "op13_prefix_trie": prefixtrie.ORACLE,
 }
