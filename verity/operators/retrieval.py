@@ -3,9 +3,11 @@
 
 ``retrieve`` scores queries against the items of the memory they belong to
 with tf-idf fitted on the items only (2+ character lower-case word runs,
-smoothed idf, L2-normalised count vectors). It joins on (memory, term), so
-a query only meets items that share a term with it. ``bounded_memory`` (D18)
-keeps a memory's latest items where a caller wants that.
+smoothed idf, L2-normalised count vectors). A query's terms are taken from the
+rarest on, and items are left out as soon as what is missing cannot bring them
+among the best; the commonest terms of a memory are looked up for the items
+that stay, their posting lists are never joined. ``bounded_memory`` (D18) keeps
+a memory's latest items where a caller wants that.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import py_strip
-from ..session import checkpointed
+from ..session import spread, stored
 from .context import SK_TERM_RE
 
 
@@ -24,35 +26,120 @@ def bounded_memory(items: DataFrame, key: str, order: str, max_size: int = 100)
     return items.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_size).drop("_r")
 
 
-def retrieve(items: DataFrame, queries: DataFrame, mem: str, item_id: str, item_text: str,
-             query_id: str, query_text: str, n: int = 10) -> DataFrame:
-    """Top ``n`` items per query by cosine similarity (ties: later item
-    first). Query terms unknown to the memory are ignored. Only pairs that
-    share a term are scored; items that share none score 0 and can fill a list
-    only from the memory's ``n`` latest, which are added as such."""
-    terms = lambda d, key, text: d.select(
-        F.col(mem), F.col(key).alias("_id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(SK_TERM_RE), 0)).alias("term")) \
+def _term_counts(d: DataFrame, mem: str, key: str, text: str) -> DataFrame:
+    """(mem, _id, term, _c): terms as 64-bit hashes."""
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(SK_TERM_RE), 0), lambda w: F.xxhash64(w))
+    return spread(d.select(mem, key, text)).select(F.col(mem), F.col(key).alias("_id"), F.explode(words).alias("term")) \
         .groupBy(mem, "_id", "term").agg(F.count(F.lit(1)).alias("_c"))
-    tf = checkpointed(terms(items, item_id, item_text))  # one pass over the texts
+
+
+def index(items: DataFrame, mem: str, item_id: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings (mem, term, _i, _c), terms (mem, term, _df, _idf) and the lengths
+    (mem, _i, _l) of the items' weighted vectors."""
+    postings = stored(_term_counts(items, mem, item_id, item_text).withColumnRenamed("_id", "_i"))  # one pass over the texts
     n_items = items.groupBy(mem).agg(F.count(F.lit(1)).alias("_n"))
-    idf = tf.groupBy(mem, "term").agg(F.count(F.lit(1)).alias("_df")).join(n_items, mem) \
-        .select(mem, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf"))
-    weighted = lambda d: d.join(idf, [mem, "term"]).select(mem, "_id", "term", (F.col("_c") * F.col("_idf")).alias("_w"))
-    iw, qw = weighted(tf), weighted(terms(queries, query_id, query_text))
-    norm = lambda d, key: d.groupBy(mem, "_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias(f"{key}n")).withColumnRenamed("_id", key)
-    dots = qw.select(mem, "term", F.col("_id").alias("_q"), F.col("_w").alias("_qw")) \
-        .join(iw.select(mem, "term", F.col("_id").alias("_i"), F.col("_w").alias("_iw")), [mem, "term"]) \
-        .groupBy(mem, "_q", "_i").agg(F.sum(F.col("_qw") * F.col("_iw")).alias("_dot"))
-    scored = dots.join(norm(qw, "_q"), [mem, "_q"]).join(norm(iw, "_i"), [mem, "_i"]) \
-        .select(mem, "_q", "_i", (F.col("_dot") / (F.col("_qn") * F.col("_in"))).alias("score"))
-    latest = items.select(F.col(mem), F.col(item_id).alias("_i")) \
-        .withColumn("_r", F.row_number().over(Window.partitionBy(mem).orderBy(F.col("_i").desc()))).where(F.col("_r") <= n).drop("_r")
-    unrelated = queries.select(F.col(mem), F.col(query_id).alias("_q")).join(latest, mem) \
-        .join(scored, [mem, "_q", "_i"], "left_anti").withColumn("score", F.lit(0.0))
+    terms = stored(postings.groupBy(mem, "term").agg(F.count(F.lit(1)).alias("_df")).join(n_items, mem)
+                   .select(mem, "term", "_df", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf")))
+    w = F.col("_c") * F.col("_idf")
+    lengths = postings.join(terms, [mem, "term"]).groupBy(mem, "_i").agg(F.sqrt(F.sum(w * w)).alias("_l"))
+    return postings, terms, stored(lengths)
+
+
+#: A query's head ends where the weights of the terms after it have a length
+#: below this (first pass), or below this share of the score to beat (second).
+FIRST_REST, REST_SHARE = 0.6, 0.5
+#: Slack for sums of doubles taken in another order.
+SLACK = 1e-9
+
+
+def _query_vectors(queries: DataFrame, terms: DataFrame, mem: str, query_id: str, query_text: str) -> DataFrame:
+    """(mem, _q, term, _idf, _qw, _q2): unit-length query vectors over the
+    memory's terms; _q2 sums the squared weights from a term on to the commonest."""
+    raw = _term_counts(queries, mem, query_id, query_text).join(terms, [mem, "term"]).withColumn("_x", F.col("_c") * F.col("_idf"))
+    norm = raw.groupBy(mem, "_id").agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_l"))
+    unit = raw.join(norm, [mem, "_id"]).select(mem, F.col("_id").alias("_q"), "term", "_idf", "_df", (F.col("_x") / F.col("_l")).alias("_qw"))
+    on = Window.partitionBy(mem, "_q").orderBy("_df", "term").rowsBetween(0, Window.unboundedFollowing)  # one text's terms
+    return stored(unit.withColumn("_q2", F.sum(F.col("_qw") * F.col("_qw")).over(on)).drop("_df"))
+
+
+def _dots(met: DataFrame, lengths: DataFrame, mem: str) -> DataFrame:
+    """(mem, _q, _i, _s, _i2): dot products over the terms met, and the squared item weights there."""
+    w = F.col("_c") * F.col("_idf")
+    return met.groupBy(mem, "_q", "_i").agg(F.sum(F.col("_qw") * w).alias("_s"), F.sum(w * w).alias("_i2")).join(lengths, [mem, "_i"]) \
+        .select(mem, "_q", "_i", (F.col("_s") / F.col("_l")).alias("_s"), (F.col("_i2") / (F.col("_l") * F.col("_l"))).alias("_i2"))
+
+
+def _scores(vectors: DataFrame, postings: DataFrame, lengths: DataFrame, mem: str, others: bool) -> DataFrame:
+    """``_dots`` of all items in the posting lists of the terms given."""
+    met = vectors.join(postings, [mem, "term"])
+    return _dots(met.where("_q <> _i") if others else met, lengths, mem)
+
+
+def _scores_of(pairs: DataFrame, vectors: DataFrame, postings: DataFrame, lengths: DataFrame, mem: str) -> DataFrame:
+    """``_dots`` of given pairs, by the items' own weights: no posting list is
+    joined whole. The wanted weights are stored first, so that Spark sees their
+    size and shuffles the postings only if they are many."""
+    wanted = stored(pairs.select(mem, "_q", "_i").join(vectors.select(mem, "_q", "term", "_idf", "_qw"), [mem, "_q"]))
+    return _dots(wanted.join(postings, [mem, "term", "_i"]), lengths, mem)
+
+
+def _top(rows: DataFrame, mem: str, score: str, n: int) -> DataFrame:
+    w = Window.partitionBy(mem, "_q").orderBy(F.desc(score), F.desc("_i"))
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+
+
+def candidates(postings: DataFrame, lengths: DataFrame, vectors: DataFrame, mem: str, n: int, others: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Items that can be among a query's ``n`` best, as (mem, _q, _i, _s, with
+    _s the score over the query's head), and the queries' tails. Terms are taken
+    from the rarest on. The exact scores of the ``2 n`` best by a first head give
+    a score to beat; the second head goes on until its rest is under a share of
+    that score, so an item outside every head list cannot reach it (by
+    Cauchy-Schwarz, a rest adds at most the query's length there times the
+    item's). Its own ``2 n`` best raise the score to beat, and items are kept
+    whose head score and rest can reach that. A query without ``n`` such items
+    has all of its terms in the head."""
+    def beaten(partial: DataFrame) -> DataFrame:
+        """(mem, _q, _beat): the n-th best exact score of the 2 n best by a partial one."""
+        seeds = stored(_top(partial, mem, "_s", 2 * n).select(mem, "_q", "_i"))
+        exact = _top(_scores_of(seeds, vectors, postings, lengths, mem), mem, "_s", n)
+        return exact.where(F.col("_r") == n).select(mem, "_q", F.col("_s").alias("_beat"))
+
+    rest = F.sqrt("_q2")
+    first = beaten(_scores(vectors.where(rest >= FIRST_REST), postings, lengths, mem, others))
+    split = stored(vectors.join(first, [mem, "_q"], "left").withColumn("_head", F.col("_beat").isNull() | (rest >= REST_SHARE * F.col("_beat"))))
+    tails = split.where("not _head").drop("_beat")
+    left = tails.groupBy(mem, "_q").agg(F.max("_q2").alias("_q2"))
+    head = stored(_scores(split.where("_head"), postings, lengths, mem, others))
+    beat = beaten(head).join(left, [mem, "_q"], "left")
+    more = F.sqrt(F.col("_q2") * F.greatest(1 + F.lit(SLACK) - F.col("_i2"), F.lit(0.0)))
+    kept = head.join(beat, [mem, "_q"], "left").where(F.col("_beat").isNull() | (F.col("_s") + F.coalesce(more, F.lit(0.0)) >= F.col("_beat") - SLACK))
+    return stored(kept.select(mem, "_q", "_i", "_s")), tails
+
+
+def retrieve(items: DataFrame, queries: DataFrame, mem: str, item_id: str, item_text: str,
+             query_id: str, query_text: str, n: int = 10, others: bool = False) -> DataFrame:
+    """Top ``n`` items per query by cosine similarity (ties: later item
+    first). Query terms unknown to the memory are ignored. Items that share no
+    term score 0 and can fill a list only from the memory's ``n`` latest. With
+    ``others`` an item whose id is the query's own is not found. Exact: only
+    items that cannot be among the best are left unscored."""
+    postings, terms, lengths = index(items, mem, item_id, item_text)
+    vectors = _query_vectors(queries, terms, mem, query_id, query_text)
+    kept, tails = candidates(postings, lengths, vectors, mem, n, others)
+    tail = _scores_of(kept, tails, postings, lengths, mem).withColumnRenamed("_s", "_t")
+    scored = kept.join(tail, [mem, "_q", "_i"], "left").select(mem, "_q", "_i", (F.col("_s") + F.coalesce("_t", F.lit(0.0))).alias("score"))
     # Rank on the score rounded to 12 digits: identical items (exact copies)
     # tie exactly, whatever order their float sums were added in.
-    w = Window.partitionBy("_q").orderBy(F.round("score", 12).desc(), F.col("_i").desc())
-    top = scored.unionByName(unrelated).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    best = stored(_top(scored.withColumn("_round", F.round("score", 12)), mem, "_round", n).select(mem, "_q", "_i", "score"))
+    short = queries.select(F.col(mem), F.col(query_id).alias("_q")).join(
+        best.groupBy(mem, "_q").agg(F.count(F.lit(1)).alias("_found")), [mem, "_q"], "left").where(F.coalesce("_found", F.lit(0)) < n)
+    latest = items.select(F.col(mem), F.col(item_id).alias("_i")) \
+        .withColumn("_r", F.row_number().over(Window.partitionBy(mem).orderBy(F.col("_i").desc()))).where(F.col("_r") <= 2 * n + 1).drop("_r")
+    unrelated = short.select(mem, "_q").join(latest, mem).join(best, [mem, "_q", "_i"], "left_anti").withColumn("score", F.lit(0.0))
+    if others:
+        unrelated = unrelated.where("_q <> _i")
+    w = Window.partitionBy(mem, "_q").orderBy(F.round("score", 12).desc(), F.col("_i").desc())
+    top = best.unionByName(unrelated).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return top.select(F.col("_q").alias(query_id), "rank", F.col("_i").alias(item_id), F.round("score", 9).alias("score"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -79,6 +80,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def spread(df):
+    """``df`` dealt over all cores if its scan has fewer splits than there are
+    (a small file is one split); large inputs are not shuffled. For steps whose
+    work a row is heavy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stored(df):
+    """``df`` as Parquet in the shared checkpoint folder, read back: like
+    ``checkpointed``, but later reads take only the columns they use, and
+    Spark knows the table's size when it picks a join."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df):
     """``df`` written once to the shared checkpoint folder: several uses read
     stored rows instead of computing them again, and lost executors cost nothing."""
