@@ -130,8 +130,7 @@ def g5(c: Ctx) -> DataFrame:
 _G6_IN = f"""
     c AS (SELECT e.user_id AS question_id, e.event_id AS pos, 'solution ' || e.event_id AS sol, e.value / 500 AS conf,
                  ({S.extract_aime('t.text')}) % 4 AS num
-          FROM events e JOIN v_completions t ON t.completion_id = e.event_id
-          WHERE e.event_id % 5 <> 0)"""
+          FROM events e JOIN v_completions t ON t.completion_id = e.event_id)"""
 
 
 @register("g6_numeric_vote", f"""
@@ -148,7 +147,7 @@ _G6_IN = f"""
            CASE WHEN ok THEN best_sol END AS solution, CASE WHEN ok THEN best_conf END AS confidence, NOT ok AS fallback
     FROM j""")
 def g6(c: Ctx) -> DataFrame:
-    e = c.t.events.where(F.col("event_id") % 5 != 0).select(
+    e = c.t.events.select(
         F.col("user_id").alias("question_id"), F.col("event_id").alias("pos"),
         F.concat(F.lit("solution "), F.col("event_id").cast("string")).alias("sol"),
         (F.col("value") / 500).alias("conf"))
