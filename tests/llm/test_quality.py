@@ -75,39 +75,73 @@ def vector(r):
     return [math.log(n), math.log(max(r.word_chars, 1) / n), rate(r.n_symbols), rate(r.n_dup_lines), rate(r.n_repeat_words)]
 
 
+COLUMNS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, " \
+          "n_dup_lines long, n_repeat_words long, base_failed boolean, kept string"
+
+
+def some(rng, rows, lang, source, n, junk_share=0.08):
+    for _ in range(n):
+        words = int(rng.lognormal(5, 0.6)) + 20
+        junk = rng.random() < junk_share
+        rows.append((len(rows), lang, source, words, int(words * (9 if junk else rng.normal(4.5, 0.2))),
+                     words * 2 if junk else int(rng.poisson(0.5)), 0, 0, False, "clash"))
+
+
+def mixture(fine, coarse, n):
+    (m, v), (m0, v0), w = fine, coarse, n / (n + q.PRIOR)
+    return w * m + (1 - w) * m0, w * v + (1 - w) * v0 + w * (1 - w) * np.outer(m - m0, m - m0)
+
+
 def test_verdict_against_numpy(spark):
-    """A hot group, two small ones that pool by language, one that pools with nobody."""
+    """A hot group, small ones, one of a single row: each estimate mixed with its language's and that of all."""
     rng = np.random.default_rng(4)
     rows = []
-    for lang, source, n in (("en", "hot", 900), ("en", "s1", 70), ("en", "s2", 60), ("de", None, 30), (None, "x", 5)):
-        for _ in range(n):
-            words = int(rng.lognormal(5, 0.6)) + 20
-            junk = rng.random() < 0.08
-            rows.append((len(rows), lang, source, words, int(words * (9 if junk else rng.normal(4.5, 0.2))),
-                         words * 2 if junk else int(rng.poisson(0.5)), 0, 0, False, "clash"))
+    for lang, source, n in (("en", "hot", 900), ("en", "s1", 70), ("en", "s2", 60), ("de", None, 30), (None, "x", 5), ("fr", "one", 1)):
+        some(rng, rows, lang, source, n)
         rows.append((len(rows), lang, source, 3, 9, 0, 0, 0, True, "clash"))
-    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, "
-                                     "n_dup_lines long, n_repeat_words long, base_failed boolean, kept string")
-    got = {r.doc_id: r for r in q.judged(df, "lang", "source").collect()}
+    rows.append((len(rows), "xx", "failed", 3, 9, 0, 0, 0, True, "clash"))
+    got = {r.doc_id: r for r in q.judged(spark.createDataFrame(rows, COLUMNS), "lang", "source").collect()}
     assert len(got) == len(rows)
-    groups = {"hot": [], "en": [], "none": []}
-    for r in got.values():
-        if r.base_failed:
-            assert not r.kept and r.distance is None
-        else:
-            groups["hot" if r.source == "hot" else "en" if r.lang == "en" else "none"].append(r)
-    for r in groups["none"]:
-        assert r.kept and r.distance is None
+    good = [r for r in got.values() if not r.base_failed]
+    assert all(not r.kept and r.distance is None for r in got.values() if r.base_failed)
+
+    def estimate(rs):
+        m, f = brute_mcd(np.array([vector(r) for r in rs]))
+        return m, f @ f.T - np.diag(np.square(q.FLOORS))
+
+    whole = estimate(good)
     removed = 0
-    for name in ("hot", "en"):
-        x = np.array([vector(r) for r in groups[name]])
-        m, f = brute_mcd(x)
-        want = np.square(np.linalg.solve(f, (x - m).T)).sum(0) / q.CONSISTENCY
-        np.testing.assert_allclose([r.distance for r in groups[name]], want, rtol=1e-6)
-        assert [r.kept for r in groups[name]] == (want <= q.CUTOFF).tolist()
-        removed += sum(not r.kept and r.n_symbols >= r.n_words for r in groups[name])
-        assert all(r.kept for r in groups[name] if r.n_symbols < r.n_words)
-    assert removed > 40
+    for lang in {r.lang for r in good}:
+        of_lang = [r for r in good if r.lang == lang]
+        coarse = mixture(estimate(of_lang), whole, len(of_lang))
+        for source in {r.source for r in of_lang}:
+            rs = [r for r in of_lang if r.source == source]
+            m, v = mixture(estimate(rs), coarse, len(rs))
+            x = np.array([vector(r) for r in rs])
+            want = np.square(np.linalg.solve(factor(v), (x - m).T)).sum(0) / q.CONSISTENCY
+            np.testing.assert_allclose([r.distance for r in rs], want, rtol=1e-6)
+            assert [r.kept for r in rs] == (want <= q.CUTOFF).tolist()
+            removed += sum(not r.kept and r.n_symbols >= r.n_words for r in rs)
+            assert all(r.kept for r in rs if r.n_symbols < r.n_words)
+    assert removed > 60
+
+
+def test_no_size_switches_a_verdict(spark):
+    """A text's verdict stays, and its distance hardly moves, as its group grows from 99 to 101 rows."""
+    others = []
+    some(np.random.default_rng(6), others, "en", "big", 400)
+    probes = [(10**6, "en", "g", 200, 900, 1, 0, 0, False, "p"), (10**6 + 1, "en", "g", 200, 1800, 400, 0, 0, False, "p"),
+              (10**6 + 2, "en", "g", 150, 700, 12, 2, 9, False, "p")]
+    found = []
+    for n in (99, 100, 101):
+        group = []
+        some(np.random.default_rng(7), group, "en", "g", n - len(probes))
+        group = [(10**5 + i, *r[1:]) for i, r in enumerate(group)]
+        got = {r.doc_id: r for r in q.judged(spark.createDataFrame(others + group + probes, COLUMNS), "lang", "source").collect()}
+        found.append([(got[p[0]].kept, got[p[0]].distance) for p in probes])
+    assert [k for k, _ in found[0]] == [k for k, _ in found[1]] == [k for k, _ in found[2]] == [True, False, True]
+    for a, _, b in zip(*found):
+        assert abs(a[1] - b[1]) < 0.1 * a[1]
 
 
 def test_documents_and_empty_table(spark, tmp_path):

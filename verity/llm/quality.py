@@ -13,9 +13,10 @@ distances, their ``COVER`` quantile, moments of the rows within; the smaller
 determinant wins. Moments and histogram quantiles are partial aggregates, so a
 group of a third of all rows costs no more than its rows. A floor on every
 spread keeps counts that are almost always zero from making the covariance
-singular. Groups of fewer than ``MIN_GROUP`` rows pool with the small groups of
-their language, and pools that stay too small with each other; what is still
-too small has no estimate and rejects nothing.
+singular. Every group has an estimate, whatever its size: a language's is mixed
+with that of all rows, and a group's with its language's, the finer one with
+weight n / (n + ``PRIOR``) for its n rows (mean and covariance of the mixture),
+so a verdict changes smoothly as a group grows and no size switches it.
 
 Only DataFrame functions. Edge cases: a null or empty text has no words and
 fails; a null language or source is the empty one; repeated rows all count; an
@@ -36,8 +37,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Share of a group that the estimate covers, concentration steps, smallest group.
-COVER, STEPS, MIN_GROUP = 0.75, 4, 100
+#: Share of a group that the estimate covers, concentration steps, and the rows that weigh as much as the coarser estimate.
+COVER, STEPS, PRIOR = 0.75, 4, 100
 #: Least spread of each transformed count (natural logarithms).
 FLOORS = (0.6, 0.1, 0.35, 0.6, 0.6)
 #: Makes the covariance of the closest 75 % of five normal dimensions consistent.
@@ -102,17 +103,6 @@ def transformed() -> list[Column]:
     return [F.log(n), F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
 
 
-def _grouped(df: DataFrame, lang: str, source: str, min_group: int) -> DataFrame:
-    """Add ``_g``: language and source, or the pool of small groups it falls to."""
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    df = df.withColumn("_l", key(lang)).withColumn("_c", key(source))
-    n = df.where(~F.col("base_failed")).groupBy("_l", "_c").agg(F.count(F.lit(1)).alias("_n"))
-    pool = n.where(F.col("_n") < min_group).groupBy("_l").agg(F.sum("_n").alias("_m"))
-    named = n.join(pool, "_l", "left").select("_l", "_c", F.when(F.col("_n") >= min_group, F.to_json(F.array("_l", "_c")))
-                                              .when(F.col("_m") >= min_group, F.to_json(F.array("_l"))).otherwise("[]").alias("_g"))
-    return df.join(common.written(named, "groups"), ["_l", "_c"], "left").drop("_l", "_c")
-
-
 def _bin_quantiles(df: DataFrame, keys: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
     """Per key, the lower end of the bin in which each share of the rows is reached."""
     bins = df.groupBy(*keys, F.floor(value * BINS).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
@@ -187,18 +177,47 @@ def mcd(rows: DataFrame) -> DataFrame:
     return best.select("_g", "_p.*")
 
 
-def judged(df: DataFrame, lang: str, source: str, min_group: int = MIN_GROUP) -> DataFrame:
-    """``df`` of ``measured`` with kept and distance (null: failed or no estimate).
+def _estimates(rows: DataFrame) -> DataFrame:
+    """(_g, _n, _m*, _v**): size, centre and covariance (without the floors) per ``_g``."""
+    sizes = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    f = lambda i, k: F.col(f"_f{i}{k}")
+    covariance = [(sum((f(i, k) * f(j, k) for k in range(1, j + 1)), f(i, 0) * f(j, 0)) - (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"_v{j}{i}")
+                  for i in range(N) for j in range(i + 1)]
+    return mcd(rows).join(sizes, "_g").select("_g", "_n", *[f"_m{i}" for i in range(N)], *covariance)
+
+
+def _mixed(df: DataFrame, prior: float) -> DataFrame:
+    """Replace ``_m*`` and ``_v**`` by those of the mixture with the coarser
+    estimate in the columns of the same names with ``_o`` in front."""
+    w = F.col("_n") / (F.col("_n") + F.lit(float(prior)))
+    mix = lambda c: w * F.col(c) + (1 - w) * F.col(f"_o{c}")
+    apart = lambda i: F.col(f"_m{i}") - F.col(f"_o_m{i}")
+    new = {f"_m{i}": mix(f"_m{i}") for i in range(N)}
+    new |= {f"_v{j}{i}": mix(f"_v{j}{i}") + w * (1 - w) * apart(i) * apart(j) for i in range(N) for j in range(i + 1)}
+    kept = [c for c in df.columns if c not in new and not c.startswith("_o_") and c != "_n"]
+    return df.select(*kept, *[x.alias(c) for c, x in new.items()])
+
+
+def judged(df: DataFrame, lang: str, source: str, prior: float = PRIOR) -> DataFrame:
+    """``df`` of ``measured`` with kept and distance (null: failed).
     ``df`` is read several times: pass a written table."""
-    rows = _grouped(common.without(df, "kept", "distance", "_l", "_c", "_g"), lang, source, min_group)
-    good = rows.where(~F.col("base_failed")).select("_g", *[x.alias(n) for x, n in zip(transformed(), X)])
-    sizes = good.groupBy("_g").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= min_group).select("_g")
-    good = common.written(good.join(sizes, "_g"), "vectors")
-    params = common.written(mcd(good), "mcd")
-    out = rows.withColumns(dict(zip(X, transformed()))).join(params, "_g", "left")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = common.without(df, "kept", "distance", "_l", "_c", "_g").withColumn("_l", key(lang)).withColumn("_c", key(source))
+    good = rows.where(~F.col("base_failed")).select("_l", "_c", *[x.alias(n) for x, n in zip(transformed(), X)])
+    good = common.written(good, "vectors")
+    names = {"all": F.lit("[]"), "lang": F.to_json(F.array("_l")), "group": F.to_json(F.array("_l", "_c"))}
+    found = common.written(_estimates(good.select(F.explode(F.array(*names.values())).alias("_g"), *X)), "estimates")
+    groups = good.select("_l", "_c").distinct().withColumns({f"_{n}": c for n, c in names.items() if n != "all"})
+    whole = found.where("_g = '[]'").select(*[F.col(c).alias(f"_o{c}") for c in found.columns if c not in ("_g", "_n")])  # one row
+    langs = groups.select("_l", F.col("_lang").alias("_g")).distinct().join(found, "_g").drop("_g")
+    langs = _mixed(langs.crossJoin(F.broadcast(whole)), prior)
+    coarse = langs.select("_l", *[F.col(c).alias(f"_o{c}") for c in langs.columns if c != "_l"])
+    fine = groups.select("_l", "_c", F.col("_group").alias("_g")).join(found, "_g").drop("_g").join(coarse, "_l")
+    params = common.written(_cholesky(_mixed(fine, prior)).select("_l", "_c", *PARAMS), "mcd")
+    out = rows.withColumns(dict(zip(X, transformed()))).join(params, ["_l", "_c"], "left")
     out = _with_distance(out).withColumn("distance", F.when(~F.col("base_failed"), F.col("_d") / CONSISTENCY))
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))
-    return out.withColumn("kept", kept).drop("_g", "_d", *X, *PARAMS)
+    kept = ~F.col("base_failed") & (F.col("distance") <= CUTOFF)
+    return out.withColumn("kept", kept).drop("_l", "_c", "_d", *X, *PARAMS)
 
 
 def op8_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
