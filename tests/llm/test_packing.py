@@ -20,7 +20,6 @@ DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text"
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -33,10 +32,28 @@ def test_every_code_point_as_the_library(library):
 
 
 def test_text_the_fast_path_cannot_take(library):
-    for text in (" a" * 10 + "\n" * 300_000 + " b", "<|endoftext|> and <|im_end|>", "a" * 100_000):
+    for text in (" a" * 10 + "\n" * 300_000 + " b", "<|endoftext|> and <|im_end|>", "a" * 100_000, "x<|endoftext|>" + "\n" * 300_000):
         assert packing.tokenizer(PATH)(text).tolist() == library(text)
 
 
+def test_added_tokens_inside_texts(library):
+    """Strings of every added token, whole, cut, doubled, nested and beside blanks, as the library's default settings give them."""
+    import json
+    import random
+
+    with open(PATH, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    rng = random.Random(2)
+    encode = packing.tokenizer(PATH)
+    assert added
+    for token, number in added.items():
+        assert encode(f"a{token}b").tolist() == [*library("a"), number, *library("b")]
+        bits = [token, token[:-1], token[1:], token[:3] + token, " ", "\n\n", "word", "é", "'s", "1 2"]
+        for _ in range(300):
+            text = "".join(rng.choices(bits, k=rng.randint(0, 9)))
+            assert encode(text).tolist() == library(text), text
+
+
 def check(rows, pieces, library, window=2048):
     """Pieces cover every document, and sequences gaplessly; only the last is short."""
     docs = {}
