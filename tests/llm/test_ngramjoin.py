@@ -21,6 +21,7 @@ def joined(df, **how):
 def test_against_all_pairs(rows_of, monkeypatch, seed, k, num, hub_rounds, pack):
     monkeypatch.setattr(ngramjoin, "HUB_ROUNDS", hub_rounds)
     monkeypatch.setattr(ngramjoin, "PACKED", pack)
+    monkeypatch.setattr(ngramjoin, "GROUPED", pack // 2)
     rows = corpus(seed, 60)
     df = rows_of(("doc_id", "text", "rep", "place"), [(i, t, "x", None) for i, t in rows]).repartition(4)
     assert joined(df, k=k, num=num) == sorted(repr(r[:3]) for r in brute(rows, k, num, 100))

@@ -1,4 +1,4 @@
-"""The corpus pipeline, stage by stage, and the registration of all eleven queries."""
+"""The corpus pipeline, stage by stage, and the registration of all fourteen queries."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def test_registered():
     found, sql = entry.queries(), entry.oracle_sql()
     assert "pipeline" in found and "pipeline" not in sql
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([k for k in found if re.match(rf"op{n}_", k)]) == 1
     assert [name for name, _ in cp.STAGES] == ["language", "quality", "lines", "near_dedup", "packing"]
 

@@ -48,7 +48,7 @@ from .neardup import components, shingles
 #: Share of the hash range whose n-grams are counted first.
 FIRST_SHARE = 0.3
 #: N-grams of the first fragment that a task packs at once, and that one group counts.
-PACKED = 2_000_000
+PACKED, GROUPED = 2_000_000, 250_000
 #: Fragments of the global order, and rounds in which a class is compared with one hub.
 FRAGMENTS, HUB_ROUNDS = 16, 3
 #: Bits of an n-gram's place in the order that hold its hash; those above hold its frequency level.
@@ -263,7 +263,7 @@ def links(df: DataFrame, key: str, text: str, classes: DataFrame, k: int, num: i
     classes that link with another). Classes go by their numbers."""
     labels = df.sparkSession.createDataFrame([], "node long, label long")
     first = classes.agg(F.sum("n_first")).first()[0] or 0
-    first_shared = shared_first(packed(df, text, k, max(1, -(-int(first) // PACKED))))
+    first_shared = shared_first(packed(df, text, k, max(1, -(-int(first) // GROUPED))))
     own = F.col("n_first") - F.coalesce("shared", F.lit(0))
     live = classes.join(first_shared.withColumnRenamed("owner", "rep"), "rep", "left") \
         .where(own <= F.col("n") - needed("n", num, den)).select("set_key", "rep", "n", "id")
