@@ -9,8 +9,9 @@ however long the text is; the lanes are then unpacked and added.
 The search keeps one row per distinct fingerprint. Fingerprints within
 ``RADIUS`` bits agree on at least ``BLOCKS - RADIUS`` of the ``BLOCKS`` blocks,
 so each goes into one permuted table per choice of that many blocks, keyed by
-them, and every pair within the radius meets in some table. A pair counts in the
-first table it shares only; candidates that are too far apart fail in the join.
+them, and whatever lies within the radius of a query meets it in some table. A
+find counts in the first table shared only; candidates that are too far apart
+fail in the join, and finds are counted there, not written.
 
 Only DataFrame functions. Edge cases: a null text is the empty text; a text
 without words has the fingerprint 0; one word is a term of its own; repeated
@@ -31,8 +32,13 @@ from . import common
 BITS, RADIUS, BLOCKS = 128, 6, 8
 #: Terms whose votes share a group of lanes, and the lanes' mask.
 CHUNK, LANES = 4096, 0x0001000100010001
-#: Rows meant for a bucket of neighbouring ids, most buckets, and buckets of rows without id.
-BUCKET_ROWS, MAX_BUCKETS, NULL_BUCKETS = 2000, 65536, 1024
+#: Most rows of a bucket of neighbouring ids, unless a shift would have more than MAX_BUCKETS; buckets of rows without id.
+BUCKET_ROWS, MAX_BUCKETS, NULL_BUCKETS = 4096, 1 << 18, 1024
+#: A range of ids that has too many rows is cut into STEP.
+FANOUT_BITS = 4
+STEP = 1 << FANOUT_BITS
+#: The search asks for the rows whose id is divisible by this.
+ASKED = 20
 
 
 def _terms(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -74,22 +80,24 @@ def differing_bits(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -
     return F.bit_count(lo.bitwiseXOR(other_lo)) + F.bit_count(hi.bitwiseXOR(other_hi))
 
 
-def within_radius(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (lo, hi, other_lo, other_hi) of different fingerprints at most
-    ``radius`` bits apart, each once; ``prints`` holds distinct (lo, hi)."""
+def near_counts(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(lo, hi, n_near) of each of the ``queries``, distinct (lo, hi) among
+    ``prints``: how many rows of ``prints``, distinct (lo, hi, _copies), lie within
+    the radius, its own other copies among them. Pairs are counted where they
+    meet: what is written is at most one partial count per query and task."""
     size = BITS // BLOCKS
     block = lambda b, lo="lo", hi="hi": F.shiftright(F.col(lo if b < BLOCKS // 2 else hi), size * (b % (BLOCKS // 2))).bitwiseAND(
         F.lit((1 << size) - 1))
     choices = list(combinations(range(BLOCKS), max(1, BLOCKS - radius)))
     keys = F.array(*[F.xxhash64(F.lit(i), *[block(b) for b in c]) for i, c in enumerate(choices)])
-    table = prints.select("lo", "hi", F.posexplode(keys).alias("_table", "_key"))
-    other = table.select(F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), F.col("_table").alias("_t"), F.col("_key").alias("_k"))
+    other = prints.select(F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), "_copies", F.posexplode(keys).alias("_t", "_k"))
+    asked = queries.select("lo", "hi", F.posexplode(keys).alias("_table", "_key"))
     near = (F.col("_key") == F.col("_k")) & (F.col("_table") == F.col("_t")) \
-        & ((F.col("lo") < F.col("other_lo")) | ((F.col("lo") == F.col("other_lo")) & (F.col("hi") < F.col("other_hi")))) \
         & (differing_bits(F.col("lo"), F.col("hi"), F.col("other_lo"), F.col("other_hi")) <= radius)
     same = F.array(*[block(b) == block(b, "other_lo", "other_hi") for b in range(BLOCKS)])
     first = F.coalesce(*[F.when(_all(same, c), F.lit(i)) for i, c in enumerate(choices)])
-    return table.join(other, near).where(F.col("_table") == first).select("lo", "hi", "other_lo", "other_hi")
+    return asked.join(other, near).where(F.col("_table") == first) \
+        .groupBy("lo", "hi").agg((F.sum("_copies") - 1).alias("n_near"))
 
 
 def _all(flags: Column, places: tuple[int, ...]) -> Column:
@@ -99,19 +107,50 @@ def _all(flags: Column, places: tuple[int, ...]) -> Column:
     return out
 
 
+def id_ranges(df: DataFrame, key: str) -> DataFrame:
+    """(shift, prefix, parts, first): the ranges of ids that become buckets, a
+    range being the ids whose value without its last ``shift`` bits is ``prefix``,
+    and the number of its first bucket. They follow the counts: from the whole
+    table down, a range of too many rows is cut into 16. An id that has too many
+    rows itself has several ``parts``. At most 16 ranges come from a range that was
+    cut, so one shift has at most ``MAX_BUCKETS`` of them."""
+    ids = df.select(F.col(key).cast("long").alias("_id")).where("_id is not null").groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
+    stats = ids.agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.sum("n").alias("n")).first()
+    rows = stats.n or 0
+    most = max(BUCKET_ROWS, STEP * rows // MAX_BUCKETS)
+    shifts = [s for s in range(0, 64, FANOUT_BITS) if s == 0 or (stats.lo or 0) >> s != (stats.hi or 0) >> s]
+    level = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), F.shiftright("_id", s).alias("prefix")) for s in shifts]))
+    nodes = ids.select("n", level.alias("_x")).groupBy("_x.shift", "_x.prefix").agg(F.sum("n").alias("n"))
+    nodes = common.written(nodes, "ranges")
+    above = nodes.select((F.col("shift") - FANOUT_BITS).alias("shift"), F.col("prefix").alias("_up"), F.col("n").alias("_above"))
+    cut = nodes.withColumn("_up", F.shiftright("prefix", FANOUT_BITS)).join(above, ["shift", "_up"], "left")
+    cut = cut.where((F.coalesce("_above", F.lit(rows)) > most) & ((F.col("n") <= most) | (F.col("shift") == 0)))
+    if rows <= most:  # nothing to cut: the top ranges keep their rows
+        cut = cut.unionAll(nodes.where(F.col("shift") == max(shifts)).withColumn("_up", F.lit(None).cast("long")).withColumn("_above", F.lit(None).cast("long"))
+                           .select(*cut.columns))
+    parts = F.greatest(F.ceil(F.col("n") / most), F.lit(1)).cast("long")
+    before = Window.orderBy(F.expr("shiftleft(prefix, shift)")).rowsBetween(Window.unboundedPreceding, -1)
+    return common.written(cut.select("shift", "prefix", parts.alias("parts"))
+                          .withColumn("first", F.coalesce(F.sum("parts").over(before), F.lit(0))), "buckets")
+
+
 def id_buckets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Add ``_bucket``: ranges of ids of equal width, ascending; negative without an id."""
-    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(key).alias("n")).first()
-    lo, hi, n = (stats.lo or 0), (stats.hi or 0), stats.n
-    buckets = min(MAX_BUCKETS, n // BUCKET_ROWS + 1)
-    width = (hi - lo + 1) / buckets
-    of_id = F.floor((F.col(key).cast("double") - F.lit(float(lo))) / F.lit(float(width)))
-    return df.withColumn("_bucket", F.coalesce(of_id, F.lit(-1) - F.pmod(F.xxhash64(text), F.lit(NULL_BUCKETS))).cast("long"))
+    """Add ``_bucket``: ranges of ids (``id_ranges``), ascending; the rows of an id
+    with several parts are dealt by their text's hash; negative without an id."""
+    ranges = id_ranges(df, key)
+    shifts = sorted(r.shift for r in ranges.select("shift").distinct().collect())  # at most 16
+    out, found = df, []
+    for s in shifts:
+        own = ranges.where(F.col("shift") == s).select(F.col("prefix").alias(f"_p{s}"), F.col("parts").alias(f"_n{s}"), F.col("first").alias(f"_f{s}"))
+        out = out.join(F.broadcast(own), F.shiftright(F.col(key).cast("long"), s) == F.col(f"_p{s}"), "left")
+        found.append(F.col(f"_f{s}") + F.pmod(F.xxhash64(text), F.col(f"_n{s}")))
+    no_id = F.lit(-1) - F.pmod(F.xxhash64(text), F.lit(NULL_BUCKETS))
+    return out.select(*df.columns, F.coalesce(*found, no_id).cast("long").alias("_bucket"))
 
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:
     """(_bucket, _after): the bucket that follows, descending; the first after the last.
-    One row per bucket, at most MAX_BUCKETS and the null buckets."""
+    One row per bucket: their number is bounded (``id_ranges``)."""
     w = Window.orderBy(F.desc("_bucket"))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return buckets.select("_bucket", F.coalesce(F.lead("_bucket").over(w), F.first("_bucket").over(whole)).alias("_after"))
@@ -146,11 +185,14 @@ def _hex(lo: str, hi: str) -> Column:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, their likeness (the
     share of equal bits), that of the next document, and ``n_near``: the other
-    documents whose fingerprints lie within the radius."""
-    return compared(common.documents(spark, sf_dir), "doc_id", "text")
+    documents whose fingerprints lie within the radius, searched among all of
+    them for every document whose id is divisible by ASKED (else null)."""
+    return compared(common.documents(spark, sf_dir), "doc_id", "text", ASKED)
 
 
-def compared(df: DataFrame, key: str, text: str) -> DataFrame:
+def compared(df: DataFrame, key: str, text: str, asked: int = 1) -> DataFrame:
+    """The columns of ``op2_simhash`` for any table; ``n_near`` for the rows
+    whose id is divisible by ``asked``, and null without an id."""
     rows = edited(df, key, text)
     digest = F.sha2(F.col("_edited").cast("binary"), 256)
     sha = [F.conv(F.substring(digest, 16 * i + 1, 16), 16, -10).cast("long").alias(f"_sha{i}") for i in range(4)]
@@ -168,14 +210,10 @@ def compared(df: DataFrame, key: str, text: str) -> DataFrame:
     out = light.withColumn("_nlo", F.lead("lo").over(order)).withColumn("_nhi", F.lead("hi").over(order)).join(joint, "_bucket") \
         .withColumn("_nhi", F.when(F.col("_nlo").isNull(), F.col("_fhi")).otherwise(F.col("_nhi"))) \
         .withColumn("_nlo", F.coalesce("_nlo", "_flo"))
-    distinct = common.written(light.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("_copies")), "distinct")
-    pairs = common.written(within_radius(distinct.select("lo", "hi")), "near")
-    ends = pairs.unionAll(pairs.select("other_lo", "other_hi", "lo", "hi"))
-    near = ends.join(distinct.select(F.col("lo").alias("other_lo"), F.col("hi").alias("other_hi"), "_copies"), ["other_lo", "other_hi"]) \
-        .groupBy("lo", "hi").agg(F.sum("_copies").alias("_others"))
-    counts = distinct.join(near, ["lo", "hi"], "left") \
-        .select("lo", "hi", (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("n_near"))
-    out = out.join(counts, ["lo", "hi"])
+    ask = F.pmod(F.col(key), F.lit(asked)) == 0
+    distinct = common.written(light.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("_copies"), F.max(ask).alias("_ask")), "distinct")
+    counts = near_counts(distinct.where("_ask"), distinct.drop("_ask"))
+    out = out.join(counts, ["lo", "hi"], "left").withColumn("n_near", F.when(ask, F.col("n_near")))
     likeness = lambda lo, hi: 1 - differing_bits(F.col("lo"), F.col("hi"), F.col(lo), F.col(hi)) / F.lit(float(BITS))
     return out.select(
         key, "n_chars", F.lower(F.concat(*[F.lpad(F.hex(f"_sha{i}"), 16, "0") for i in range(4)])).alias("edited_sha256"),
