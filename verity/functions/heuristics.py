@@ -225,7 +225,11 @@ def report_sections(text: Column) -> Column:
 
 # The section of open questions, and the issue texts of the audit.
 QUESTION_SECTION_RE = r"(?s)## Research Questions for Investigation[^#]*(?:#[^#]+)*"
+ISSUE_CITATIONS = "Found %d placeholder citations"
+ISSUE_SECTION = ("Section '", "' is mostly placeholders")
 ISSUE_QUESTIONS = "Report contains unanswered research questions section"
+ISSUE_BRACKETS = "Unmatched brackets detected - possible incomplete citations"
+ISSUE_SHORT = "Report appears to be very short, possibly incomplete"
 
 
 def report_audit(text: Column) -> Column:
@@ -235,18 +239,18 @@ def report_audit(text: Column) -> Column:
     issues = []
     for p in PLACEHOLDER_CITATION_PATTERNS:
         n = F.regexp_count(text, F.lit("(?i)" + p))
-        issues.append(F.when(n > 0, F.format_string("Found %d placeholder citations", n)))
+        issues.append(F.when(n > 0, F.format_string(ISSUE_CITATIONS, n)))
     heavy = F.transform(
         F.filter(secs, lambda s: F.regexp_count(s["body"], F.lit(SECTION_PLACEHOLDER))
                  > F.size(F.filter(F.split(s["body"], "\n"), lambda ln: F.length(py_strip(ln)) > 0)) / 3.0),
-        lambda s: F.concat(F.lit("Section '"), s["title"], F.lit("' is mostly placeholders")))
+        lambda s: F.concat(F.lit(ISSUE_SECTION[0]), s["title"], F.lit(ISSUE_SECTION[1])))
     asked = F.regexp_extract(text, QUESTION_SECTION_RE, 0)
     marks = F.size(F.filter(F.transform(F.split(asked, "\n"), py_strip), lambda ln: ln.startswith("*") | ln.startswith("-")))
     issues.append(F.when(marks > 3, F.lit(ISSUE_QUESTIONS)))
     opens = F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))
     closes = F.length(text) - F.length(F.replace(text, F.lit("]"), F.lit("")))
-    tail = [F.when(opens != closes, F.lit("Unmatched brackets detected - possible incomplete citations")),
-            F.when(words < 500, F.lit("Report appears to be very short, possibly incomplete"))]
+    tail = [F.when(opens != closes, F.lit(ISSUE_BRACKETS)),
+            F.when(words < 500, F.lit(ISSUE_SHORT))]
     all_issues = F.concat(F.filter(F.array(*issues), lambda x: x.isNotNull()), heavy,
                           F.filter(F.array(*tail), lambda x: x.isNotNull()))
     return F.struct(all_issues.alias("issues"), words.cast("bigint").alias("word_count"),
