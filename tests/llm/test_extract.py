@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -64,6 +66,77 @@ def test_hand_written_pages(extractor):
         assert got == "\n\n".join(BODY)
 
 
+MENU = "<div><a href=1>Home</a> <a href=2>News</a> <a href=3>Sport</a></div>"
+FOOT = "<div>&copy; 2020 Somebody. All rights reserved.</div>"
+TITLE, LINKED = "The title of this story", "A paragraph that is one link to another page of the site"
+
+
+@pytest.mark.parametrize("page, also", [
+    (f"<body>{MENU}<div><h1>{TITLE}</h1>{{p}}</div>{FOOT}</body>", [TITLE]),
+    (f'<body><div class="c1">{MENU}</div><div class="c7"><h1>{TITLE}</h1><div class="c9">{{p}}</div></div><div class="c3">{FOOT}</div></body>', [TITLE]),
+    (f"<body>{MENU}<h1>{TITLE}</h1>{{p}}{FOOT}</body>", [TITLE]),
+    (f'<body><nav>{MENU}</nav><article>{{p}}<p><a href="/x">{LINKED}</a></p></article><footer>{FOOT}</footer></body>', [LINKED]),
+    (f'<body><nav>{MENU}</nav><article><h1>{TITLE}</h1><p><a href="/x">{LINKED}</a></p>{{p}}</article></body>', [TITLE, LINKED]),
+])
+def test_titles_without_names_and_paragraphs_of_one_link(extractor, page, also):
+    got = extractor.text(page.format(p="".join(f"<p>{b}</p>" for b in BODY))).split("\n\n")
+    assert set(BODY) | set(also) == set(got)
+
+
+def test_character_counts():
+    texts = ["", "A b, C.", "x" * 900 + "ÀÉ 12", "", "漢字 ½ ² ٣?", "© ∑|!"]
+    got = dom.character_counts(texts)
+    for i, t in enumerate(texts):
+        marks = sum(c in ".,;:!?" for c in t)
+        assert got[:, i].tolist() == [t.count(" "), marks, sum(map(str.isdigit, t)), sum(map(str.isupper, t)), sum(unicodedata.category(c)[0] == "S" for c in t)]
+    assert dom.character_counts([]).shape == (5, 0)
+
+
+def steps(page):
+    """Lines of Python executed while the page is parsed, a measure without a clock."""
+    import sys
+
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += 1
+        return count if frame.f_code.co_filename == dom.__file__ else None
+
+    old = sys.gettrace()
+    sys.settrace(count)
+    try:
+        dom.Tree(page)
+    finally:
+        sys.settrace(old)
+    return n
+
+
+@pytest.mark.parametrize("page", [
+    lambda n: "<div>" * n + "<p>x" * n,
+    lambda n: "<p><button>" + "<div>" * n + "<div>x</div>" * n,
+    lambda n: "<li>" * n + "<ul>" * n + "<li>x" * n,
+    lambda n: "<video>" + "<div>" * n + "</b><p>" * n,
+])
+def test_nesting_takes_linear_time(page):
+    assert steps(page(2000)) < 2.2 * steps(page(1000))
+    started = time.process_time()
+    dom.features(dom.Tree(page(30_000)), {})
+    assert time.process_time() - started < 60
+
+
+def test_first_split_is_the_best():
+    """One tree of depth 1 against every threshold of every feature."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 9, size=(300, 4)).astype(np.float32)
+    y = (x[:, 2] + rng.normal(size=300) > 4).astype(float)
+    model = Boosted(trees=1, depth=1).fit(x, y, np.ones(300))
+    p = y.mean()
+    part = lambda m: ((y - p) * m).sum() ** 2 / (p * (1 - p) * m.sum() + model.ridge)
+    gains = {(j, t): part(x[:, j] <= t) + part(x[:, j] > t) for j in range(4) for t in range(8)}
+    assert (model.feature[0, 0], model.threshold[0, 0]) == max(gains, key=gains.get)
+
+
 def test_decoding_is_consistent_and_best():
     """No kept node below a dropped one; equal to trying every labelling of small trees."""
     rng = random.Random(3)

@@ -8,8 +8,10 @@ space in a run becomes one space.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import unicodedata
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,15 +40,41 @@ LABEL = "x-label"
 _TOKEN = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
 
 
+class Stack:
+    """Names of open elements; the place of the innermost one of a name is kept, not searched for."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.places: dict[str, list[int]] = {}
+
+    def __len__(self):
+        return len(self.names)
+
+    def push(self, name: str):
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost element of one of the names, -1 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def cut(self, place: int):
+        """Close the element at the place and all inside it."""
+        while len(self.names) > place:
+            self.places[self.names.pop()].pop()
+
+
 class Tree(HTMLParser):
     """Nodes as parallel lists; children come after their parents."""
 
-    def __init__(self, html: str):
+    def __init__(self, html: str, generated: bool = False):
         super().__init__(convert_charrefs=True)
+        self.generated = generated  # a training layout, not a page
         self.tag, self.parent, self.tokens, self.text, self.links, self.label = ["#root"], [-1], [()], [""], [0], [None]
         self.open = [0]  # indexes of open block nodes
-        self.names = ["#root"]
-        self.skip: list[str] = []  # open unrendered elements, and the blocks inside them
+        self.names = Stack()  # their names
+        self.names.push("#root")
+        self.skip = Stack()  # open unrendered elements, and the blocks inside them
         self.anchors = 0
         self.words: list[str] = []
         self.linked = 0
@@ -72,17 +100,17 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self.skip:
             if tag in UNRENDERED and tag != "head" and tag not in VOID:
-                self.skip.append(tag)
-            elif self.skip == ["head"] and (tag in BLOCK or tag == "body"):  # an unclosed head
-                self.skip.clear()
+                self.skip.push(tag)
+            elif self.skip.names == ["head"] and (tag in BLOCK or tag == "body"):  # an unclosed head
+                self.skip.cut(0)
             else:
-                if tag in BLOCK and not RAW.intersection(self.skip):
-                    self.skip.append(tag)
+                if tag in BLOCK and self.skip.last(*RAW) < 0:
+                    self.skip.push(tag)
                 return
             if self.skip:
                 return
         if tag in UNRENDERED:
-            self.skip.append(tag)
+            self.skip.push(tag)
             return
         if tag in ("td", "th", "br", "hr", "img", "input", "wbr"):
             self.words.append(" " if tag != "wbr" else "")
@@ -91,7 +119,7 @@ class Tree(HTMLParser):
         if tag not in BLOCK:
             return
         self._flush()
-        if "p" in self.names and tag not in ("option", "button"):
+        if tag not in ("option", "button"):
             self._pop({"p"}, {"button", "td", "table"})
         if tag in CLOSES:
             self._pop(*CLOSES[tag])
@@ -104,36 +132,34 @@ class Tree(HTMLParser):
             elif name == LABEL:
                 label = value
         self.open.append(self._add(tag, tuple(dict.fromkeys(found)), label=label))
-        self.names.append(tag)
+        self.names.push(tag)
 
     def handle_startendtag(self, tag, attrs):
-        if tag not in FOREIGN and "svg" not in self.skip:  # HTML ignores the slash
+        if tag not in FOREIGN and self.skip.last("svg") < 0:  # HTML ignores the slash
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if self.skip:
-            if tag in self.skip:
-                del self.skip[len(self.skip) - 1 - self.skip[::-1].index(tag):]
+            if (place := self.skip.last(tag)) >= 0:
+                self.skip.cut(place)
                 return
-            if tag not in BLOCK or tag not in self.names or RAW.intersection(self.skip):
+            if tag not in BLOCK or self.names.last(tag) < 0 or self.skip.last(*RAW) >= 0:
                 return
-            self.skip.clear()  # never closed inside the block that ends here
+            self.skip.cut(0)  # never closed inside the block that ends here
         if tag == "a":
             self.anchors = max(0, self.anchors - 1)
         elif tag in ("td", "th"):
             self.words.append(" ")
-        elif tag in BLOCK and tag in self.names:
+        elif tag in BLOCK and self.names.last(tag) >= 0:
             self._flush()
             self._pop({tag}, set())
 
     def _pop(self, names, boundary):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.names[i] in names:
-                del self.open[i:], self.names[i:]
-                self.anchors = 0
-                return
-            if self.names[i] in boundary:
-                return
+        place = self.names.last(*names)
+        if place > self.names.last(*boundary):
+            self.names.cut(place)
+            del self.open[place:]
+            self.anchors = 0
 
     def handle_data(self, data):
         if not self.skip:
@@ -154,6 +180,30 @@ class Tree(HTMLParser):
         return out
 
 
+@functools.cache
+def _classes() -> np.ndarray:
+    """Per code point: 1 a space, 2 punctuation, 4 a digit, 8 a capital, 16 a symbol, added up."""
+    points = [chr(i) for i in range(0x110000)]
+    out = 4 * np.fromiter(map(str.isdigit, points), np.uint8) + 8 * np.fromiter(map(str.isupper, points), np.uint8)
+    out += 16 * np.fromiter((unicodedata.category(c)[0] == "S" for c in points), np.uint8)
+    out[[ord(c) for c in ".,;:!?"]] += 2
+    out[ord(" ")] += 1
+    return out
+
+
+def character_counts(texts: list[str]) -> np.ndarray:
+    """Spaces, punctuation marks, digits, capitals and symbols (rows) of every whole text (columns)."""
+    lengths = np.array([len(t) for t in texts])
+    out = np.zeros((5, len(texts)))
+    some = np.flatnonzero(lengths)
+    if len(some):
+        classes = _classes()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        starts = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
+        for bit in range(5):
+            out[bit, some] = np.add.reduceat(classes >> bit & 1, starts, dtype=np.int64)
+    return out
+
+
 def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
     """One row per node; ``score`` has the learned log odds of tags (``<tag``) and attribute tokens."""
     n = len(tree.tag)
@@ -165,8 +215,8 @@ def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
     own_min, own_max = np.array([min(s, default=0.0) for s in each]), np.array([max(s, default=0.0) for s in each])
     chars = np.array([len(t) for t in tree.text], float)
     links = np.array(tree.links, float)
-    marks = np.array([t.count(".") + t.count(",") + t.count("!") + t.count("?") + t.count(":") if t else 0 for t in tree.text], float)
-    words = np.array([t.count(" ") + 1 if t else 0 for t in tree.text], float)
+    spaces, marks, digit, upper, symbols = character_counts(tree.text)
+    words = spaces + run
     linky = ((links > 0.5 * chars) & run).astype(float)
     long = ((chars > 120) & (links < 0.3 * chars)).astype(float)
     counts = {name: np.array([t == name for t in tree.tag], float) for name in ("p", "li")}
@@ -180,7 +230,7 @@ def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
         p = parent[i]
         depth[i] = depth[p] + 1
         up_low[i], up_high[i] = min(up_low[p], low[p]), max(up_high[p], high[p])
-    sums = [chars, links, marks, words, linky, long, counts["p"], counts["li"], inputs, blocks, runs]
+    sums = [chars, links, marks, words, digit, upper, symbols, linky, long, counts["p"], counts["li"], inputs, blocks, runs]
     for i in range(n - 1, 0, -1):
         p = parent[i]
         for s in sums:
@@ -215,7 +265,7 @@ def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
         size, density, chars / total, chars / np.maximum(chars[above], 1), np.log1p(blocks), chars / np.maximum(blocks + runs, 1),
         marks / c, chars / np.maximum(runs, 1), depth, depth / max(1.0, depth.max()),
         siblings, alike, prev_size, prev_link, next_size, next_link, around, np.log1p(counts["p"]), linky / np.maximum(runs, 1),
-        np.log1p(words), c / np.maximum(words, 1), np.log1p(counts["li"]), np.log1p(inputs), np.log1p(long),
+        digit / c, upper / c, symbols / c, np.log1p(words), c / np.maximum(words, 1), np.log1p(counts["li"]), np.log1p(inputs), np.log1p(long),
         heading, heading_above, size[above], density[above],
     ]
     return np.column_stack([x.astype(np.float32) for x in columns])

@@ -39,6 +39,8 @@ from .boosting import Boosted
 
 #: Bounds of the training sample: pages, characters read of each, generated layouts.
 SAMPLE_PAGES, SAMPLE_CHARS, LAYOUTS = 200, 20_000, 1200
+#: Weight of a node of a sampled page; one of a generated layout has 1.
+REAL_WEIGHT = 4.0
 
 # Names that sites give to parts of a page.
 MAIN_NAMES = ["article", "post", "entry", "content", "story", "main", "article-body", "post-content", "entry-content", "story-body",
@@ -154,6 +156,8 @@ class Layout:
         loose = []
         for p in paragraphs:
             text = self.inside(p)
+            if r.random() < 0.05:  # a paragraph that is one link
+                text = f'<a href="/{r.randint(0, 99)}">{entities.escape(p)}</a>'
             if style == "br":
                 loose.append(text)
                 continue
@@ -182,6 +186,8 @@ class Layout:
         tag = r.choice(["article", "article", "main", "div", "div", "section"])
         names = "" if tag != "div" and r.random() < 0.5 else self.name(MAIN_NAMES)
         body = f"<{tag} {names}>{main}{after if r.random() < 0.4 else ''}</{tag}>"
+        if r.random() < 0.1:  # nothing around the article
+            body = main
         for _ in range(r.choice([0, 0, 1, 2])):
             tag = r.choice(["div", "div", "section", "main"])
             body = f"<{tag} {self.name(PLAIN_NAMES + MAIN_NAMES[:6])}>" + (self.noise("sa") if r.random() < 0.2 else "") + body + (self.noise("sacm") if r.random() < 0.3 else "") + f"</{tag}>"
@@ -216,7 +222,7 @@ def training_trees(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) ->
     for _ in range(layouts):
         inner = rng.choice(sources)
         picked = [p[:1500] for p in rng.sample(inner, min(len(inner), rng.randint(1, 9)))]
-        trees.append(dom.Tree(Layout(rng, picked[0][:90], picked, words, sentences).html))
+        trees.append(dom.Tree(Layout(rng, picked[0][:90], picked, words, sentences).html, generated=True))
     return trees
 
 
@@ -238,7 +244,8 @@ class Extractor:
         score = {t: float(np.clip(np.log((b + 1) / (a + 1)), -4, 4)) for t, (a, b) in counts.items() if a + b >= 3 and t not in ("<" + dom.RUN, "<#root")}
         x = np.concatenate([dom.features(t, score) for t in trees])
         y = np.concatenate(labels).astype(float)
-        return cls(score, Boosted().fit(x, y, np.ones(len(y))))
+        weight = np.concatenate([np.full(len(t.tag), 1.0 if t.generated else REAL_WEIGHT) for t in trees])
+        return cls(score, Boosted().fit(x, y, weight))
 
     def keep(self, tree: dom.Tree) -> np.ndarray:
         """The consistent labelling of highest log probability, weighted by text."""
