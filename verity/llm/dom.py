@@ -222,40 +222,41 @@ def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
     counts = {name: np.array([t == name for t in tree.tag], float) for name in ("p", "li")}
     inputs = np.array([t in ("form", "button", "select", "option", "textarea", "fieldset", "legend") for t in tree.tag], float)
     blocks, runs = (~run).astype(float), run.astype(float)
-    low, high = np.minimum(own_tag, own_min), np.maximum(own_tag, own_max)
+    low, high = np.minimum(own_tag, own_min).tolist(), np.maximum(own_tag, own_max).tolist()
     below_low, below_high = low.copy(), high.copy()
-    depth = np.zeros(n)
-    up_low, up_high = np.zeros(n), np.zeros(n)
+    depth, up_low, up_high = [0] * n, [0.0] * n, [0.0] * n
+    kids: list[list[int]] = [[] for _ in range(n)]
     for i in range(1, n):
-        p = parent[i]
+        p = tree.parent[i]
         depth[i] = depth[p] + 1
         up_low[i], up_high[i] = min(up_low[p], low[p]), max(up_high[p], high[p])
-    sums = [chars, links, marks, words, digit, upper, symbols, linky, long, counts["p"], counts["li"], inputs, blocks, runs]
+        kids[p].append(i)
+    sums = np.column_stack([chars, links, marks, words, digit, upper, symbols, linky, long, counts["p"], counts["li"], inputs, blocks, runs])
     for i in range(n - 1, 0, -1):
-        p = parent[i]
-        for s in sums:
-            s[p] += s[i]
+        p = tree.parent[i]
+        sums[p] += sums[i]
         below_low[p], below_high[p] = min(below_low[p], below_low[i]), max(below_high[p], below_high[i])
-    kids: list[list[int]] = [[] for _ in range(n)]
-    for i in range(1, n):
-        kids[parent[i]].append(i)
+    chars, links, marks, words, digit, upper, symbols, linky, long, counts["p"], counts["li"], inputs, blocks, runs = sums.T
     size = np.log1p(chars)
     density = links / np.maximum(chars, 1)
-    siblings, alike, prev_size, prev_link, next_size, next_link, around = (np.zeros(n) for _ in range(7))
+    sizes, densities = size.tolist(), density.tolist()
+    siblings, alike, prev_size, prev_link, next_size, next_link, around = ([0.0] * n for _ in range(7))
     for ks in kids:
         m = len(ks)
         if not m:
             continue
-        mean = float(size[ks].mean())
+        mean = sum(sizes[k] for k in ks) / m
+        many = math.log1p(m)
         tags: dict[str, int] = {}
         for k in ks:
             tags[tree.tag[k]] = tags.get(tree.tag[k], 0) + 1
         for at, k in enumerate(ks):
-            siblings[k], alike[k], around[k] = math.log1p(m), tags[tree.tag[k]] / m, mean
+            siblings[k], alike[k], around[k] = many, tags[tree.tag[k]] / m, mean
             if at:
-                prev_size[k], prev_link[k] = size[ks[at - 1]], density[ks[at - 1]]
+                prev_size[k], prev_link[k] = sizes[ks[at - 1]], densities[ks[at - 1]]
             if at + 1 < m:
-                next_size[k], next_link[k] = size[ks[at + 1]], density[ks[at + 1]]
+                next_size[k], next_link[k] = sizes[ks[at + 1]], densities[ks[at + 1]]
+    depth = np.array(depth, float)
     above = np.maximum(parent, 0)
     total, c = max(1.0, chars[0]), np.maximum(chars, 1)
     heading = np.array([t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in tree.tag], float)
@@ -268,4 +269,4 @@ def features(tree: Tree, score: dict[str, float]) -> np.ndarray:
         digit / c, upper / c, symbols / c, np.log1p(words), c / np.maximum(words, 1), np.log1p(counts["li"]), np.log1p(inputs), np.log1p(long),
         heading, heading_above, size[above], density[above],
     ]
-    return np.column_stack([x.astype(np.float32) for x in columns])
+    return np.array(columns, np.float32).T

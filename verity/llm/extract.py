@@ -252,18 +252,17 @@ class Extractor:
         x = dom.features(tree, self.score)
         margin = self.trees.margin(x)
         weight = 1.0 + x[:, 11].astype(float)  # log characters of the subtree
-        yes, no = weight * -np.logaddexp(0, -margin), weight * -np.logaddexp(0, margin)
+        yes, no = (weight * -np.logaddexp(0, -margin)).tolist(), (weight * -np.logaddexp(0, margin)).tolist()
         parent = tree.parent
         for i in range(len(parent) - 1, 0, -1):
             no[parent[i]] += no[i]
         best = yes.copy()  # with the best choice of every child
         for i in range(len(parent) - 1, 0, -1):
             best[parent[i]] += max(best[i], no[i])
-        kept = np.zeros(len(parent), bool)
-        kept[0] = True
+        kept = [True] * len(parent)
         for i in range(1, len(parent)):
             kept[i] = kept[parent[i]] and best[i] > no[i]
-        return kept
+        return np.array(kept)
 
     def text(self, html: str | None) -> str:
         tree = dom.Tree(html or "")
