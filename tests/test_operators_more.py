@@ -79,3 +79,21 @@ def test_mcq_letter_priority(spark):
     rows = [("blah **Answer:** c",), ("Option B is it",), ("(D) seems right",), ("**zzz",)]
     df = spark.createDataFrame(rows, "t string")
     assert [r.x for r in df.select(A.mcq_letter(F.col("t")).alias("x")).collect()] == ["C", "B", "D", "z"]
+
+
+def test_context_reduction_is_dealt_over_tasks_by_size(spark, monkeypatch):
+    """Twice the text, twice the tasks: no task's share grows with the table."""
+    from verity import session
+    from verity.plans.q_context import reduce_context
+
+    monkeypatch.setattr(session, "TASK_BYTES", 1000)
+    rows = [(i, "alpha beta", f"alpha w{i} beta gamma. " * 40) for i in range(60)]
+    parts, texts = [], []
+    for n in (30, 60):
+        df = spark.createDataFrame(rows[:n], "k long, q string, c string")
+        out = reduce_context(df, "k", "q", "c", 300, 600)
+        parts.append(out.rdd.getNumPartitions())
+        texts.append({r.k: r.context for r in out.collect()})
+        assert len(texts[-1]) == n and all(0 < len(t) <= 300 for t in texts[-1].values())
+    assert session.parts_for(df, "q", "c") >= 50
+    assert parts[1] - parts[0] >= 20 and all(texts[1][k] == t for k, t in texts[0].items())

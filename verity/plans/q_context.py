@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import context as CX
 from ..operators import retrieval as RT
+from ..session import parts_for
+from ..sources.views import v_contexts
 from . import sqlx as S
 from .catalog import Ctx, register
 
@@ -200,12 +202,13 @@ def reduce_context(df: DataFrame, key: str, question: str, context: str, limit:
     fits = df.where(F.octet_length(context) <= lim).select(key, F.col(context).alias("context"))
     big = df.where(F.octet_length(context) > lim)
     segs = big.select(key, F.posexplode(CX.chunk_text(F.col(context), chunk_bytes)).alias("seg", "t"))
-    qs = big.join(segs.select(key).distinct(), key, "left_semi").select(key, question)
-    sc = CX.tfidf_scores(qs, segs, key, "seg", question, "t").join(segs, [key, "seg"])
+    parts = parts_for(df, question, context)
+    qs = big.select(key, question).repartition(parts, key).join(segs.select(key).distinct(), key, "left_semi")
+    sc = CX.tfidf_scores(qs, segs, key, "seg", question, "t", parts).repartition(parts, key, "seg").join(segs.repartition(parts, key, "seg"), [key, "seg"])
     if isinstance(limit, str):
         sc = sc.join(big.select(key, limit), key)
-    sel = CX.select_segments(sc, key, "seg", "t", limit).select(key, "context")
-    empty = big.join(segs.select(key).distinct(), key, "left_anti").select(key, CX.truncate_bytes(F.col(context), lim).alias("context"))
+    sel = CX.select_segments(sc, key, "seg", "t", limit, parts).select(key, "context")
+    empty = big.repartition(parts, key).join(segs.select(key).distinct(), key, "left_anti").select(key, CX.truncate_bytes(F.col(context), lim).alias("context"))
     return fits.unionByName(sel).unionByName(empty)
 
 
@@ -217,7 +220,7 @@ def trim_budgets(c: Ctx, limit_kb: int = TRIM_KB) -> DataFrame:
     its articles in proportion to their sizes."""
     from pyspark.sql import Window
     budget = int(limit_kb * 1024 * 0.75 * 2.5)
-    a = c.v("v_contexts").select("idx", "doc_index", "article").withColumn("original_bytes", F.octet_length("article"))
+    a = v_contexts(c.t, parts_for(c.t.documents, "text")).select("idx", "doc_index", "article").withColumn("original_bytes", F.octet_length("article"))
     a = a.withColumn("_total", F.sum("original_bytes").over(Window.partitionBy("idx")))
     return a.withColumn("article_limit", F.floor(F.col("original_bytes") / F.col("_total") * budget).cast("bigint")).drop("_total")
 
@@ -236,6 +239,7 @@ def d14(c: Ctx) -> DataFrame:
     b = trim_budgets(c).join(c.v("v_questions"), "idx") \
         .withColumn("_k", F.concat_ws(":", F.col("idx").cast("string"), F.col("doc_index").cast("string")))
     red = reduce_context(b.select("_k", "prompt", "article", "article_limit"), "_k", "prompt", "article", "article_limit")
+    red = red.repartition(parts_for(c.t.documents, "text"), "_k")
     out = b.select("_k", "idx", "doc_index", "original_bytes", "article_limit").join(red, "_k").drop("_k")
     return out.withColumn("reduced_bytes", F.octet_length("context").cast("bigint"))
 
@@ -261,11 +265,13 @@ def d13(c: Ctx) -> DataFrame:
            CAST(sum(strlen(b.ctx)) AS BIGINT) AS original_bytes, CAST(sum(strlen(r.context)) AS BIGINT) AS reduced_bytes
     FROM reduced r JOIN base b USING (idx)""")
 def d15(c: Ctx) -> DataFrame:
-    r = _reduced(c).join(c.v("v_results").select("idx", F.col("model_answer").alias("ctx")), "idx")
+    # Lengths are joined, not texts.
+    r = _reduced(c).select("idx", F.octet_length("context").alias("_reduced")) \
+        .join(c.v("v_results").select("idx", F.octet_length("model_answer").alias("_original")), "idx")
     return r.agg(F.count(F.lit(1)).alias("records"),
-                 F.sum(F.when(F.octet_length("context") < F.octet_length("ctx"), 1).otherwise(0)).cast("bigint").alias("trimmed_records"),
-                 F.sum(F.octet_length("ctx")).cast("bigint").alias("original_bytes"),
-                 F.sum(F.octet_length("context")).cast("bigint").alias("reduced_bytes"))
+                 F.sum(F.when(F.col("_reduced") < F.col("_original"), 1).otherwise(0)).cast("bigint").alias("trimmed_records"),
+                 F.sum("_original").cast("bigint").alias("original_bytes"),
+                 F.sum("_reduced").cast("bigint").alias("reduced_bytes"))
 
 
 _D17_SQL = """
