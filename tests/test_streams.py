@@ -113,3 +113,43 @@ def test_checkpoint_folder_is_required_off_local_mode():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+class _State:
+    """What ``InOrder`` uses of a key's state."""
+
+    def __init__(self):
+        self.exists, self.get, self.watermark = False, None, 0
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+
+def test_waiting_rows_are_bytes_and_handled_in_pieces():
+    """50,000 waiting rows of one key are under 20 bytes each in its state, and come out in order over several steps."""
+    import pandas as pd
+
+    from verity.streaming import streams as ST
+
+    n = 50_000
+    order = [(i * 7919) % n for i in range(n)]
+    up = lambda i: i // 3 % 2 == 0
+    pdf = pd.DataFrame({"provider": "p", "event_id": order, "ts": pd.to_datetime([1_700_000_000_000 + i for i in order], unit="ms"), "up": [up(i) for i in order]})
+    health, state = ST.Health(), _State()
+    assert sum(len(x) for x in health(("p",), iter([pdf[:30_000], pdf[30_000:]]), state)) == 0
+    assert isinstance(state.get[-1], bytes) and len(state.get[-1]) < 20 * n
+    state.watermark = 1_700_000_000_000 + n - 101
+    frames = list(health(("p",), iter([]), state))
+    got = pd.concat(frames)
+    assert len(frames) > 1 and got.event_id.tolist() == list(range(0, n - 100, 3)) and got.up.tolist() == [up(i) for i in range(0, n - 100, 3)]
+    packing, state = ST.Packing(4, "1 hour"), _State()
+    list(packing(("g",), iter([pdf]), state))
+    state.watermark = 1_700_000_000_000 + n
+    got = pd.concat(packing(("g",), iter([]), state))
+    assert got["size"].tolist() == [4] * (n // 4) and got.batch_no.tolist() == list(range(n // 4)) and set(got.wait_ms) == {3.0}

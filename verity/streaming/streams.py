@@ -17,7 +17,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -175,6 +178,10 @@ def conversations_batch(req: DataFrame, key: str = "request_id", order: tuple[st
 DELAY, IDLE = "1 hour", "60 days"
 
 
+#: Arrow types of what rows carry besides their time and id.
+ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
+
+
 class InOrder:
     """Keyed processing in event-time order.
 
@@ -185,9 +192,13 @@ class InOrder:
     (called when the watermark moves past ``due(state)``) return (state, output
     rows). A key that rests for ``idle`` is ticked once more and forgotten.
 
-    State per key: the operator's own fields and the rows inside the delay.
+    State per key: the operator's own fields and the rows inside the delay, as
+    one Arrow table in bytes.
     """
 
+    #: Rows that a step takes at once; None: all that are ready.
+    piece: int | None = None
+
     def __init__(self, key: str, fields: str, out: str, payload: list[tuple[str, str]], idle: str = IDLE):
         self.key, self.fields, self.out, self.payload = key, fields, out, payload
         self.idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
@@ -204,46 +215,60 @@ class InOrder:
     def due(self, state) -> pd.Timestamp | None:
         return None
 
+    def pieces(self, rows: pa.Table) -> Iterator[list[tuple]]:
+        """Rows as tuples: all at once, or ``piece`` at a time where a step is a plain fold."""
+        for t in [rows] if self.piece is None else (rows.slice(i, self.piece) for i in range(0, len(rows), self.piece)):
+            # Null doubles are NaN, as in a frame.
+            yield list(zip(*(c.to_numpy().tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in t.columns)))
+
     def __call__(self, key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [c for c, _ in self.payload]
+        schema = pa.schema([("ts", pa.timestamp("us")), ("event_id", pa.int64()), *[(c, ARROW[t]) for c, t in self.payload]])
         n = len(self.start())
-        saved = state.get if state.exists else (*self.start(), 0, [], [], *[[] for _ in names])
-        own, last, waiting = tuple(saved[:n]), saved[n], [list(x if x is not None else []) for x in saved[n + 1:]]
-        for pdf in pdfs:
-            for column, values in zip(waiting, [pdf["ts"], pdf["event_id"], *[pdf[c] for c in names]]):
-                column.extend(values.tolist())
+        saved = state.get if state.exists else (*self.start(), 0, None)
+        own, last = tuple(saved[:n]), saved[n]
+        waiting = [pa.ipc.open_stream(bytes(saved[n + 1])).read_all()] if saved[n + 1] else []
+        waiting += [pa.Table.from_pandas(pdf[schema.names], schema, preserve_index=False) for pdf in pdfs if len(pdf)]
+        rows = pa.concat_tables(waiting) if waiting else schema.empty_table()
+        rows = rows.sort_by([("ts", "ascending"), ("event_id", "ascending")])
+        us = pc.fill_null(rows["ts"].cast(pa.int64()), np.iinfo(np.int64).max).to_numpy()
         now_ms = state.getCurrentWatermarkMs()
         now = pd.Timestamp(now_ms, unit="ms")
-        rows = sorted(zip(*waiting), key=lambda r: (pd.Timestamp(r[0]), r[1]))
-        ready = [r for r in rows if pd.Timestamp(r[0]) <= now]
-        rows = rows[len(ready):]
-        out: list[tuple] = []
-        at = [int(pd.Timestamp(r[0]).value // 1_000_000) for r in ready]
-        lo = 0
-        for hi in range(1, len(ready) + 1):  # a key that has rested for too long starts anew
-            if hi < len(ready) and at[hi] < at[hi - 1] + self.idle_ms:
-                continue
+        ready = int(np.searchsorted(us, now_ms * 1000, side="right"))
+        names = [c.split()[0] for c in self.out.split(", ")]
+        out: list[pd.DataFrame] = []
+        at = us[:ready] // 1000
+        # A key that has rested for too long starts anew.
+        cuts = [0, *(np.flatnonzero(np.diff(at) >= self.idle_ms) + 1).tolist(), ready] if ready else []
+        for lo, hi in zip(cuts, cuts[1:]):
             if last and at[lo] >= last + self.idle_ms:
                 own = self.start()
-            own, made = self.step(key[0], own, ready[lo:hi])
-            out += made
-            last, lo = at[hi - 1], hi
-        resting = not rows and bool(last) and now_ms >= last + self.idle_ms
+            for piece in self.pieces(rows.slice(lo, hi - lo)):
+                own, made = self.step(key[0], own, piece)
+                out.append(pd.DataFrame(made, columns=names))
+            last = int(at[hi - 1])
+        rows = rows.slice(ready)
+        resting = not len(rows) and bool(last) and now_ms >= last + self.idle_ms
         own, made = self.tick(key[0], own, now, resting)
-        out += made
+        out.append(pd.DataFrame(made, columns=names))
         if resting:
             state.remove()
         else:
-            columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in waiting]
-            state.update((*own, last, *columns))
-            times = [int(pd.Timestamp(rows[0][0]).value // 1_000_000) - 1] if rows else [last + self.idle_ms - 1]
+            kept = None
+            if len(rows):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, schema) as w:
+                    w.write_table(rows.combine_chunks())
+                kept = sink.getvalue().to_pybytes()
+            state.update((*own, last, kept))
+            times = [int(us[ready] // 1000) - 1] if len(rows) else [last + self.idle_ms - 1]
             if (due := self.due(own)) is not None:
                 times.append(int(due.value // 1_000_000) - 1)
             state.setTimeoutTimestamp(max(min(times), now_ms + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.out.split(", ")])
+        full = [x for x in out if len(x)]
+        yield from full or out[-1:]
 
     def run(self, rows: DataFrame, keys: list[str], delay: str = DELAY) -> DataFrame:
-        waiting = ", ".join(["last_ms long", "w_ts array<timestamp>", "w_id array<long>", *[f"w_{c} array<{t}>" for c, t in self.payload]])
+        waiting = "last_ms long, waiting binary"
         return rows.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(
             self, self.out, f"{self.fields}, {waiting}", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -291,6 +316,8 @@ class Packing(InOrder):
     """Requests in batches that close when full, when the next request comes
     too long after the first, or when the watermark shows that time is up."""
 
+    piece = 20_000
+
     def __init__(self, max_size: int, max_wait: str):
         super().__init__("group_key", "batch_no long, first_ts timestamp, size long, last_ts timestamp",
                          "group_key string, batch_no long, first_ts timestamp, size long, wait_ms double", [])
@@ -431,6 +458,8 @@ def online_trace_stream(tokens: DataFrame, window: int, min_length: int, thresho
 class Health(InOrder):
     """A row whenever a provider's up/down state changes."""
 
+    piece = 20_000
+
     def __init__(self):
         super().__init__("provider", "up boolean", "provider string, event_id long, ts timestamp, up boolean", [("up", "boolean")])
 
@@ -455,9 +484,11 @@ class Reuse(InOrder):
     """The first request of a signature passes, and every one that comes more
     than the horizon after the last that passed."""
 
+    piece = 20_000
+
     def __init__(self, horizon: str):
         super().__init__("signature", "kept timestamp", "signature string, event_id long, ts timestamp", [])
-        self.horizon = pd.Timedelta(horizon)
+        self.horizon = pd.Timedelta(horizon).to_pytimedelta()
 
     def start(self):
         return (None,)
@@ -465,7 +496,7 @@ class Reuse(InOrder):
     def step(self, key, state, rows):
         kept, out = state[0], []
         for ts, event_id in rows:
-            if kept is None or pd.Timestamp(ts) > pd.Timestamp(kept) + self.horizon:
+            if kept is None or ts > kept + self.horizon:
                 kept = ts
                 out.append((key, event_id, ts))
         return (kept,), out
