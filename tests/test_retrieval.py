@@ -67,3 +67,27 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([("m", 1, "some text")], "mem string, q long, text string")
     assert RT.retrieve(d, q, "mem", "i", "text", "q", "text").collect() == []
     assert RT.retrieve(q.withColumnRenamed("q", "i"), d.withColumnRenamed("i", "q"), "mem", "i", "text", "q", "text").collect() == []
+
+
+def test_blocks_of_items_and_queries(spark, monkeypatch):
+    """Many blocks a memory, more terms than a block holds densely, copies across blocks."""
+    monkeypatch.setattr(RT, "ITEMS", 16)
+    monkeypatch.setattr(RT, "QUERIES", 8)
+    rng = random.Random(5)
+    text = lambda k: " ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(k))
+    items = [("m", i, text(rng.randint(1, 60))) for i in range(120)]
+    items += [("m", 200 + i, items[0][2]) for i in range(20)] + [("o", i, text(9)) for i in range(5)]
+    queries = [("m", i, items[i][2]) for i in range(0, 120, 6)] + [("o", 1, items[141][2])]
+    d = spark.createDataFrame(items, "mem string, i long, text string").repartition(3)
+    q = spark.createDataFrame(queries, "mem string, q long, text string")
+    got = RT.retrieve(d, q, "mem", "i", "text", "q", "text", 3, others=True).collect()
+    assert sorted(map(tuple, got)) == brute(items, queries, 3, True)
+
+
+def test_index_joins_without_a_shuffle(spark):
+    """Postings are dealt by term once: a join on terms reads them in their buckets."""
+    d = spark.createDataFrame([("m", i, f"one two w{i} one") for i in range(40)] + [("m", 3, "one more")], "mem string, i long, text string")
+    postings, terms, _ = RT.index(d, "mem", "i", "text")
+    plan = postings.join(terms.hint("merge"), ["mem", "term"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert postings.where("_i = 3").agg(F.sum("_c")).first()[0] == 6
