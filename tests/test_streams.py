@@ -153,3 +153,41 @@ def test_waiting_rows_are_bytes_and_handled_in_pieces():
     state.watermark = 1_700_000_000_000 + n
     got = pd.concat(packing(("g",), iter([]), state))
     assert got["size"].tolist() == [4] * (n // 4) and got.batch_no.tolist() == list(range(n // 4)) and set(got.wait_ms) == {3.0}
+
+
+def _reused(rows, end):
+    """(signature, event_id) that pass: a loop over all requests up to ``end``."""
+    kept, out = {}, []
+    for i, ts, signature in sorted((r for r in rows if r[1] <= end), key=lambda r: (r[1], r[0])):
+        if signature not in kept or ts > kept[signature] + dt.timedelta(days=1):
+            kept[signature] = ts
+            out.append((signature, i))
+    return sorted(out, key=str)
+
+
+def test_many_keys_in_one_call():
+    """One call handles the rows of 2,000 signatures in order, from a state of two tables."""
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows = [(i, T0 + dt.timedelta(seconds=rng.randrange(20 * 86_400)), f"s{rng.randrange(2_000)}") for i in range(9_000)]
+    pdf = pd.DataFrame(rows, columns=["event_id", "ts", "signature"])
+    reuse, state, got = ST.Reuse("1 day"), _State(), []
+    for day, part in ((6, pdf[:4_000]), (13, pdf[4_000:]), (19, pdf[:0])):
+        # Rows of the second part may be older than those handled in the first: keep those that may still come.
+        part = part[part.ts > pd.Timestamp(state.watermark, unit="ms")]
+        rows = [r for r in rows if r[0] < 4_000 or r[1] > pd.Timestamp(state.watermark, unit="ms") or day != 13]
+        state.watermark = int(pd.Timestamp(T0 + dt.timedelta(days=day)).value // 1_000_000)
+        got += [(r.signature, r.event_id) for f in reuse((0,), iter([part[:1_500], part[1_500:]]), state) for r in f.itertuples()]
+    assert sorted(got, key=str) == _reused(rows, T0 + dt.timedelta(days=19))
+    assert len(state.get) == 2 and all(isinstance(x, bytes) for x in state.get)
+
+
+def test_reuse_of_null_and_shared_buckets(streamed, monkeypatch):
+    monkeypatch.setattr(ST, "BUCKETS", 3)
+    rows = [(i, ts + dt.timedelta(hours=i // 40), user, kind, value) for i, ts, user, kind, value in events(1500, 20)]
+    signature = F.when(F.col("user_id") == 3, F.lit(None)).when(F.col("user_id") == 4, "").otherwise(F.col("user_id").cast("string"))
+    s = streamed(rows, 3).select(signature.alias("signature"), "event_id", "ts")
+    got = ST.run_to_table(ST.dedupe_within_horizon(s, "1 day"), "reuse").collect()
+    plain = [(i, ts, None if user == 3 else "" if user == 4 else str(user)) for i, ts, user, *_ in rows]
+    assert sorted(((r.signature, r.event_id) for r in got), key=str) == _reused(plain, watermark(rows))

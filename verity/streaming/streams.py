@@ -4,7 +4,7 @@ Every operator here is written once against the DataFrame API and runs on
 a streaming DataFrame (``readStream``) or, as its batch twin, on a static
 one. Stateful operators (``applyInPandasWithState``) handle each key's rows in
 event-time order behind a watermark; a key's state is its own few fields and
-the rows that may still be overtaken, and goes when the key rests. The classes
+the rows that may still be overtaken, lies with those of its group of keys, and goes when the key rests. The classes
 here run on the executors, which need the package on their path (a wheel or
 ``--py-files``).
 
@@ -178,26 +178,52 @@ def conversations_batch(req: DataFrame, key: str = "request_id", order: tuple[st
 DELAY, IDLE = "1 hour", "60 days"
 
 
-#: Arrow types of what rows carry besides their time and id.
-ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64()}
+#: Groups that the keys of a stream are dealt over. A call of a group's function costs about as
+#: much as some hundred keys, so that it is the groups, not the keys, that are called.
+BUCKETS = 4096
+
+#: Arrow types of keys, of their own fields and of what rows carry besides their time and id.
+ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "timestamp": pa.timestamp("us")}
+ARROW |= {f"array<{t}>": pa.list_(ARROW[t]) for t in ("string", "double", "long")}
+
+
+def _schema(ddl: str) -> list[tuple[str, pa.DataType]]:
+    return [(name, ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))]
+
+
+def _bytes(table: pa.Table) -> bytes | None:
+    """A table in Arrow's stream format; None if it has no rows."""
+    if not len(table):
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _table(saved: bytes | None, schema: pa.Schema) -> pa.Table:
+    return pa.ipc.open_stream(bytes(saved)).read_all() if saved else schema.empty_table()
 
 
 class InOrder:
     """Keyed processing in event-time order.
 
-    Rows wait in the key's state until the watermark has passed them and are
+    Rows wait in the state until the watermark has passed them and are
     then handled in (ts, event_id) order, whatever batches, files or Arrow
     frames they came in; later rows than the delay allows are dropped by the
     watermark. ``step(key, state, rows)`` and ``tick(key, state, watermark)``
-    (called when the watermark moves past ``due(state)``) return (state, output
+    (which does nothing before ``due(state)``) return (state, output
     rows). A key that rests for ``idle`` is ticked once more and forgotten.
 
-    State per key: the operator's own fields and the rows inside the delay, as
-    one Arrow table in bytes.
+    Keys are dealt over ``BUCKETS`` groups. State per group: an Arrow table in bytes of its
+    keys (the operator's own fields, when it was last handled, how many rows wait), and one of the rows
+    inside the delay, key by key.
     """
 
     #: Rows that a step takes at once; None: all that are ready.
     piece: int | None = None
+    #: Rows that are taken out of Arrow at once, but for a longer step.
+    rows_at_once = 20_000
 
     def __init__(self, key: str, fields: str, out: str, payload: list[tuple[str, str]], idle: str = IDLE):
         self.key, self.fields, self.out, self.payload = key, fields, out, payload
@@ -215,62 +241,110 @@ class InOrder:
     def due(self, state) -> pd.Timestamp | None:
         return None
 
-    def pieces(self, rows: pa.Table) -> Iterator[list[tuple]]:
-        """Rows as tuples: all at once, or ``piece`` at a time where a step is a plain fold."""
-        for t in [rows] if self.piece is None else (rows.slice(i, self.piece) for i in range(0, len(rows), self.piece)):
+    def pieces(self, rows: pa.Table, cuts: np.ndarray) -> Iterator[tuple[int, list[tuple]]]:
+        """(run, its rows as tuples) of the runs between cuts: each whole, or ``piece`` rows at a time where
+        a step is a plain fold. Short runs leave Arrow together."""
+        def tuples(lo: int, hi: int) -> list[tuple]:
             # Null doubles are NaN, as in a frame.
-            yield list(zip(*(c.to_numpy().tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in t.columns)))
+            return list(zip(*(c.to_numpy().tolist() if pa.types.is_floating(c.type) else c.to_pylist() for c in rows.slice(lo, hi - lo).columns)))
+
+        run = 0
+        while run < len(cuts) - 1:
+            lo = int(cuts[run])
+            end = max(run + 1, int(np.searchsorted(cuts, lo + self.rows_at_once, side="right")) - 1)
+            if end == run + 1:
+                hi = int(cuts[end])
+                for at in range(lo, hi, self.piece or hi - lo):
+                    yield run, tuples(at, min(hi, at + (self.piece or hi - lo)))
+            else:
+                part, at = tuples(lo, int(cuts[end])), (cuts[run:end + 1] - lo).tolist()
+                yield from ((run + i, part[at[i]:at[i + 1]]) for i in range(end - run))
+            run = end
 
-    def __call__(self, key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def __call__(self, group, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        key_type = _schema(self.out)[0][1]
         schema = pa.schema([("ts", pa.timestamp("us")), ("event_id", pa.int64()), *[(c, ARROW[t]) for c, t in self.payload]])
-        n = len(self.start())
-        saved = state.get if state.exists else (*self.start(), 0, None)
-        own, last = tuple(saved[:n]), saved[n]
-        waiting = [pa.ipc.open_stream(bytes(saved[n + 1])).read_all()] if saved[n + 1] else []
-        waiting += [pa.Table.from_pandas(pdf[schema.names], schema, preserve_index=False) for pdf in pdfs if len(pdf)]
-        rows = pa.concat_tables(waiting) if waiting else schema.empty_table()
-        rows = rows.sort_by([("ts", "ascending"), ("event_id", "ascending")])
+        fresh = pa.schema([*schema, (self.key, key_type)])
+        own = _schema(self.fields)
+        kept = pa.schema([(self.key, key_type), *own, ("last_ms", pa.int64()), ("waits", pa.int64())])
+        saved = state.get if state.exists else (None, None)
+        held, waiting = _table(saved[0], kept), _table(saved[1], schema)
+        # Frames without the key's column are of one key, the group.
+        came = [pdf if self.key in pdf else pdf.assign(**{self.key: group[0]}) for pdf in pdfs if len(pdf)]
+        came = [pa.Table.from_pandas(pdf[fresh.names], fresh, preserve_index=False) for pdf in came]
+        new = pa.concat_tables(came) if came else fresh.empty_table()
+
+        # Keys are numbered: those of the state, then new ones.
+        coded = pa.chunked_array([*held[self.key].chunks, *new[self.key].chunks], key_type).combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        # Null keys have a group of their own.
+        shown = [None] * len(names) if pd.isna(group[0]) else names
+        codes = coded.indices.to_numpy().astype(np.int64)
+        codes = np.concatenate([np.repeat(codes[:len(held)], held["waits"].to_numpy()), codes[len(held):]])
+        rows = pa.concat_tables([waiting, new.select(schema.names)]).append_column("_k", pa.array(codes))
+        rows = rows.sort_by([("_k", "ascending"), ("ts", "ascending"), ("event_id", "ascending")])
+        codes, rows = rows["_k"].to_numpy(), rows.drop_columns("_k")
         us = pc.fill_null(rows["ts"].cast(pa.int64()), np.iinfo(np.int64).max).to_numpy()
+        more = len(names) - len(held)
+        states = [*(zip(*(held[c].to_pylist() for c, _ in own))), *(self.start() for _ in range(more))]
+        last = [*held["last_ms"].to_pylist(), *[None] * more]
+
         now_ms = state.getCurrentWatermarkMs()
         now = pd.Timestamp(now_ms, unit="ms")
-        ready = int(np.searchsorted(us, now_ms * 1000, side="right"))
-        names = [c.split()[0] for c in self.out.split(", ")]
-        out: list[pd.DataFrame] = []
-        at = us[:ready] // 1000
+        late = us > now_ms * 1000
+        ready, ready_codes, at = rows.filter(pa.array(~late)), codes[~late], us[~late] // 1000
         # A key that has rested for too long starts anew.
-        cuts = [0, *(np.flatnonzero(np.diff(at) >= self.idle_ms) + 1).tolist(), ready] if ready else []
-        for lo, hi in zip(cuts, cuts[1:]):
-            if last and at[lo] >= last + self.idle_ms:
-                own = self.start()
-            for piece in self.pieces(rows.slice(lo, hi - lo)):
-                own, made = self.step(key[0], own, piece)
-                out.append(pd.DataFrame(made, columns=names))
-            last = int(at[hi - 1])
-        rows = rows.slice(ready)
-        resting = not len(rows) and bool(last) and now_ms >= last + self.idle_ms
-        own, made = self.tick(key[0], own, now, resting)
-        out.append(pd.DataFrame(made, columns=names))
-        if resting:
-            state.remove()
-        else:
-            kept = None
-            if len(rows):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, schema) as w:
-                    w.write_table(rows.combine_chunks())
-                kept = sink.getvalue().to_pybytes()
-            state.update((*own, last, kept))
-            times = [int(us[ready] // 1000) - 1] if len(rows) else [last + self.idle_ms - 1]
-            if (due := self.due(own)) is not None:
+        turns = (np.diff(ready_codes) != 0) | (np.diff(at) >= self.idle_ms)
+        cuts = np.concatenate([[0], np.flatnonzero(turns) + 1, [len(at)]]) if len(at) else np.zeros(1, np.int64)
+        first, final, of = at[cuts[:-1]].tolist(), at[cuts[1:] - 1].tolist(), ready_codes[cuts[:-1]].tolist()
+        columns = [c for c, _ in _schema(self.out)]
+        full: list[pd.DataFrame] = []
+        out: list[tuple] = []
+        for run, piece in self.pieces(ready, cuts):
+            k = of[run]
+            if last[k] and first[run] >= last[k] + self.idle_ms:
+                states[k] = self.start()
+            states[k], made = self.step(shown[k], states[k], piece)
+            last[k] = final[run]
+            out += made
+            if len(out) >= self.rows_at_once // 4:
+                full.append(pd.DataFrame(out, columns=columns))
+                out = []
+
+        rows, codes, us = rows.filter(pa.array(late)), codes[late], us[late]
+        waits = np.bincount(codes, minlength=len(names)).tolist()
+        alive: list[int] = []
+        times = [int(us.min() // 1000) - 1] if len(us) else []
+        for k, name in enumerate(shown):
+            resting = not waits[k] and bool(last[k]) and now_ms >= last[k] + self.idle_ms
+            states[k], made = self.tick(name, states[k], now, resting)
+            out += made
+            if resting:
+                continue
+            alive.append(k)
+            if not waits[k]:
+                times.append(last[k] + self.idle_ms - 1)
+            if (due := self.due(states[k])) is not None:
                 times.append(int(due.value // 1_000_000) - 1)
+        if out or not full:
+            full.append(pd.DataFrame(out, columns=columns))
+        if alive:
+            fields = zip(*(states[k] for k in alive))
+            held = pa.table([pa.array([names[k] for k in alive], key_type), *(pa.array(list(v), t) for v, (_, t) in zip(fields, own)),
+                             pa.array([last[k] for k in alive], pa.int64()), pa.array([waits[k] for k in alive], pa.int64())], schema=kept)
+            state.update((_bytes(held), _bytes(rows)))
             state.setTimeoutTimestamp(max(min(times), now_ms + 1))
-        full = [x for x in out if len(x)]
-        yield from full or out[-1:]
+        else:
+            state.remove()
+        yield from full
 
     def run(self, rows: DataFrame, keys: list[str], delay: str = DELAY) -> DataFrame:
-        waiting = "last_ms long, waiting binary"
-        return rows.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(
-            self, self.out, f"{self.fields}, {waiting}", "append", GroupStateTimeout.EventTimeTimeout)
+        key = F.col(keys[0])
+        none = F.lit(0 if _schema(self.out)[0][1] == pa.int64() else "")
+        bucket = F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+        r = rows.select(bucket.alias("_bucket"), F.coalesce(key, none).alias(self.key), "ts", "event_id", *(c for c, _ in self.payload))
+        return r.withWatermark("ts", delay).groupBy("_bucket").applyInPandasWithState(
+            self, self.out, "keys binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _ms(t0, t1) -> float:
