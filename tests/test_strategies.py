@@ -61,12 +61,12 @@ def test_waves_of_blocks(spark, monkeypatch):
     d = spark.createDataFrame(items, "mem string, i long, text string").repartition(3)
     got = RT.retrieve(d, None, "mem", "i", "text", "q", "text", 3, others=True).collect()
     assert sorted(map(tuple, got)) == brute(items, items, 3, True)
-    waves = RT._best_in_blocks(d, None, "mem", "i", "text", "q", "text", 3, True)
+    waves = RT._best_in_blocks(RT.bags(d, "mem", "i", "text"), None, "mem", 3, True)
     assert sum(w.count() > 0 for w in waves) > 1
     # The rows of a key are one item, a memory without a name is none.
     cut = [("m", i, t) for i, t in ((5, items[5][2]), (5, items[6][2]), (7, items[7][2]), (8, items[6][2] + " " + items[5][2]))]
     twice = spark.createDataFrame([*cut, (None, 9, items[5][2])], "mem string, i long, text string")
-    best = RT._best_in_blocks(twice, None, "mem", "i", "text", "q", "text", 1, True)
+    best = RT._best_in_blocks(RT.bags(twice, "mem", "i", "text"), None, "mem", 1, True)
     assert {(r._q, r._i) for w in best for r in w.collect() if round(r.score, 9) == 1} == {(5, 8), (8, 5)}
 
 
@@ -90,7 +90,8 @@ def test_block_finds_what_all_pairs_find(monkeypatch, heavy, tile, cells, chunk)
     sides = []
     for side, given in enumerate((items, queries)):
         keys, each = zip(*bags(given))
-        t = RT._packer("mem", packed)(pa.concat_tables([rows([None], [df], len(items)), rows(keys, each, None)]))
+        batches = [b for t in (rows([None], [df], len(items)), rows(keys, each, None)) for b in t.to_batches()]
+        t = pa.Table.from_batches(RT._packer("mem", packed, 64)(iter(batches)))
         sides.append(t.append_column("side", pa.array([side] * len(t))))
     out = pa.schema([("mem", pa.string()), ("_q", pa.int64()), ("_i", pa.int64()), ("_s", pa.float64())])
     for n in (1, 3):
