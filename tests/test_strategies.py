@@ -1,4 +1,4 @@
-"""Every strategy of the table is a query and an item."""
+"""Every strategy of the table is a query and an item; the blocks of H14-H16 and H18."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ import pyarrow as pa
 import pytest
 
 from tests.test_retrieval import brute
+from tests.test_similarity import cosine
 from verity.operators import retrieval as RT
+from verity.operators import similarity as SM
 from verity.plans import catalog
 
 KEYS = ("h14_similar_strategies", "h15_best_similar", "h15_best_similar_examples", "h16_create_or_update")
@@ -98,3 +100,32 @@ def test_block_finds_what_all_pairs_find(monkeypatch, heavy, tile, cells, chunk)
         got = RT._best_of_block(n, True, "mem", out)(pa.concat_tables(sides)).to_pylist()
         want = [x for x in brute(items, queries, n, True) if x[3] > 0]
         assert sorted((r["_q"], r["_i"], round(r["_s"], 9)) for r in got) == sorted((q, i, s) for q, _, i, s in want)
+
+
+def test_merge_in_waves(spark, monkeypatch):
+    """Blocks that meet in many waves merge what one wave merges; equal texts, rows that come twice, a null text and kind."""
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(300)]
+    rows = []
+    for group in range(60):
+        base = rng.sample(words, 20)
+        for _ in range(rng.randint(1, 4)):
+            rows.append((len(rows), f"t{group % 2}", " ".join(w if rng.random() > 0.12 else rng.choice(words) for w in base)))
+    rows += [(200 + i, "t0", rows[0][2]) for i in range(3)] + [rows[5], (300, "t1", None), (301, None, "some words"), (302, "t1", "- !")]
+    df = spark.createDataFrame([(*r, 1, 2, r[0], r[0], 0.5) for r in rows], "strategy_id long, problem_type string, strategy_text string, success_count long, "
+                               "total_attempts long, created_at long, last_used long, confidence double")
+    merged = lambda: sorted(map(tuple, SM.merge_similar_strategies(df, "problem_type", "strategy_id", "strategy_text").collect()))
+    whole = merged()
+    waves = []
+    stored = SM.stored
+    for name, size in (("HUBS", 4), ("BLOCK", 16), ("WAVE", 1)):
+        monkeypatch.setattr(SM, name, size)
+    monkeypatch.setattr(SM, "stored", lambda d: (waves.append(1) if d.columns == ["a", "b"] else None, stored(d))[1])
+    assert merged() == whole and len(waves) > 4
+    assert sum(r[3] for r in whole) == len(rows) - 2 and any(r[3] > 1 for r in whole)
+    label = list(range(len(rows)))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            if a[1] and a[1] == b[1] and a[2] and b[2] and label[i] != label[j] and (a[2] == b[2] or cosine(a[2], b[2]) >= 0.6):
+                label = [label[j] if x == label[i] else x for x in label]
+    assert len(whole) == len({x for x, r in zip(label, rows) if r[1] and r[2]})
